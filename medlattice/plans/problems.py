@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
-from ..operators import features, orphans, pivot
+from ..operators import features, flatten, orphans, pivot
 
 #: The day the feature table describes.
 FEATURES_AS_OF = date(2024, 6, 15)
@@ -26,6 +26,18 @@ def p2_orphan_counts(spark: SparkSession, root: str) -> DataFrame:
     return orphans.snapshot(orphans.clinical_replay(spark, root))
 
 
+def _p3(what: str):
+    def query(spark: SparkSession, root: str) -> DataFrame:
+        return flatten.flatten(table(spark, root, "fhir_records"), what)
+
+    query.__name__ = f"p3_{what}"
+    return query
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return flatten.objects(flatten.flatten(table(spark, root, "fhir_records"), "items"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pivot.conflicting_cells(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"))
 
@@ -51,7 +63,7 @@ def p7_features_long(spark: SparkSession, root: str) -> DataFrame:
     return long.withColumn("patient", F.lower(F.hex("patient")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p3_found, *map(_p3, flatten.SCHEMAS), p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
 
 _KEY = canonical_id_sql
 _REFS = f"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ MAX_DIMENSION_ROWS = 200_000
 
 def build_session(app: str = "medlattice", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the engine is tested with; a cluster supplies its own."""
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -29,6 +35,21 @@ def build_session(app: str = "medlattice", cores: int | str = "*", shuffle_parti
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, unless PYTHONPATH already holds it; once per context."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root) in paths or getattr(context, "_medlattice_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="medlattice-ship-")) / "medlattice.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "medlattice").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))  # the driver serves the file to every executor
+    context._medlattice_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
