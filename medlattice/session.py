@@ -99,3 +99,12 @@ def dimension(df: DataFrame, limit: int = MAX_DIMENSION_ROWS) -> DataFrame:
 def tasks_for(spark: SparkSession) -> int:
     """Partitions for explicit repartitioning: the session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, each: int = 3) -> DataFrame:
+    """Enough partitions to keep every core busy in a Python stage: few and large input splits are dealt out anew.
+
+    Inputs that come in at least ``each`` splits a core are left alone, so at scale nothing is shuffled.
+    """
+    wanted = each * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
