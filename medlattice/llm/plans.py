@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
 from ..functions.npx import GROUPS
-from . import mixing, quantiles, splits
+from . import leaks, mixing, quantiles, splits
 
 #: The stated relative error of the percentile queries.
 ERROR = 0.005
@@ -43,6 +43,18 @@ def p6_monthly_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return quantiles.npx_percentiles(days, F.date_format("day", "yyyy-MM"), error=ERROR)
 
 
+def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_leaks(spark, root).select("doc_id", "item_id").distinct()
+
+
+def p8_leaks_by_item(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaks_by_item(p8_leaks(spark, root))
+
+
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
 
@@ -51,7 +63,7 @@ def p9_mix_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p6_percentiles, p6_monthly_percentiles, p9_mix, p9_mix_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p6_percentiles, p6_monthly_percentiles, p8_found, p8_leaks, p8_leaks_by_item, p9_mix, p9_mix_report)}
 
 
 def _entity_sql(column: str) -> str:
