@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
 from ..functions.npx import GROUPS
-from . import leaks, mixing, quantiles, splits
+from . import leaks, mixing, quantiles, splits, stuffing
 
 #: The stated relative error of the percentile queries.
 ERROR = 0.005
@@ -63,7 +63,15 @@ def p9_mix_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p6_percentiles, p6_monthly_percentiles, p8_found, p8_leaks, p8_leaks_by_item, p9_mix, p9_mix_report)}
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    return stuffing.score_pages(table(spark, root, "documents"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return p10_scores(spark, root).where("stuffed").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p6_percentiles, p6_monthly_percentiles, p8_found, p8_leaks, p8_leaks_by_item, p9_mix, p9_mix_report, p10_found, p10_scores)}
 
 
 def _entity_sql(column: str) -> str:
