@@ -75,7 +75,7 @@ def agreed_cells(npx: DataFrame, panels: DataFrame, tolerance: float = 0.01) ->
     with no usable reading, protein or sample are left out.
     """
     read = (
-        with_protein(npx, panels)
+        with_protein(npx.select("sample_id", "protein_id", "panel", "assay_no", "npx", "qc_warning", "measured_at", "loaded_at", "row_id"), panels)
         .select(
             "sample_id",
             F.coalesce("protein_own", "protein_at").alias("protein_id"),

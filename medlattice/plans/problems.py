@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
-from ..operators import features, flatten, orphans, pivot
+from ..operators import features, flatten, impute, orphans, pivot
 
 #: The day the feature table describes.
 FEATURES_AS_OF = date(2024, 6, 15)
@@ -38,6 +38,14 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return flatten.objects(flatten.flatten(table(spark, root, "fhir_records"), "items"))
 
 
+def p4_filled(spark: SparkSession, root: str) -> DataFrame:
+    return impute.fill(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return impute.filled_fields(p4_filled(spark, root))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pivot.conflicting_cells(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"))
 
@@ -63,7 +71,7 @@ def p7_features_long(spark: SparkSession, root: str) -> DataFrame:
     return long.withColumn("patient", F.lower(F.hex("patient")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p3_found, *map(_p3, flatten.SCHEMAS), p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p3_found, *map(_p3, flatten.SCHEMAS), p4_found, p4_filled, p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
 
 _KEY = canonical_id_sql
 _REFS = f"""
@@ -111,6 +119,18 @@ ORACLES = {
     "p2_found": f"with {_REFS} select table_name, field_name, row_id from judged where orphan",
     "p2_orphan_counts": f"""with {_REFS} select table_name, field_name, cast(date_trunc('month', loaded_at) as date) as month,
       count(*) as n_refs, cast(count_if(orphan) as bigint) as n_orphans, cast(count_if(still_open) as bigint) as n_open from judged group by 1, 2, 3""",
+    "p4_found": """
+      with names as (select distinct upper(protein_id) as k from olink_panels),
+      m as (
+        select row_id,
+          npx is null or isnan(npx) or npx not between -10 and 25 as a,
+          coalesce(lower(regexp_replace("group", '^\\s+|\\s+$', '', 'g')), '') not in ('baseline', 'case', 'control', 'treated', 'relapse') as b,
+          k is null as c
+        from olink_npx left join names on k = regexp_replace(regexp_replace(upper(protein_id), '^\\s*[A-Z]+:', ''), '[^A-Z0-9]', '', 'g')
+      )
+      select row_id, 'npx' as field_name from m where a
+      union all select row_id, 'group' from m where b
+      union all select row_id, 'protein_id' from m where c""",
     "p5_found": f"""with {_PROTEIN} select sample_id, protein_id from readings group by all
       having count(*) > 1 and round(max(npx) - min(npx), 6) > 0.01""",
     "p5_wide_long_view": f"""with {_PROTEIN} select sample_id, protein_id,
