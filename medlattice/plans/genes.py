@@ -69,10 +69,10 @@ def sm09_compound_het(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _exposures(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("person_id"), F.lit("balance").alias("context_id"), (F.col("c_acctbal") / 1000).alias("z"))
+    return table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("person_id"), F.lit("balance").alias("context_id"), (F.floor("c_acctbal") / 8).alias("z"))
 
 
-@on(f"with {_G}, {_E}, {_D.format('e')} select person_id, trait_id, round(sum(dosage * (c_acctbal / 1000 - 2.0) * beta), 4) as value from d join e using (variant_id, allele_index) join customer on c_custkey = person_id::bigint group by 1, 2")
+@on(f"with {_G}, {_E}, {_D.format('e')} select person_id, trait_id, round(sum(dosage * (floor(c_acctbal) / 8 - 2.0) * beta), 4) as value from d join e using (variant_id, allele_index) join customer on c_custkey = person_id::bigint group by 1, 2")
 def sm08_context(spark: SparkSession, root: str) -> DataFrame:
     effects = _effects(spark).withColumn("context_id", F.lit("balance")).withColumn("centre", F.lit(2.0))
     return genetics.context(_genotypes(spark, root), effects, _exposures(spark, root)).withColumn("value", F.round("value", 4))
@@ -80,7 +80,7 @@ def sm08_context(spark: SparkSession, root: str) -> DataFrame:
 
 @on(f"""with {_G}, {_E}, {_D.format('e')}, a as (select person_id, trait_id, sum(dosage * beta) as x from d join e using (variant_id, allele_index) group by 1, 2),
 t as (select c_custkey::varchar as person_id, t.t as trait_id, c_acctbal from customer, (values ('height'), ('expression')) t(t))
-select t.person_id, t.trait_id, coalesce(x, 0)::double as genetic, round(c_acctbal / 1000 * case t.trait_id when 'height' then 5 else -2 end, 6) as fixed, round(coalesce(x, 0) + c_acctbal / 1000 * case t.trait_id when 'height' then 5 else -2 end, 6) as complete
+select t.person_id, t.trait_id, coalesce(x, 0)::double as genetic, round(floor(c_acctbal) / 8 * case t.trait_id when 'height' then 5 else -2 end, 6) as fixed, round(coalesce(x, 0) + floor(c_acctbal) / 8 * case t.trait_id when 'height' then 5 else -2 end, 6) as complete
 from t left join a on a.person_id = t.person_id and a.trait_id = t.trait_id""")
 def sm10_phenotypes(spark: SparkSession, root: str) -> DataFrame:
     people = table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("person_id"))
