@@ -75,7 +75,8 @@ def npx_days(npx: DataFrame, panels: DataFrame, error: float = 0.005) -> DataFra
     A reading whose own protein is missing counts for the protein of its panel position.  ``arm`` is the plain group
     and NULL where it is missing.  Every delivered row counts.
     """
-    rows = with_protein(npx, panels).select(
+    needed = npx.select("protein_id", "panel", "assay_no", "group", "measured_at", "npx")
+    rows = with_protein(needed, panels).select(
         F.coalesce("protein_own", "protein_at").alias("protein_id"),
         usable_group(F.col("group")).alias("arm"),
         F.to_date("measured_at").alias("day"),

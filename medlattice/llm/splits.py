@@ -206,7 +206,7 @@ def memberships(tasks: DataFrame, links: DataFrame, entity: str = "patient_id",
         )
         .groupBy("value", "row", "label")
         .agg(F.count("*").alias("n"))
-        .withColumn("node", F.coalesce(entity_key("value"), F.concat(F.lit("row:"), F.col("row").cast("string"))))
+        .withColumn("node", F.coalesce(entity_key("value"), F.concat(F.lit("row:"), F.coalesce(F.col("row").cast("string"), F.lit("")))))
     )
     person = connected(confirmed_links(links))
     units = cut(
@@ -222,18 +222,17 @@ def memberships(tasks: DataFrame, links: DataFrame, entity: str = "patient_id",
 def split_rows(tasks: DataFrame, links: DataFrame, entity: str = "patient_id", row: str = "task_row", column: str = "assigned_split", **options) -> DataFrame:
     """Every row of ``tasks`` with its split in ``column``; all rows of one entity share it.
 
-    Tables may be empty.  Repeated rows count as often as they occur.  A column of the input named like ``column`` or
-    like the helper names is an error of the caller for the former and harmless for the latter.
+    Tables may be empty.  Repeated rows count as often as they occur.  Rows without an entity get a split each; those
+    that have no row id either share one.  Extra columns of any name stay.
     """
     member = memberships(tasks, links, entity, row, **options)
     named = member.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_v"), F.col("split").alias("_s"))
     lone = member.where(F.col(entity).isNull()).select(F.col("row").alias("_r"), F.col("split").alias("_s"))
-    having = not_blank(entity)
-    kept = [F.col(f"`{c}`") for c in tasks.columns]
-    return (
-        tasks.where(having).join(named, F.col(entity) == F.col("_v")).select(*kept, F.col("_s").alias(column))
-        .unionByName(tasks.where(~having).join(lone, F.col(row) == F.col("_r")).select(*kept, F.col("_s").alias(column)))
+    whole = tasks.select(F.struct(*[F.col(f"`{c}`") for c in tasks.columns]).alias("_row"), F.col(entity).alias("_entity"), F.col(row).alias("_id"), not_blank(entity).alias("_having"))
+    both = whole.where("_having").join(named, F.col("_entity") == F.col("_v")).select("_row", "_s").unionByName(
+        whole.where("not _having").join(lone, F.col("_id").eqNullSafe(F.col("_r"))).select("_row", "_s")
     )
+    return both.select("_row.*", F.col("_s").alias(column))
 
 
 def same_entity(member: DataFrame, entity: str = "patient_id") -> DataFrame:
