@@ -64,8 +64,8 @@ def read_catalogue(panels: DataFrame) -> Catalogue:
         .groupBy(F.col("panel").alias("_panel"), F.col("assay_no").alias("_assay"))
         .agg(F.min("number").alias("_at"))
     )
-    middle = np.array([5.0 if r[1] is None else r[1] for r in rows], float)
-    spread = np.array([r[2] if r[2] and r[2] > 0 else 1.0 for r in rows], float)
+    middle = np.array([5.0 if r[1] is None else r[1] for r in rows] or [5.0], float)
+    spread = np.array([r[2] if r[2] and r[2] > 0 else 1.0 for r in rows] or [1.0], float)
     return Catalogue(proteins, middle, spread, F.broadcast(names), F.broadcast(places))
 
 
@@ -136,7 +136,7 @@ def factorise(cells: DataFrame, catalogue: Catalogue, rule: Rule = Rule()) -> tu
 
     A sweep solves the samples where they are and sends home one small Gram matrix per protein and task.
     """
-    p, a, r = len(catalogue.proteins), len(GROUPS), rule.rank
+    p, a, r = len(catalogue.mean), len(GROUPS), rule.rank  # an empty catalogue has one stand-in
     protein, arm = np.zeros((p, r)), np.zeros((a, r))
     protein[:, r - 1] = 0.3
     arm[:, :a] = np.eye(a)[:, : min(a, r)] if r >= a else np.eye(a, r)
@@ -196,15 +196,14 @@ def _dot(u: Column, v: Column) -> Column:
 def fill(npx: DataFrame, panels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``npx`` with npx, group and protein_id filled, and npx_filled, group_filled and protein_filled.
 
-    Usable fields keep their content (group in plain lower case, protein_id as the catalogue writes it).  A filled
+    An empty catalogue leaves proteins and readings NULL.  Usable fields keep their content (group in plain lower case, protein_id as the catalogue writes it).  A filled
     reading lies between NPX_LOW and NPX_HIGH.  A filled arm is the best of those its sample shows elsewhere, or of
     all where it shows none.  A filled protein is that of the panel position; without one it is the protein of the
     panel (or of the catalogue) whose expected reading comes nearest.  Rows without a sample are filled from the mean
     sample.  Repeated rows are filled alike; extra columns stay as they are.
     """
+    panels = panels.select("panel", "assay_no", "protein_id", "mean", "sd")
     catalogue = read_catalogue(panels)
-    if not catalogue.proteins:
-        raise ValueError("the catalogue of proteins is empty")
     rows = marked(npx, catalogue)
     cells = cut(record_cells(rows, catalogue))
     protein, arm, average = factorise(cells, catalogue, rule)
