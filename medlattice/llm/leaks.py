@@ -70,15 +70,26 @@ def template(tokens: Sequence[str], names: set[str], known: set[str]) -> list[st
     return made
 
 
-def build_index(items: Sequence[tuple[int, str | None]], rule: Rule = Rule()) -> Index:
+def last_sentence(text: str | None) -> str:
+    """The words of a text's last sentence."""
+    sentences = _sentences(plain(text)) if text else []
+    return " ".join(words(sentences[-1])) if sentences else ""
+
+
+def standard_endings(items: Sequence[tuple[int, str | None]], rule: Rule = Rule()) -> set[str]:
+    """Last sentences that many items share."""
+    ends = Counter(last_sentence(t) for _, t in items)
+    return {e for e, n in ends.items() if n >= rule.shared_by and len(e.split()) >= rule.instruction}
+
+
+def build_index(items: Sequence[tuple[int, str | None]], rule: Rule = Rule(), standard: set[str] | None = None) -> Index:
     """Index items given as (id, text); a sentence that ends many of them is no part of any."""
     index = Index(rule)
     split = {i: _sentences(plain(t)) for i, t in items if i is not None and t}
-    ends = Counter(tuple(words(s[-1])) for s in split.values() if s)
-    standard = {e for e, n in ends.items() if n >= rule.shared_by and len(e) >= rule.instruction}
+    standard = standard_endings(items, rule) if standard is None else standard
     kept: dict[int, list[str]] = {}
     for i, sentences in split.items():
-        if sentences and tuple(words(sentences[-1])) in standard:
+        if sentences and " ".join(words(sentences[-1])) in standard:
             sentences = sentences[:-1]
         kept[i] = words(" ".join(sentences))
         for s in sentences:
@@ -195,7 +206,7 @@ SCHEMA = "doc_id long, item_id long, words_held int, item_words int, n_stretches
 
 
 def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most about ``size``, by hash of their text, so that equal endings meet where they fit."""
+    """Items in blocks of at most about ``size``."""
     n = items.count()
     parts = max(1, -(-n // size))
     for k in range(parts):
@@ -204,6 +215,20 @@ def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
             yield [(r[0], r[1]) for r in rows]
 
 
+def _shared_endings(items: DataFrame, rule: Rule) -> set[str]:
+    """Standard instructions of the whole set; as there are few, they fit the driver."""
+
+    def ends(batches):
+        for pdf in batches:
+            yield pdf["t"].map(last_sentence).to_frame("e")
+
+    shared = items.select("t").mapInPandas(ends, "e string").groupBy("e").count().where(F.col("count") >= rule.shared_by)
+    rows = shared.select("e").limit(BLOCK_ITEMS + 1).collect()
+    if len(rows) > BLOCK_ITEMS:
+        raise ValueError("too many repeated last sentences; raise shared_by")
+    return {r[0] for r in rows if len(r[0].split()) >= rule.instruction}
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, rule: Rule = Rule(), block: int = BLOCK_ITEMS, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, words_held, item_words, n_stretches): each document with each item it gives away.
 
@@ -215,9 +240,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, rule: Rule = Rule(), bloc
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("t")).where("item_id is not null and t is not null")
     asked = asked.groupBy("item_id").agg(F.max_by("t", F.struct(F.length("t"), F.col("t"))).alias("t"))
     pages = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    standard = _shared_endings(asked, rule)
     found = None
     for rows in _blocks(asked, block):
-        index = spark.sparkContext.broadcast(build_index(rows, rule))
+        index = spark.sparkContext.broadcast(build_index(rows, rule, standard))
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

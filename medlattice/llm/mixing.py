@@ -76,14 +76,23 @@ def entropy(weights: Mapping[str, float]) -> float:
     return -sum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def bisect_exponent(fits, steps: int = 60) -> float:
-    """The smallest exponent in [0, 1] for which ``fits`` holds, if it holds from there on; 1 if it never does."""
-    if fits(0.0):
-        return 0.0
+def best_exponent(value, steps: int = 80) -> float:
+    """Where ``value``, which rises and then falls over [0, 1], is greatest."""
     low, high = 0.0, 1.0
+    for _ in range(steps):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if value(a) >= value(b) else (a, high)
+    return max((0.0, (low + high) / 2, 1.0), key=value)
+
+
+def bisect_exponent(value, goal: float, high: float, steps: int = 60) -> float:
+    """The smallest exponent up to ``high`` at which a rising ``value`` reaches the goal; ``high`` if it does not."""
+    low = 0.0
+    if value(low) >= goal:
+        return low
     for _ in range(steps):
         middle = (low + high) / 2
-        low, high = (low, middle) if fits(middle) else (middle, high)
+        low, high = (low, middle) if value(middle) >= goal else (middle, high)
     return high
 
 
@@ -104,9 +113,12 @@ def plan_mix(targets: Mapping[str, tuple[float, int]], sizes: Mapping[str, int],
     amounts = {s: float(sizes[s]) for s in live}
     reach = lambda w: min(most[s] / w[s] for s in live)
     goal = reach(wanted) if budget is None else float(budget)
-    exponent = bisect_exponent(lambda e: reach(tempered(wanted, amounts, e)) >= goal * (1 - 1e-12))
+    # the logarithm of each weight is convex in the exponent, so the budget that all limits allow has one maximum
+    most_budget = lambda e: reach(tempered(wanted, amounts, e))
+    exponent = bisect_exponent(most_budget, goal * (1 - 1e-12), best_exponent(most_budget))
     if least_entropy is not None:
-        exponent = max(exponent, bisect_exponent(lambda e: entropy(tempered(wanted, amounts, e)) >= least_entropy))
+        mixed = lambda e: entropy(tempered(wanted, amounts, e))
+        exponent = max(exponent, bisect_exponent(mixed, least_entropy, best_exponent(mixed)))
     weights = tempered(wanted, amounts, exponent)
     goal = min(goal, reach(weights))
     made = []
@@ -148,8 +160,10 @@ def realise(docs: DataFrame, plan: list[Plan], seed: int = 7) -> DataFrame:
     count = docs.count()
     blocks = max(16, min(65_536, count // 1000))
     by = lambda what: F.element_at(F.create_map(*[F.lit(v) for p in used for v in (p.source, what(p))]), F.col("source"))
-    docs = docs.where(F.col("source").isin(*[p.source for p in used])).withColumn("block", F.pmod(F.shiftright("place", 17), F.lit(blocks)).cast("int"))
-    sums = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
+    # a document larger than the whole last pass is no part of it and lies beyond all blocks
+    block = F.when(F.col("n_tokens") <= by(lambda p: p.rest), F.pmod(F.shiftright("place", 17), F.lit(blocks)).cast("int")).otherwise(blocks)
+    docs = docs.where(F.col("source").isin(*[p.source for p in used])).withColumn("block", block)
+    sums = docs.where(F.col("block") < blocks).groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     upto = sums.withColumn("before", F.sum("tokens").over(Window.partitionBy("source").orderBy("block")) - F.col("tokens"))
     edge = upto.where((F.col("before") <= by(lambda p: p.rest)) & (F.col("before") + F.col("tokens") > by(lambda p: p.rest))).select("source", "block", "before").collect()
     last = {r["source"]: (r["block"], r["before"]) for r in edge}

@@ -66,7 +66,8 @@ def percentiles(sketches: DataFrame, by: Sequence[str], points: Sequence[float],
 
 
 def name_of(q: float) -> str:
-    return "p" + f"{q * 100:06.2f}".rstrip("0").rstrip(".").replace(".", "_")[1:]
+    """p05, p50, p99_9."""
+    return "p" + f"{round(q * 100, 6):g}".replace(".", "_").zfill(2)
 
 
 def npx_days(npx: DataFrame, panels: DataFrame, error: float = 0.005) -> DataFrame:

@@ -54,6 +54,7 @@ class Rule:
     prose_page: float = 0.25  #: share of a page's words in sentences that makes it a page of prose
     known_pages: float = 3e-4  #: share of all pages that are prose and hold a word, from which it is known
     known_purity: float = 0.6  #: share of prose pages among the pages that hold a known word
+    least_words: int = 6  #: words under which a page says too little to be judged
     share: float = 0.5  #: share of a page's characters in abnormal stretches that flags it
 
 
@@ -287,7 +288,7 @@ SCHEMA = "doc_id long, strange_share double, surprise double, n_words int, stuff
 def score_pages(documents: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, strange_share, surprise, n_words, stuffed) of every page, by a model trained on all of them.
 
-    Null and empty texts and those without a word are not stuffed; copies are judged each.
+    Null and empty texts and those of fewer than ``least_words`` words are not stuffed; copies are judged each.
     """
     pages = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     shared = pages.sparkSession.sparkContext.broadcast(train(pages, rule))
@@ -299,7 +300,7 @@ def score_pages(documents: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id
             made = [abnormal(t, known, model, rule) for t in batch.column(1).to_pylist()]
             share, surprise, n = zip(*made) if made else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(share, pa.float64()), pa.array(surprise, pa.float64()), pa.array(n, pa.int32()), pa.array([x >= rule.share for x in share], pa.bool_())],
+                [batch.column(0), pa.array(share, pa.float64()), pa.array(surprise, pa.float64()), pa.array(n, pa.int32()), pa.array([x >= rule.share and k >= rule.least_words for x, k in zip(share, n)], pa.bool_())],
                 names=["doc_id", "strange_share", "surprise", "n_words", "stuffed"],
             )
 
