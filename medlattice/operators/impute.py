@@ -241,7 +241,8 @@ def fill(npx: DataFrame, panels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lost = lost.withColumn("_p", F.array_min(away)["p"]).drop("_choice")
     found = part.where("_own is not null or _at is not null").withColumn("_p", F.coalesce("_own", "_at"))
     part = found.unionByName(lost.select(*found.columns)).join(F.broadcast(expected.select("_p", "_m", "_s", "_v")), "_p", "left")
-    guess = F.greatest(F.lit(NPX_LOW), F.least(F.lit(NPX_HIGH), F.round(F.col("_m") + F.col("_s") * _dot(F.col("_u"), F.col("_v")), 4)))
+    raw = F.round(F.col("_m") + F.col("_s") * _dot(F.col("_u"), F.col("_v")), 4)
+    guess = F.when(raw.isNotNull(), F.greatest(F.lit(NPX_LOW), F.least(F.lit(NPX_HIGH), raw)))
     shown = F.filter(arms, lambda a: F.coalesce(F.element_at("_shown", a["i"] + 1), F.lit(False)))
     choice = F.when(F.size(shown) > 0, shown).otherwise(arms)
     best = F.array_max(F.transform(choice, lambda a: F.struct(_dot(F.col("_u"), a["v"]).alias("s"), (-a["i"]).alias("o"), a["name"].alias("n"))))["n"]
