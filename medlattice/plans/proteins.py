@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import normal_sql, uniform_sql
@@ -18,6 +18,11 @@ _R = f"with {_PROTEIN}, r as (select *, {ARM} as arm from readings)"
 _CELLS = f"""with {_PROTEIN}, cell as (select sample_id, protein_id, arg_max(npx, (not coalesce(qc_warning, false), measured_at, loaded_at, row_id)) as npx from readings group by 1, 2)"""
 
 
+def _steady(value: Column, digits: int = 6) -> Column:
+    """Rounded for comparison: means of short decimals often end in a 5, which sums in another order tip either way."""
+    return F.round(value + 1e-9, digits)
+
+
 def _readings(spark: SparkSession, root: str) -> DataFrame:
     return npx.usable(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"))
 
@@ -44,20 +49,20 @@ def sm01_simulated_readings(spark: SparkSession, root: str) -> DataFrame:
     return npx.simulate(spark, SIMULATED).withColumn("npx", F.round("npx", 6))
 
 
-@on(f"{_R} select protein_id, round(avg(npx), 6) as mean_npx, count(*) as n, count(distinct sample_id) as n_samples, round(1 - count(distinct sample_id) / (select count(distinct sample_id) from r), 6) as drop_rate from r group by 1")
+@on(f"{_R} select protein_id, round(avg(npx) + 1e-9, 6) as mean_npx, count(*) as n, count(distinct sample_id) as n_samples, round(1 - count(distinct sample_id) / (select count(distinct sample_id) from r) + 1e-9, 6) as drop_rate from r group by 1")
 def ag09_protein_stats(spark: SparkSession, root: str) -> DataFrame:
     """Also SO05 and AG18: ordered by mean, with the share of samples that lack the protein."""
-    return npx.protein_stats(_readings(spark, root)).withColumns({"mean_npx": F.round("mean_npx", 6), "drop_rate": F.round("drop_rate", 6)})
+    return npx.protein_stats(_readings(spark, root)).withColumns({c: _steady(F.col(c)) for c in ("mean_npx", "drop_rate")})
 
 
-@on(f"{_R} select protein_id, round(avg(npx), 6) as mean_npx, count(*) as n from r group by 1 order by avg(npx) desc, protein_id limit 10")
+@on(f"{_R} select protein_id, round(avg(npx) + 1e-9, 6) as mean_npx, count(*) as n from r group by 1 order by avg(npx) desc, protein_id limit 10")
 def so05_top_proteins(spark: SparkSession, root: str) -> DataFrame:
-    return npx.protein_stats(_readings(spark, root), top=10).select("protein_id", F.round("mean_npx", 6).alias("mean_npx"), "n")
+    return npx.protein_stats(_readings(spark, root), top=10).select("protein_id", _steady(F.col("mean_npx")).alias("mean_npx"), "n")
 
 
-@on(f"{_R}, d as (select protein_id, avg(npx) filter (arm = 'case') as a, avg(npx) filter (arm = 'baseline') as b from r group by 1) select protein_id, round(a, 6) as case_mean, round(b, 6) as control_mean, round(a - b, 6) as delta from d")
+@on(f"{_R}, d as (select protein_id, avg(npx) filter (arm = 'case') as a, avg(npx) filter (arm = 'baseline') as b from r group by 1) select protein_id, round(a + 1e-9, 6) as case_mean, round(b + 1e-9, 6) as control_mean, round(a - b + 1e-9, 6) as delta from d")
 def ag10_group_deltas(spark: SparkSession, root: str) -> DataFrame:
-    return npx.group_deltas(_readings(spark, root)).select("protein_id", *[F.round(c, 6).alias(c) for c in ("case_mean", "control_mean", "delta")])
+    return npx.group_deltas(_readings(spark, root)).select("protein_id", *[_steady(F.col(c)).alias(c) for c in ("case_mean", "control_mean", "delta")])
 
 
 _W = f"""{_R}, w as (select protein_id, avg(npx) filter (arm = 'case') as ma, var_samp(npx) filter (arm = 'case') as va, count(*) filter (arm = 'case') as na,
@@ -96,24 +101,24 @@ def ag14_principal_components(spark: SparkSession, root: str) -> DataFrame:
     return npx.principal_components(npx.median_filled(_cells(spark, root), proteins), proteins)
 
 
-@on(f"{_R} select round(avg(qc_warning::int), 6) as qc_rate, count(*) as n_readings, count(distinct sample_id) as n_samples, count(distinct protein_id) as n_proteins from r")
+@on(f"{_R} select round(avg(qc_warning::int) + 1e-9, 6) as qc_rate, count(*) as n_readings, count(distinct sample_id) as n_samples, count(distinct protein_id) as n_proteins from r")
 def ag18_qc_rate(spark: SparkSession, root: str) -> DataFrame:
-    return _readings(spark, root).agg(F.round(F.avg(F.col("qc_warning").cast("int")), 6).alias("qc_rate"), F.count("*").alias("n_readings"), F.countDistinct("sample_id").alias("n_samples"), F.countDistinct("protein_id").alias("n_proteins"))
+    return _readings(spark, root).agg(_steady(F.avg(F.col("qc_warning").cast("int"))).alias("qc_rate"), F.count("*").alias("n_readings"), F.countDistinct("sample_id").alias("n_samples"), F.countDistinct("protein_id").alias("n_proteins"))
 
 
-@on("with n as (select plate_id, npx from olink_npx where npx between -10 and 25 and not isnan(npx)) select plate_id, round(avg(npx), 6) as mean_npx, count(*) as n from n group by 1")
+@on("with n as (select plate_id, npx from olink_npx where npx between -10 and 25 and not isnan(npx)) select plate_id, round(avg(npx) + 1e-9, 6) as mean_npx, count(*) as n from n group by 1")
 def ag19_plate_means(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "olink_npx").select("plate_id", npx.usable_npx(F.col("npx")).alias("npx")).where("npx is not null")
-    return rows.groupBy("plate_id").agg(F.round(F.avg("npx"), 6).alias("mean_npx"), F.count("*").alias("n"))
+    return rows.groupBy("plate_id").agg(_steady(F.avg("npx")).alias("mean_npx"), F.count("*").alias("n"))
 
 
 def _catalogue(spark: SparkSession, root: str) -> DataFrame:
     """Effects of the arms against baseline as a catalogue of the effects' shape."""
     d = npx.group_deltas(_readings(spark, root)).where("delta is not null")
-    return d.select(F.lit("case").alias("disease"), F.col("protein_id").alias("protein_uniprot"), F.round("delta", 4).alias("delta_npx"), F.lit(0.1).alias("se_delta"))
+    return d.select(F.lit("case").alias("disease"), F.col("protein_id").alias("protein_uniprot"), _steady(F.col("delta"), 4).alias("delta_npx"), F.lit(0.1).alias("se_delta"))
 
 
-@on(f"{_R}, d as (select protein_id, round(avg(npx) filter (arm = 'case') - avg(npx) filter (arm = 'baseline'), 4) as delta from r group by 1) select protein_id as protein_uniprot, delta as delta_npx from d where abs(delta) > 0")
+@on(f"{_R}, d as (select protein_id, round(avg(npx) filter (arm = 'case') - avg(npx) filter (arm = 'baseline') + 1e-9, 4) as delta from r group by 1) select protein_id as protein_uniprot, delta as delta_npx from d where abs(delta) > 0")
 def prj02_effect_map(spark: SparkSession, root: str) -> DataFrame:
     """Also FLT10: effects of zero are none."""
     made = npx.effect_map(_catalogue(spark, root), ["case"])

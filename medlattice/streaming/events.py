@@ -22,20 +22,23 @@ def deduplicated(events: DataFrame, key: list[str], delay: str = "7 days", time:
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
-def day_bundles(events: DataFrame, delay: str = "7 days", time: str = "time") -> DataFrame:
-    """(subject_id, day, n_events, n_codes, codes) per tumbling day, final when the watermark has passed it."""
+def day_bundles(events: DataFrame, delay: str | None = "7 days", time: str = "time") -> DataFrame:
+    """(subject_id, day, n_events, n_codes, codes) per tumbling day, final when the watermark has passed it.
+
+    A stream that has a watermark already, as a deduplicated one, is given with ``delay`` None.
+    """
     return (
-        events.withWatermark(time, delay)
+        (events.withWatermark(time, delay) if delay else events)
         .groupBy("subject_id", F.window(time, "1 day"))
         .agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set("code")).alias("codes"))
         .select("subject_id", F.to_date("window.start").alias("day"), "n_events", F.size("codes").alias("n_codes"), "codes")
     )
 
 
-def episodes(events: DataFrame, gap: str = "30 days", delay: str = "7 days", time: str = "time") -> DataFrame:
+def episodes(events: DataFrame, gap: str = "30 days", delay: str | None = "7 days", time: str = "time") -> DataFrame:
     """(subject_id, start, end, n_events): runs of events without a pause of ``gap``."""
     return (
-        events.withWatermark(time, delay)
+        (events.withWatermark(time, delay) if delay else events)
         .groupBy("subject_id", F.session_window(time, gap))
         .agg(F.count("*").alias("n_events"))
         .select("subject_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_events")
