@@ -23,6 +23,38 @@ from .normal import plain, read_alike, words
 NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01p"
 #: Units of measure, as words() spells them.
 UNITS = frozenset("mg g kg ug ng l ml dl mmhg mmoll umoll nmoll moll mgl ugl gl gdl mgdl ul 109l min lmin bpm npx ms mm cm m km c f iu iul mlmin h s percent".split())
+#: Number words up to twenty, and tens, by language and as words() spells them.
+NUMBER_WORDS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty",
+    "de": "null eins zwei drei vier funf sechs sieben acht neun zehn elf zwolf dreizehn vierzehn funfzehn sechzehn siebzehn achtzehn neunzehn zwanzig",
+    "fr": "zero un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dixsept dixhuit dixneuf vingt",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis diecisiete dieciocho diecinueve veinte",
+}
+TENS = {
+    "en": "twenty thirty forty fifty sixty seventy eighty ninety", "de": "zwanzig dreissig vierzig funfzig sechzig siebzig achtzig neunzig",
+    "fr": "vingt trente quarante cinquante soixante quatrevingt", "es": "veinti treinta cuarenta cincuenta sesenta setenta ochenta noventa",
+}
+
+
+def _spelled_numbers() -> frozenset[str]:
+    """Numbers in words: units, tens, and tens with a unit before or behind them.
+
+    One is left out by itself, as it is an article too; so are the spellings of two words.
+    """
+    made: set[str] = set()
+    for language, small in NUMBER_WORDS.items():
+        units = small.split()
+        tens = TENS[language].split()
+        made.update(units[2:])
+        made.update(t for t in tens if t != "veinti")
+        for t in tens:
+            for u in units[1:20]:
+                made.update({f"{u}und{t}", f"{'ein' if u == 'eins' else u}und{t}"} if language == "de" else {t + u, f"{t}et{u}"} if language == "fr" else {t + u})
+    return frozenset(made)
+
+
+SPELLED = _spelled_numbers()
+READ_SPELLED = frozenset(read_alike(w) for w in SPELLED)
 
 
 @dataclass(frozen=True)
@@ -33,7 +65,9 @@ class Rule:
     gap: int = 2  #: words of item or document between two windows of a stretch
     stretch: int = 8  #: agreeing words a stretch must have
     agreement: float = 0.75  #: share of a stretch's words that must agree
+    conflict: float = 0.34  #: share of a stretch's aligned slots that may hold another value in a copy
     share: float = 1 / 3  #: share of the item's words that all its stretches together must hold
+    template_share: float = 0.5  #: the same where most of them lie in stretches with other slots
     shared_by: int = 3  #: items that must end in the same sentence for it to be a standard instruction
     instruction: int = 6  #: least words of a standard instruction
 
@@ -55,12 +89,14 @@ def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s]
 
 
-def template(tokens: Sequence[str], names: set[str], known: set[str]) -> list[str]:
+def template(tokens: Sequence[str], names: set[str], known: set[str], spelled: frozenset[str] = SPELLED) -> list[str]:
     """Tokens with numbers, units and names replaced; a word that no item knows may stand for a name."""
     made = []
     for w in tokens:
         if w in UNITS:
             made.append(UNIT)
+        elif w in spelled:
+            made.append(NUMBER)
         elif not w.isalpha() and any(c.isdigit() for c in w):
             made.append(NAME if w[0].isalpha() else NUMBER)
         elif w in names or w not in known:
@@ -131,8 +167,12 @@ def _runs(hits: list[tuple[int, int]], width: int) -> list[list[int]]:
     return made
 
 
-def stretches(item: list[str], document: list[str], hits: list[tuple[int, int]], rule: Rule) -> list[tuple[int, int, int, int, set[int]]]:
-    """Stretches of the document in the item's order: item and document range, and the item's words that agree."""
+def stretches(item: list[str], document: list[str], hits: list[tuple[int, int]], rule: Rule, item_marks: list[str], document_marks: list[str]) -> list[tuple[int, int, int, int, set[int], bool]]:
+    """Stretches of the document in the item's order: item and document range, the item's words held, and whether the slots agree.
+
+    Where the slots agree, the passage is the item's and holds its words, single changed or dropped ones too; where
+    they hold other values, it is the template with other parameters, and only words that agree are held.
+    """
     runs = sorted(_runs(hits, rule.window), key=lambda r: (r[2], r[0]))
     score = [r[1] - r[0] for r in runs]
     before = [-1] * len(runs)
@@ -156,19 +196,23 @@ def stretches(item: list[str], document: list[str], hits: list[tuple[int, int]],
         if not chain:
             continue
         chain.reverse()
-        agree: set[int] = set()
-        for k in chain:
-            p, q, d, _ = runs[k]
-            agree.update(p + s for s in range(q - p) if item[p + s] == document[d + s])
+        aligned = {p + s: d + s for p, q, d, _ in (runs[k] for k in chain) for s in range(q - p)}
         for a, b in zip(chain, chain[1:]):  # single words between two runs
             gap_item, gap_document = runs[b][0] - runs[a][1], runs[b][2] - runs[a][3]
             if gap_item == gap_document:
-                agree.update(runs[a][1] + s for s in range(gap_item) if item[runs[a][1] + s] == document[runs[a][3] + s])
+                aligned |= {runs[a][1] + s: runs[a][3] + s for s in range(gap_item)}
+        agree = {p for p, d in aligned.items() if item[p] == document[d]}
         first, last = runs[chain[0]], runs[chain[-1]]
+        # a number in words says nothing about one in digits
+        slots = [p for p, d in aligned.items() if item_marks[p][0] == "\x01" == document_marks[d][0] and (document[d] in READ_SPELLED) == (item[p] in READ_SPELLED)]
+        same = sum(p in agree for p in slots)
         fresh = agree - held
         if len(fresh) >= rule.stretch and len(agree) >= rule.agreement * max(last[1] - first[0], last[3] - first[2]):
-            held |= agree
-            made.append((first[0], last[1], first[2], last[3], fresh))
+            own = len(slots) - same <= rule.conflict * len(slots)
+            if own:
+                fresh = set(range(first[0], last[1])) - held
+            held |= fresh | agree
+            made.append((first[0], last[1], first[2], last[3], fresh, own))
     return made
 
 
@@ -180,7 +224,7 @@ def judge(text: str | None, index: Index, floor: float | None = None) -> list[tu
     if len(raw) < rule.stretch:
         return []
     document = [read_alike(w) for w in raw]
-    marks = template(document, index.names, index.known)
+    marks = template(document, index.names, index.known, READ_SPELLED)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     look = index.windows.get
     for d, window in enumerate(zip(*[marks[k:] for k in range(rule.window)])):
@@ -193,9 +237,10 @@ def judge(text: str | None, index: Index, floor: float | None = None) -> list[tu
         n = index.counted[i]
         if len({p for _, p in at}) < max(3, 0.25 * floor * n):
             continue
-        parts = stretches(index.items[i], document, at, rule)
+        parts = stretches(index.items[i], document, at, rule, index.templates[i], marks)
         held = sum(len(s[4]) for s in parts)
-        if held >= floor * n:
+        own = sum(len(s[4]) for s in parts if s[5])
+        if held >= (floor if 2 * own >= held else max(floor, rule.template_share)) * n:
             made.append((i, held, n, len(parts)))
     return made
 
