@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.npx import usable_npx, with_protein
-from ..session import tasks_for
+from ..session import cut, tasks_for
 
 #: Attributes a wide table may have; their names travel in the plan.
 MAX_ATTRIBUTES = 20_000
@@ -35,24 +34,25 @@ def block_pivot(
     """One row per entity with a column per attribute and value, from cells that are unique per (entity, attribute).
 
     ``values`` maps a value column to the pattern of its wide columns (``"{}"`` is the attribute).  The cells are
-    hashed by entity once; each block of attributes is pivoted within those buckets and the blocks are joined on the
-    same hash, so no further exchange takes place.  An entity keeps at most one cell per attribute, which bounds what
-    any task gathers for it.  Entities without a listed attribute stay, with NULLs; a NULL entity is left out.
+    written once in a folder per block of attributes; each block is hashed by entity into the same buckets and pivoted
+    in them, and the blocks are joined bucket by bucket, so every cell is moved once and no block again.  An entity
+    keeps at most one cell per attribute, which bounds what any task gathers for it.  Entities without a listed
+    attribute stay, with NULLs; a NULL entity is left out.
     """
-    n = buckets or tasks_for(cells.sparkSession)
-    placed = cells.select(entity, attribute, *values).where(F.col(entity).isNotNull()).repartition(n, entity)
-    blocks = [list(attributes[i : i + block]) for i in range(0, len(attributes), block)] or [[]]
-    wide = []
-    for names in blocks:
-        if not names:
-            wide.append(placed.select(entity).distinct())
-            continue
-        made = placed.groupBy(entity).pivot(attribute, names).agg(*[F.max(value).alias(value) for value in values])
-        suffix = (lambda value: "") if len(values) == 1 else (lambda value: f"_{value}")
-        wide.append(
-            made.select(entity, *[F.col(f"`{name}{suffix(value)}`").alias(pattern.format(name)) for name in names for value, pattern in values.items()])
-        )
-    return functools.reduce(lambda a, b: a.join(b, entity), wide)
+    spark = cells.sparkSession
+    n = buckets or tasks_for(spark)
+    place = spark.createDataFrame([(a, i // block) for i, a in enumerate(attributes)], f"{attribute} string, _block int")
+    given = cells.select(entity, attribute, *values).where(F.col(entity).isNotNull())
+    placed = cut(given.join(F.broadcast(place), attribute, "left"), "_block")
+    wide = placed.select(entity).repartition(n, entity).dropDuplicates()
+    suffix = (lambda value: "") if len(values) == 1 else (lambda value: f"_{value}")
+    for k in range(-(-len(attributes) // block)):
+        names = list(attributes[k * block : (k + 1) * block])
+        bucketed = placed.where(F.col("_block") == k).drop("_block").repartition(n, entity)
+        made = bucketed.groupBy(entity).pivot(attribute, names).agg(*[F.max(value).alias(value) for value in values])
+        made = made.select(entity, *[F.col(f"`{name}{suffix(value)}`").alias(pattern.format(name)) for name in names for value, pattern in values.items()])
+        wide = wide.join(made, entity, "left")
+    return wide
 
 
 def melt(wide: DataFrame, entity: str, columns: dict[str, str], attribute: str, value: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -69,15 +70,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_dir
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as Parquet in the shared folder and read it back.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared folder, in folders per value of ``by``, and read it back.
 
     Lineage ends there, so a lost executor costs a re-read and not a recomputation, and columnar files keep their
     statistics and pruning, which an RDD checkpoint would lose.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.partitionBy(*by).option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,7 +86,7 @@ def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut`, once nothing will read it again."""
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+    for folder in {re.sub(r"(/cut-[0-9a-f]{32})/.*", r"\1", name) for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         if path.getName().startswith("cut-"):
             path.getFileSystem(conf).delete(path, True)
