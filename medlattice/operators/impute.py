@@ -27,10 +27,10 @@ MAX_PROTEINS = 100_000
 @dataclass(frozen=True)
 class Rule:
     rank: int = len(GROUPS) + 1  #: length of the vectors; a dimension per arm and one for a sample's offset
-    sweeps: int = 3  #: alternations
-    ridge_sample: float = 4.0  #: pull of sample vectors towards 0, in cells
+    sweeps: int = 4  #: alternations
+    ridge_sample: float = 0.85  #: pull of sample vectors towards 0: the noise of a standardised reading
     ridge_feature: float = 10.0  #: pull of protein and arm vectors towards 0, in cells
-    arm_weight: float = 40.0  #: weight of an arm's cell against a reading's
+    arm_weight: float = 400.0  #: weight of an arm's cell against a reading's
 
 
 @dataclass(frozen=True)
@@ -120,15 +120,16 @@ def _padded(batch: pa.RecordBatch, mean: np.ndarray, sd: np.ndarray) -> tuple[np
     return f, z, w, np.where(total > 0, arms / np.maximum(total, 1), 0.0)
 
 
-def solve_samples(f, z, w, arms, protein: np.ndarray, arm: np.ndarray, rule: Rule) -> np.ndarray:
-    """Ridge regression of every sample on the vectors of its cells, a batch at a time."""
+def solve_samples(f, z, w, arms, protein: np.ndarray, arm: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge regression of every sample on the vectors of its cells, a batch at a time; and how sure each is."""
     v = protein[f] * w[:, :, None]
-    gram = np.einsum("nki,nkj->nij", v, v) + rule.ridge_sample * np.eye(rule.rank)
+    gram = v.transpose(0, 2, 1) @ v + rule.ridge_sample * np.eye(rule.rank)
     right = np.einsum("nki,nk->ni", v, z)
     given = (arms.sum(axis=1) > 0) * rule.arm_weight
     gram += given[:, None, None] * (arm.T @ arm)
     right += given[:, None] * (arms @ arm)
-    return np.linalg.solve(gram, right[:, :, None])[:, :, 0]
+    inverse = np.linalg.inv(gram)
+    return np.einsum("nij,nj->ni", inverse, right), rule.ridge_sample * inverse
 
 
 def factorise(cells: DataFrame, catalogue: Catalogue, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def factorise(cells: DataFrame, catalogue: Catalogue, rule: Rule = Rule()) -> tu
     """
     p, a, r = len(catalogue.mean), len(GROUPS), rule.rank  # an empty catalogue has one stand-in
     protein, arm = np.zeros((p, r)), np.zeros((a, r))
-    protein[:, r - 1] = 0.3
+    protein[:, r - 1] = 0.15
     arm[:, :a] = np.eye(a)[:, : min(a, r)] if r >= a else np.eye(a, r)
     average = np.zeros(r)
     mean, sd = catalogue.mean, catalogue.sd
@@ -154,8 +155,9 @@ def factorise(cells: DataFrame, catalogue: Catalogue, rule: Rule = Rule()) -> tu
                 if not batch.num_rows:
                     continue
                 f, z, w, arms = _padded(batch, mean, sd)
-                u = solve_samples(f, z, w, arms, vp, va, rule)
-                outer = np.concatenate([(u[:, :, None] * u[:, None, :]).reshape(len(u), r * r), u], axis=1)
+                u, unsure = solve_samples(f, z, w, arms, vp, va, rule)
+                # what the samples' vectors leave open counts too, else few cells a sample make the vectors too long
+                outer = np.concatenate([(u[:, :, None] * u[:, None, :] + unsure).reshape(len(u), r * r), u], axis=1)
                 row, column = np.nonzero(w)
                 at = f[row, column]
                 part = outer[row]
@@ -214,7 +216,7 @@ def fill(npx: DataFrame, panels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f, z, w, arms = _padded(batch, mean, sd)
-            u = solve_samples(f, z, w, arms, *shared.value, rule)
+            u, _ = solve_samples(f, z, w, arms, *shared.value, rule)
             yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array(list(u), pa.list_(pa.float64())), pa.array(list(arms > 0), pa.list_(pa.bool_()))], names=["sample", "_u", "_shown"])
 
     kind = dict(cells.dtypes)["sample"]

@@ -61,4 +61,4 @@ def test_solve_samples_is_ridge_regression():
     arms = np.array([[0, 1.0, 0, 0, 0]])
     x = np.concatenate([protein[[0, 2]], np.sqrt(2.0) * arm, np.sqrt(rule.ridge_sample) * np.eye(6)])
     y = np.concatenate([z[0, :2], np.sqrt(2.0) * arms[0], np.zeros(6)])
-    assert np.allclose(impute.solve_samples(f, z, w, arms, protein, arm, rule)[0], np.linalg.lstsq(x, y, rcond=None)[0])
+    assert np.allclose(impute.solve_samples(f, z, w, arms, protein, arm, rule)[0][0], np.linalg.lstsq(x, y, rcond=None)[0])
