@@ -118,9 +118,11 @@ def chains(edges: DataFrame, start: str, depth: int = 5, exact: bool = False) ->
     keyed = cut(edges.select("doc_id", "key", F.lower(F.array_join("sources", " ")).alias("source"), after.alias("target"), "sources"))
     front = keyed.where(F.contains("source", F.lit(start.lower()))).select("doc_id", F.array("key").alias("path"), "target")
     found = front
+    near = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "source", F.col("target").alias("t"), "sources")
+    if exact:  # one row per source node, met by equality
+        near = near.select("d", "k", "t", F.explode(F.array_distinct(F.transform("sources", lambda s: F.lower(s)))).alias("source"))
     for _ in range(depth - 1):
-        near = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "source", F.col("target").alias("t"), "sources")
-        follows = F.exists("sources", lambda s: F.lower(s) == F.col("target")) if exact else F.contains("source", F.col("target"))
+        follows = F.col("source") == F.col("target") if exact else F.contains("source", F.col("target"))
         front = front.join(near, (F.col("doc_id") == F.col("d")) & follows & ~F.array_contains("path", F.col("k"))).select("doc_id", F.concat("path", F.array("k")).alias("path"), F.col("t").alias("target"))
         found = found.unionByName(front)
     return found.select("doc_id", "path", F.size("path").alias("length"))

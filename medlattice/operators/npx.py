@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,8 +225,8 @@ def principal_components(filled: DataFrame, proteins: Sequence[str], k: int = 2)
     """(sample_id, pc1..pck) of the standardised grid: sums of products where the data are, the k vectors on the driver."""
     if len(proteins) > 2000:
         raise ValueError("too many proteins for a dense covariance")
-    w = Window.partitionBy("protein_id")
-    z = filled.withColumn("z", F.try_divide(F.col("npx") - F.avg("npx").over(w), F.stddev_pop("npx").over(w))).withColumn("z", F.coalesce("z", F.lit(0.0)))
+    moments = filled.groupBy("protein_id").agg(F.avg("npx").alias("m"), F.stddev_pop("npx").alias("s"))  # as many rows as proteins
+    z = filled.join(F.broadcast(moments), "protein_id").withColumn("z", F.coalesce(F.try_divide(F.col("npx") - F.col("m"), F.col("s")), F.lit(0.0)))
     rows = z.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("protein_id", "z"))).alias("c")).select("sample_id", F.col("c.z").alias("v"))
     n = len(proteins)
 

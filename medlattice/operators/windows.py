@@ -58,10 +58,15 @@ def lookback_tiling(spans: DataFrame, resolution: str) -> DataFrame:
 
 
 def assign_tiles(events: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Events with the tile that holds them: an equi-join on the patient, the interval as its residual."""
-    t = tiles.alias("t")
-    e = events.alias("e")
-    held = (F.col("e.patient_id") == F.col("t.patient_id")) & (F.col("e.date") > F.col("t.window_start")) & (F.col("e.date") <= F.col("t.window_end"))
+    """Events with the tile that holds them: an equi-join on patient and month, the interval as its residual.
+
+    A tile is listed under every month it touches, so an event meets the few tiles of its month only, however long its
+    patient's history is.
+    """
+    months = F.sequence(F.trunc(F.date_add("window_start", 1), "MM"), F.trunc("window_end", "MM"), F.expr("interval 1 month"))
+    t = tiles.withColumn("_month", F.explode(months)).alias("t")
+    e = events.withColumn("_month", F.trunc("date", "MM")).alias("e")
+    held = (F.col("e.patient_id") == F.col("t.patient_id")) & (F.col("e._month") == F.col("t._month")) & (F.col("e.date") > F.col("t.window_start")) & (F.col("e.date") <= F.col("t.window_end"))
     return t.join(e, held).select("t.patient_id", "t.window_no", "t.window_start", "t.window_end", "e.event_id", "e.date")
 
 
@@ -134,11 +139,8 @@ def resolve_references(histories: DataFrame, documents: DataFrame) -> DataFrame:
 
 def period_chunks(events: DataFrame, years: int = 5) -> DataFrame:
     """Events by periods of ``years`` from a patient's first year; the last ends in the patient's last year."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("patient_id")
-    low, high = F.min(F.year("date")).over(w), F.max(F.year("date")).over(w)
-    placed = events.withColumn("low", low).withColumn("high", high).withColumn("chunk_no", F.floor((F.year("date") - F.col("low")) / years).cast("int"))
+    spans = events.groupBy("patient_id").agg(F.min(F.year("date")).alias("low"), F.max(F.year("date")).alias("high"))
+    placed = events.select("patient_id", "date").join(spans, "patient_id").withColumn("chunk_no", F.floor((F.year("date") - F.col("low")) / years).cast("int"))
     first = F.col("low") + F.col("chunk_no") * years
     return placed.groupBy("patient_id", "chunk_no").agg(F.min(first).alias("from_year"), F.min(F.least(first + years - 1, F.col("high"))).alias("to_year"), F.count("*").alias("n_events"))
 

@@ -327,7 +327,7 @@ def _cohort_labels(h: History) -> DataFrame:
 
 
 _COHORT = f"""{EVENT_SQL}, l as (select p.Id as patient_id, {split_sql('p.Id')} as split, n.concept_id, f.first_date is not null as positive from patient p cross join panel n left join first f on f.patient_id = p.Id and f.concept_id = n.concept_id),
-k as (select *, row_number() over (partition by concept_id, split, positive order by cast(('0x' || substr(sha256('0:cohort:' || concept_id || ':' || patient_id), 1, 13))::ubigint as double), patient_id) as rk,
+k as (select *, row_number() over (partition by concept_id, split, positive order by sha256('0:cohort:' || concept_id || ':' || patient_id), patient_id) as rk,
   count_if(positive) over (partition by concept_id, split) as a, count_if(not positive) over (partition by concept_id, split) as b from l),
 cohort as (select concept_id, split, patient_id, positive from k where rk <= least(a, b, greatest(3, floor(least(a, b) * 0.5))))"""
 
