@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id
+from ..session import cut
 from .pivot import attribute_list, block_pivot
 
 #: Days outside these are typing errors, not history.
@@ -117,9 +118,10 @@ def feature_table(conditions: DataFrame, as_of: date, block: int = 96) -> DataFr
     """One row per patient: n_CODE, recency_CODE and days_CODE for every code of the table.
 
     Counts and days of a code that a patient never had are 0, the recency NULL.  The patient is the plain 32-digit id.
+    Codes are those of the entries, whatever their day.
     """
-    events = entries(conditions)
-    codes = attribute_list(conditions.select(plain_code(F.col("CODE")).alias("code")), "code")
+    events = cut(entries(conditions))  # read twice below: by whole months and by boundary
+    codes = attribute_list(events, "code")
     cells = long_features(bucket_partials(events), events, as_of)
     wide = block_pivot(cells, "patient", "code", {"n": "n_{}", "recency_days": "recency_{}", "total_days": "days_{}"}, codes, block)
     filled = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) if not c.startswith("recency_") else F.col(c) for c in wide.columns[1:]]
