@@ -233,3 +233,43 @@ def verify_truth(genotypes: DataFrame, truth: DataFrame) -> DataFrame:
     key = ["person_id", "variant_id", "homologue"]
     a, b = genotypes.select(*key, F.col("allele_index").alias("got")), truth.select(*key, F.col("allele_index").alias("want"))
     return a.join(b, key, "full_outer").where(~F.col("got").eqNullSafe(F.col("want")))
+
+
+RECIPE_KEYS = ("genotypes", "sites", "traits", "effects", "effect_rules", "covariates", "covariate_effects", "residual_covariance", "observed_probability", "seed")
+MECHANISMS = ("additive", "dominance", "interaction", "compound_het")
+
+
+def run_recipe(spark: SparkSession, recipe: Mapping, folder: str) -> dict:
+    """Phenotypes by a closed recipe, written as a bundle with its manifest; the manifest is returned.
+
+    ``genotypes``, ``sites`` and ``covariates`` are paths of Parquet tables; ``effects`` maps a mechanism to rows of its
+    table; an effect rule (trait_id, least, beta) gives its beta to the first common site.  Unknown keys, mechanisms and
+    unmet rules are errors.
+    """
+    from ..sources.files import closed
+    from ..sources.sinks import write_association_bundle
+
+    recipe = closed(dict(recipe), RECIPE_KEYS, ("genotypes", "traits", "seed"))
+    seed = int(recipe["seed"])
+    genotypes = spark.read.parquet(recipe["genotypes"])
+    people, traits = genotypes.select("person_id").distinct(), list(recipe["traits"])
+    rows = {m: [tuple(r) for r in recipe.get("effects", {}).get(m, [])] for m in MECHANISMS}
+    if set(recipe.get("effects", {})) - set(MECHANISMS):
+        raise ValueError("unknown mechanism")
+    for trait, least, beta in recipe.get("effect_rules", []):
+        site = first_common_site(genotypes, spark.read.parquet(recipe["sites"]), int(least)).first()
+        if site is None:
+            raise ValueError(f"no site has {least} copies of its rarer allele")
+        rows["additive"].append((site["variant_id"], 1, trait, float(beta)))
+    single = "variant_id string, allele_index int, trait_id string, beta double"
+    pair = "variant_1 string, allele_1 int, variant_2 string, allele_2 int, centre_1 double, centre_2 double, trait_id string, beta double"
+    make = {"additive": (additive, single), "dominance": (dominance, single), "interaction": (interaction, pair), "compound_het": (compound_het, pair)}
+    parts = {m: f(genotypes, spark.createDataFrame(rows[m], schema)) for m, (f, schema) in make.items() if rows[m]}
+    fixed = None
+    if "covariates" in recipe:
+        betas = [tuple(r) for r in recipe.get("covariate_effects", [])]
+        fixed = fixed_effects(spark.read.parquet(recipe["covariates"]), spark.createDataFrame(betas, "covariate_id string, trait_id string, beta double"))
+    noise = residuals(people, traits, np.array(recipe["residual_covariance"], float), seed) if "residual_covariance" in recipe else None
+    made = phenotypes(people, spark.createDataFrame([(t,) for t in traits], "trait_id string"), parts, fixed, noise)
+    made = observe(made, F.lit(float(recipe.get("observed_probability", 1.0))), seed)
+    return write_association_bundle({"phenotypes": made, "genotypes": genotypes}, folder, {"recipe": json.dumps(recipe, sort_keys=True), "genotype_signature": table_signature(genotypes, [])})

@@ -186,3 +186,40 @@ def descendants(parents: DataFrame, roots: DataFrame, most_depth: int = 50) -> D
 def document_counts(linked: DataFrame) -> DataFrame:
     """Per document: mentions, linked ones, distinct concepts."""
     return linked.groupBy("document_id").agg(F.count("*").alias("n_mentions"), F.count("concept_id").alias("n_linked"), F.countDistinct("concept_id").alias("n_concepts"))
+
+
+def grounded_relations(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(document_id, source_ids, target_id, relation): edges between linked entities, each once, the first.
+
+    An end is read as a label of its document in any letter case, or by an id in ``[SNOMED:id]``.  ``edges``:
+    (document_id, edge_no, sources, target, relation); ``labels``: (document_id, label, concept_id).  Edges with an end
+    that is neither are left out; sources count in any order.
+    """
+    named = labels.groupBy("document_id", F.lower(F.trim("label")).alias("label")).agg(F.min("concept_id").alias("named_id"))
+    kind = dict(labels.dtypes)["concept_id"]
+
+    def ground(df: DataFrame, end: str, to: str) -> DataFrame:
+        stated = F.regexp_extract(end, r"\[SNOMED:\s*(\w+)\]", 1).try_cast(kind)
+        bare = F.lower(F.trim(F.regexp_replace(end, r"\[[^\]]*\]", "")))
+        return df.withColumn("label", bare).join(named, ["document_id", "label"], "left").withColumn(to, F.coalesce("named_id", stated)).drop("label", "named_id")
+
+    ends = edges.select("document_id", "edge_no", "relation", "target", F.size("sources").alias("n"), F.explode("sources").alias("source"))
+    found = ground(ground(ends, "source", "source_id"), "target", "target_id").where("source_id is not null and target_id is not null")
+    whole = found.groupBy("document_id", "edge_no", "relation", "target_id", "n").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"), F.count("*").alias("got")).where("got = n")
+    first = whole.groupBy("document_id", "source_ids", "target_id", "relation").agg(F.min("edge_no").alias("edge_no"))
+    return first.select("document_id", "source_ids", "target_id", "relation", "edge_no")
+
+
+def check_concept_sets(bridge: DataFrame, roots: DataFrame) -> None:
+    """An error unless every concept has a code and holds its own root: bridge (concept_id, code), roots (concept_id, code)."""
+    lost = roots.join(bridge, ["concept_id", "code"], "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"concept sets without their root: {', '.join(str(r['concept_id']) for r in lost)}")
+
+
+def check_families(families: DataFrame, panel: DataFrame) -> None:
+    """An error unless every family has two candidates at least and all of them are in the panel."""
+    lost = families.join(panel.select("concept_id"), "concept_id", "left_anti").limit(5).collect()
+    small = families.groupBy("family_id").agg(F.countDistinct("concept_id").alias("n")).where("n < 2").limit(5).collect()
+    if lost or small:
+        raise ValueError(f"unknown candidates {[r['concept_id'] for r in lost]}, families of one {[r['family_id'] for r in small]}")

@@ -272,4 +272,24 @@ def vl12_response_parse(spark: SparkSession, root: str) -> DataFrame:
     return df.select("doc_id", F.size(json_array_span(F.col("answer"), "array<struct<name:string>>")).cast("long").alias("n_entities"))
 
 
+@on(f"""{_RAW}, g(label, concept_id) as (select 'n' || i, i from range(0, 40, 2) t(i) union all select 't' || i, 100 + i from range(23) t(i) union all select 'end', 999),
+k as (select doc_id, line_no * 10 + step as edge_no, s, string_split(s, '|') as ss, regexp_replace(lower(target), '\\s*\\([^)]*\\)\\s*$', '') as target, op from edge), w as (select *, replace(lower(unnest(ss)), '[condition]', '') as source from k),
+f as (select w.doc_id, edge_no, op, b.concept_id as target_id, string_agg(distinct a.concept_id::varchar, ',' order by a.concept_id::varchar) as source_ids, count(*) as got, max(len(ss)) as n
+  from w join g a on a.label = w.source join g b on b.label = w.target group by 1, 2, 3, 4)
+select doc_id, source_ids, cast(target_id as bigint) as target_id, op as relation, min(edge_no)::bigint as edge_no from f where got = n group by 1, 2, 3, 4""")
+def vl11_grounded_relations(spark: SparkSession, root: str) -> DataFrame:
+    """Edges of a text between its linked entities, repeated ones once."""
+    e = _edges(spark, root)
+    edges = e.select(F.col("doc_id").alias("document_id"), (F.col("line_no") * 10 + F.col("step")).cast("long").alias("edge_no"), "sources", F.regexp_replace("target", r"\s*\([^)]*\)\s*$", "").alias("target"), F.col("edge_type").alias("relation"))
+    names = (
+        spark.range(0, 40, 2).select(F.concat(F.lit("n"), "id").alias("label"), F.col("id").alias("concept_id"))
+        .unionByName(spark.range(23).select(F.concat(F.lit("T"), "id").alias("label"), (F.col("id") + 100).alias("concept_id")))
+        .unionByName(spark.createDataFrame([("End", 999)], "label string, concept_id long"))
+    )
+    labels = edges.select("document_id").distinct().join(F.broadcast(names))
+    made = linking.grounded_relations(edges, labels)
+    text_ids = F.array_join(F.array_sort(F.transform("source_ids", lambda i: i.cast("string"))), ",")
+    return made.select(F.col("document_id").alias("doc_id"), text_ids.alias("source_ids"), "target_id", "relation", "edge_no")
+
+
 QUERIES, ORACLES = registry.queries, registry.oracles

@@ -319,3 +319,54 @@ def test_streams(spark, tmp_path):
     q = stream().writeStream.foreachBatch(taker.take).option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and taker.state.orphans.count() == 5
     assert orphans.snapshot(taker.state).agg(F.sum("n_open")).first()[0] == 5
+
+
+def test_recipe(spark, tmp_path):
+    g = spark.createDataFrame([(p, "V1", h, a) for p, (x, y) in {"a": (0, 1), "b": (1, 1), "c": (0, 0)}.items() for h, a in ((0, x), (1, y))], genetics.GENOTYPE)
+    g.write.parquet(str(tmp_path / "g"))
+    spark.createDataFrame([("V1", 10)], "variant_id string, position int").write.parquet(str(tmp_path / "s"))
+    recipe = {"genotypes": str(tmp_path / "g"), "sites": str(tmp_path / "s"), "traits": ["t"], "seed": 3, "effects": {"dominance": [["V1", 1, "t", 1.0]]}, "effect_rules": [["t", 2, 0.5]], "residual_covariance": [[0.0]], "observed_probability": 1.0}
+    manifest = genetics.run_recipe(spark, recipe, str(tmp_path / "out"))
+    assert set(manifest["arrays"]) == {"phenotypes", "genotypes"}
+    made = spark.read.parquet(str(tmp_path / "out/phenotypes"))
+    assert rows(made.select("person_id", "complete", "observed_value")) == [("a", 1.5, 1.5), ("b", 1.0, 1.0), ("c", 0.0, 0.0)]
+    for bad in ({"x": 1}, {"effects": {"magic": []}}, {"effect_rules": [["t", 9, 0.5]]}):
+        with pytest.raises(ValueError):
+            genetics.run_recipe(spark, recipe | bad, str(tmp_path / "bad"))
+
+
+def test_grounding_checks(spark):
+    edges = spark.createDataFrame([("d", 1, ["A", "b"], "C [SNOMED:7]", "=>"), ("d", 2, ["B", "a"], "x[SNOMED:7]", "=>"), ("d", 3, ["A"], "unknown", "=>")], "document_id string, edge_no int, sources array<string>, target string, relation string")
+    labels = spark.createDataFrame([("d", "a", 1), ("d", "B", 2), ("e", "unknown", 9)], "document_id string, label string, concept_id long")
+    assert rows(linking.grounded_relations(edges, labels)) == [("d", [1, 2], 7, "=>", 1)]
+    panel = spark.createDataFrame([("a", "1"), ("b", "2")], "concept_id string, code string")
+    linking.check_concept_sets(panel, panel)
+    with pytest.raises(ValueError):
+        linking.check_concept_sets(panel.where("code = '1'"), panel)
+    with pytest.raises(ValueError):
+        linking.check_families(spark.createDataFrame([("f", "a"), ("f", "zz")], "family_id string, concept_id string"), panel)
+    with pytest.raises(ValueError):
+        linking.check_families(spark.createDataFrame([("f", "a")], "family_id string, concept_id string"), panel)
+    linking.check_families(spark.createDataFrame([("f", "a"), ("f", "b")], "family_id string, concept_id string"), panel)
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from medlattice import cli
+
+    heads = {t: "PATIENT,ENCOUNTER,START,DESCRIPTION,CODE,REASONCODE,REASONDESCRIPTION,VALUE,UNITS,MODALITY_DESCRIPTION,BODYSITE_DESCRIPTION" for t in TABLE_ORDER}
+    heads |= {"patients": "Id,BIRTHDATE,DEATHDATE", "encounters": "Id,PATIENT,START,DESCRIPTION,REASONCODE,REASONDESCRIPTION"}
+    body = {"patients": "p,1990-01-01,\n", "encounters": "e,p,2019-01-01T00:00:00Z,visit for asthma,,\n", "conditions": "p,e,2019-01-01,Asthma,C1,,,,,,\n"}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for t, h in heads.items():
+            z.writestr(f"csv/{t}.csv", h + "\n" + body.get(t, ""))
+    (tmp_path / "b.csv").write_text("concept_id,code\nasthma,C1\n")
+    monkeypatch.setattr(cli, "build_session", lambda *a, **k: spark)
+    args = [str(tmp_path / "a.zip"), str(tmp_path / "out"), "--work", str(tmp_path / "w"), "--bridge", str(tmp_path / "b.csv"), "--cutoff", "2020-01-01", "--alias", "asthma"]
+    with pytest.raises(SystemExit):
+        cli.main([*args, "--sha256", "00"])
+    assert cli.main(args) == 0
+    docs = spark.read.json(str(tmp_path / "out/documents"))
+    assert docs.where("explicitness = 'implicit'").where(F.lower("text").contains("asthma")).count() == 0 and docs.where("explicitness = 'explicit'").count() == 3
+    assert (tmp_path / "out/SHA256SUMS.json").exists()
+    with pytest.raises(FileExistsError):
+        cli.main(args)
