@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
 from ..operators import features, flatten, impute, orphans, pivot
+from .cohorts import FHIR_SQL
 
 #: The day the feature table describes.
 FEATURES_AS_OF = date(2024, 6, 15)
@@ -115,7 +116,30 @@ entry as (
   from raw where patient is not null and code is not null and s between date '{features.FIRST_DAY}' and date '{features.LAST_DAY}'
 )"""
 
+
+
+def _members(holder: str, key: str) -> str:
+    """A field that is a list or a single object, as a list."""
+    return f"case json_type({holder}, '$.{key}') when 'ARRAY' then json_extract({holder}, '$.{key}[*]') when 'OBJECT' then [json_extract({holder}, '$.{key}')] else []::json[] end"
+
+
+_HOLDERS = f"""{FHIR_SQL},
+holder as (
+  select record_id, pos, 'resource' as owner, 0 as owner_no, r as h from res
+  union all select record_id, pos, 'contact', unnest(range(len(c))), unnest(c) from (select record_id, pos, {_members('r', 'contact')} as c from res)
+),
+member as (
+  select record_id, pos, owner, owner_no, kind, unnest(m) as m, unnest(range(len(m))) as item_no from (
+    select *, 'name' as kind, {_members('h', 'name')} as m from holder where json_type(h) = 'OBJECT'
+    union all select *, 'address', {_members('h', 'address')} from holder where json_type(h) = 'OBJECT')
+),
+-- without its keys an object with content still holds a text, a number or a truth value
+filled as (select *, regexp_replace(m::varchar, '"([^"\\\\]|\\\\.)*"\\s*:', '', 'g') as rest from member where json_type(m) = 'OBJECT')"""
+
 ORACLES = {
+    "p3_found": f"""with {_HOLDERS} select record_id, cast(pos as int) as entry_no, owner, cast(owner_no as int) as owner_no, kind, cast(item_no as int) as item_no
+      from filled where regexp_matches(rest, '"([^"\\\\]|\\\\.)+"|[0-9]|true|false')""",
+    "p3_resources": f"""with {FHIR_SQL} select record_id, cast(pos as int) as entry_no, json_extract_string(r, '$.resourceType') as resource_type, json_extract_string(r, '$.id') as resource_id from res""",
     "p2_found": f"with {_REFS} select table_name, field_name, row_id from judged where orphan",
     "p2_orphan_counts": f"""with {_REFS} select table_name, field_name, cast(date_trunc('month', loaded_at) as date) as month,
       count(*) as n_refs, cast(count_if(orphan) as bigint) as n_orphans, cast(count_if(still_open) as bigint) as n_open from judged group by 1, 2, 3""",
