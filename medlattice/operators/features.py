@@ -126,3 +126,21 @@ def feature_table(conditions: DataFrame, as_of: date, block: int = 96) -> DataFr
     wide = block_pivot(cells, "patient", "code", {"n": "n_{}", "recency_days": "recency_{}", "total_days": "days_{}"}, codes, block)
     filled = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) if not c.startswith("recency_") else F.col(c) for c in wide.columns[1:]]
     return wide.select(F.lower(F.hex("patient")).alias("PATIENT"), *filled)
+
+
+def update_store(path: str, all_events: DataFrame, new_events: DataFrame | None = None) -> DataFrame:
+    """The stored partials, in a folder per month of START, brought up to date and read back.
+
+    Without ``new_events`` (or without a store) every month is computed.  Otherwise only the folders of the months that
+    the new entries touch are computed from ``all_events`` and replaced; the others are not even read.
+    """
+    spark = all_events.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    source = all_events.withColumn("start_month", _month(F.col("start")))
+    if new_events is not None and there:
+        changed = F.broadcast(new_events.select(_month(F.col("start")).alias("start_month")).distinct())
+        source = source.join(changed, "start_month", "left_semi")
+    made = bucket_partials(source.drop("start_month"))
+    made.write.partitionBy("start_month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import as_column, canonical_id, not_blank
-from ..session import cut, drop_cut
+from ..session import cut
 
 FOREVER = "9999-12-31 00:00:00"
 
@@ -184,3 +184,20 @@ def clinical_replay(spark: SparkSession, root: str, periods: int = 2) -> OrphanS
     ])
     parents = parent_intervals(patients, "patients").unionByName(parent_intervals(encounters, "encounters", deleted=None))
     return replay(refs, parents, periods)
+
+
+STATE_PARTS = ("index", "orphans", "ledger")
+
+
+def save_state(state: OrphanState, folder: str) -> None:
+    """Write a state to a new folder, its time last, so that a folder without it is no state."""
+    for part in STATE_PARTS:
+        getattr(state, part).write.parquet(f"{folder}/{part}")
+    spark = state.index.sparkSession
+    spark.createDataFrame([(None if state.until is None else state.until.isoformat(),)], "until string").coalesce(1).write.parquet(f"{folder}/until")
+
+
+def load_state(spark: SparkSession, folder: str) -> OrphanState:
+    until = spark.read.parquet(f"{folder}/until").first()[0]
+    parts = [spark.read.parquet(f"{folder}/{part}") for part in STATE_PARTS]
+    return OrphanState(*parts, None if until is None else datetime.fromisoformat(until))

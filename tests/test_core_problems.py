@@ -192,3 +192,30 @@ def test_features_incremental(spark):
                 want[p, c] = (n + 1, max(last, s), total + (min(e or as_of, as_of) - s).days)
         got = {(r["p"], r["code"]): (r["n"], r["recency_days"], r["total_days"]) for r in features.long_features(stepwise, everything, as_of).withColumn("p", F.lower(F.hex("patient"))).collect()}
         assert got == {(p.replace("-", ""), c): (n, (as_of - last).days, total) for (p, c), (n, last, total) in want.items()}
+
+
+def test_stored_partials(spark, tmp_path):
+    random.seed(6)
+    data = [(i, random.choice([A, B]), f"e{i}", date(2019, 1, 1) + timedelta(days=random.randrange(200)), None, random.choice("12"), ts("2024-01-01"), 0, "") for i in range(120)]
+    df = spark.createDataFrame(data, CONDITIONS)
+    old, both = features.entries(df.where("row_id < 100")), features.entries(df.where("row_id < 100 or START >= '2019-06-01'"))
+    new = features.entries(df.where("row_id >= 100 and START >= '2019-06-01'"))
+    path = str(tmp_path / "store")
+    features.update_store(path, old)
+    untouched = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "store/start_month=2019-02-01").iterdir()}
+    stored = features.update_store(path, both, new)
+    assert untouched == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "store/start_month=2019-02-01").iterdir()}
+    whole = features.bucket_partials(both)
+    assert rows(stored.select(*whole.columns)) == rows(whole)
+
+
+def test_stored_orphans(spark, tmp_path):
+    patients = spark.createDataFrame([(1, A, ts("2020-03-01"), None, None, None)], PATIENTS)
+    refs = orphans.references(spark.createDataFrame([(1, A, ts("2020-01-01"), "", ""), (2, A, ts("2020-04-01"), "", "")], REFS), Reference("conditions", "PATIENT", "patients"))
+    none = orphans.parent_intervals(patients.where("false"), "patients")
+    state = orphans.advance(None, refs.where("row_id = 1"), none, ts("2020-02-01"))
+    assert orphans.snapshot(state).first()["n_open"] == 1
+    orphans.save_state(state, str(tmp_path / "state"))
+    state = orphans.advance(orphans.load_state(spark, str(tmp_path / "state")), refs.where("row_id = 2"), orphans.parent_intervals(patients, "patients"))
+    assert [r["row_id"] for r in state.orphans.collect()] == [1] and orphans.snapshot(state).agg(F.sum("n_open")).first()[0] == 0
+    assert orphans.load_state(spark, str(tmp_path / "state")).until == ts("2020-02-01")
