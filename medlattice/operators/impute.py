@@ -30,6 +30,7 @@ class Rule:
     sweeps: int = 4  #: alternations
     ridge_sample: float = 0.85  #: pull of sample vectors towards 0: the noise of a standardised reading
     ridge_feature: float = 10.0  #: pull of protein and arm vectors towards 0, in cells
+    own_weight: float = 0.75  #: how far a filled reading follows another reading of the same sample and protein
     arm_weight: float = 400.0  #: weight of an arm's cell against a reading's
 
 
@@ -217,10 +218,10 @@ def fill(npx: DataFrame, panels: DataFrame, rule: Rule = Rule()) -> DataFrame:
         for batch in batches:
             f, z, w, arms = _padded(batch, mean, sd)
             u, _ = solve_samples(f, z, w, arms, *shared.value, rule)
-            yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array(list(u), pa.list_(pa.float64())), pa.array(list(arms > 0), pa.list_(pa.bool_()))], names=["sample", "_u", "_shown"])
+            yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array(list(u), pa.list_(pa.float64())), pa.array(list(arms > 0), pa.list_(pa.bool_())), batch.column("f"), batch.column("x")], names=["sample", "_u", "_shown", "_f", "_x"])
 
     kind = dict(cells.dtypes)["sample"]
-    samples = cells.mapInArrow(vectors, f"sample {kind}, _u array<double>, _shown array<boolean>")
+    samples = cells.mapInArrow(vectors, f"sample {kind}, _u array<double>, _shown array<boolean>, _f array<int>, _x array<float>")
     expected = npx.sparkSession.createDataFrame(
         [(i, n, float(m), float(s), [float(x) for x in v]) for i, (n, m, s, v) in enumerate(zip(catalogue.proteins, catalogue.mean, catalogue.sd, protein))],
         "_p int, _name string, _m double, _s double, _v array<double>",
@@ -243,7 +244,9 @@ def fill(npx: DataFrame, panels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lost = lost.withColumn("_p", F.array_min(away)["p"]).drop("_choice")
     found = part.where("_own is not null or _at is not null").withColumn("_p", F.coalesce("_own", "_at"))
     part = found.unionByName(lost.select(*found.columns)).join(F.broadcast(expected.select("_p", "_m", "_s", "_v")), "_p", "left")
-    raw = F.round(F.col("_m") + F.col("_s") * _dot(F.col("_u"), F.col("_v")), 4)
+    low_rank = F.col("_m") + F.col("_s") * _dot(F.col("_u"), F.col("_v"))
+    other = F.try_element_at("_x", F.nullif(F.array_position("_f", F.col("_p")), F.lit(0).cast("bigint")).cast("int")).cast("double")
+    raw = F.round(low_rank + F.coalesce(rule.own_weight * (other - low_rank), F.lit(0.0)), 4)
     guess = F.when(raw.isNotNull(), F.greatest(F.lit(NPX_LOW), F.least(F.lit(NPX_HIGH), raw)))
     shown = F.filter(arms, lambda a: F.coalesce(F.element_at("_shown", a["i"] + 1), F.lit(False)))
     choice = F.when(F.size(shown) > 0, shown).otherwise(arms)
