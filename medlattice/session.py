@@ -37,11 +37,10 @@ def build_session(app: str = "medlattice", cores: int | str = "*", shuffle_parti
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the session's Python workers, unless PYTHONPATH already holds it; once per context."""
+    """Give the package to the session's Python workers, wherever they run; once per context."""
     root = Path(__file__).resolve().parent.parent
     context = spark.sparkContext
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if str(root) in paths or getattr(context, "_medlattice_shipped", False):
+    if getattr(context, "_medlattice_shipped", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="medlattice-ship-")) / "medlattice.zip"
     with zipfile.ZipFile(archive, "w") as z:
