@@ -212,12 +212,16 @@ def correlations(cells: DataFrame, top: int = 25) -> DataFrame:
 def median_filled(cells: DataFrame, proteins: Sequence[str]) -> DataFrame:
     """(sample_id, protein_id, npx, filled): the complete grid of samples and listed proteins, gaps by the protein's median.
 
-    The grid is exploded from each sample, not a cross join of tables.
+    A sample gathers its cells, at most one per protein, and is exploded with those that it lacks: the grid is not shuffled.
     """
     names = F.array(*[F.lit(p) for p in proteins])
-    grid = cells.select("sample_id").distinct().select("sample_id", F.explode(names).alias("protein_id"))
-    middle = cells.where(F.col("protein_id").isin(list(proteins))).groupBy("protein_id").agg(F.median("npx").alias("m"))
-    made = grid.join(cells.select("sample_id", "protein_id", "npx"), ["sample_id", "protein_id"], "left").join(F.broadcast(middle), "protein_id", "left")
+    listed = cells.where(F.col("protein_id").isin(list(proteins)))
+    middle = listed.groupBy("protein_id").agg(F.median("npx").alias("m"))
+    held = F.when(F.col("sample_id").isNotNull() & F.col("protein_id").isin(list(proteins)), F.struct("protein_id", "npx"))
+    rows = cells.groupBy("sample_id").agg(F.collect_list(held).alias("c"))
+    gaps = F.transform(F.array_except(names, F.col("c.protein_id")), lambda p: F.struct(p.alias("protein_id"), F.lit(None).cast("double").alias("npx")))
+    grid = rows.select("sample_id", F.inline(F.concat("c", gaps)))
+    made = grid.join(F.broadcast(middle), "protein_id", "left")
     return made.select("sample_id", "protein_id", F.coalesce("npx", "m").alias("npx"), F.col("npx").isNull().alias("filled"))
 
 

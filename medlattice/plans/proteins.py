@@ -86,7 +86,7 @@ def ag12_correlations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _grid_proteins(spark: SparkSession, root: str) -> list[str]:
-    return pivot.attribute_list(table(spark, root, "olink_panels"), "protein_id")[:20]
+    return pivot.attribute_list(table(spark, root, "olink_panels"), "protein_id")
 
 
 @on(f"""{_CELLS}, names as materialized (select distinct protein_id from olink_panels order by 1 limit 20), grid as (select distinct sample_id, n.protein_id from cell, names n), med as (select protein_id, median(npx) as m from cell group by 1)
