@@ -83,6 +83,7 @@ class Index:
     names: set[str] = field(default_factory=set)
     known: set[str] = field(default_factory=set)
     windows: dict[tuple, list[tuple[int, int]]] = field(default_factory=dict)
+    literal: dict[tuple, list[tuple[int, int]]] = field(default_factory=dict)  #: windows of the words themselves where the template has too few of them
 
 
 def _sentences(text: str) -> list[str]:
@@ -136,6 +137,7 @@ def build_index(items: Sequence[tuple[int, str | None]], rule: Rule = Rule(), st
     index.names -= set(lower)
     index.known = {w for ws in kept.values() for w in ws}
     windows: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+    literal: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for i, ws in kept.items():
         if not ws:
             continue
@@ -146,7 +148,9 @@ def build_index(items: Sequence[tuple[int, str | None]], rule: Rule = Rule(), st
             window = tuple(marks[k : k + rule.window])
             if sum(m[0] != "\x01" for m in window) >= 2:
                 windows[window].append((i, k))
-    index.windows = dict(windows)
+            else:  # German nouns look like names: their windows are found by the words
+                literal[tuple(index.items[i][k : k + rule.window])].append((i, k))
+    index.windows, index.literal = dict(windows), dict(literal)
     index.names = {read_alike(w) for w in index.names}
     index.known = {read_alike(w) for w in index.known}
     return index
@@ -226,11 +230,10 @@ def judge(text: str | None, index: Index, floor: float | None = None) -> list[tu
     document = [read_alike(w) for w in raw]
     marks = template(document, index.names, index.known, READ_SPELLED)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    look = index.windows.get
-    for d, window in enumerate(zip(*[marks[k:] for k in range(rule.window)])):
-        found = look(window)
-        if found:
-            for i, p in found:
+    ahead = lambda tokens: zip(*[tokens[k:] for k in range(rule.window)])
+    for d, (window, said) in enumerate(zip(ahead(marks), ahead(document))):
+        for found in (index.windows.get(window), index.literal.get(said)):
+            for i, p in found or ():
                 hits[i].append((d, p))
     made = []
     for i, at in hits.items():
