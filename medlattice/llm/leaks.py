@@ -180,15 +180,17 @@ def stretches(item: list[str], document: list[str], hits: list[tuple[int, int]],
     runs = sorted(_runs(hits, rule.window), key=lambda r: (r[2], r[0]))
     score = [r[1] - r[0] for r in runs]
     before = [-1] * len(runs)
+    ending: dict[int, list[int]] = defaultdict(list)  # earlier runs by their end in the document
     for j, b in enumerate(runs):
         own, best = b[1] - b[0], 0
-        for i in range(j - 1, max(-1, j - 60), -1):
+        for i in sorted((i for e in range(b[2] - rule.gap, b[2] + rule.window) for i in ending.get(e, ())), reverse=True):
             a = runs[i]
             if a[2] < b[2] and a[0] < b[0] and a[1] - b[0] < own and -rule.window < b[0] - a[1] <= rule.gap and -rule.window < b[2] - a[3] <= rule.gap:
                 gain = score[i] - max(0, a[1] - b[0], a[3] - b[2]) - (1 if b[2] - b[0] != a[2] - a[0] else 0)
                 if gain > best:
                     best, before[j] = gain, i
         score[j] = own + best
+        ending[b[3]].append(j)
     taken, made = set(), []
     held: set[int] = set()
     for j in sorted(range(len(runs)), key=lambda j: -score[j]):
