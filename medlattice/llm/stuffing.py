@@ -1,19 +1,18 @@
 """Keyword-stuffed pages, link lists and product tags, found by how unlike prose their words follow each other.
 
-A page is a sequence of function words, known words and word classes (numbers, names, codes, links, repetitions).  An
-interpolated n-gram model of such sequences is trained on the prose of the corpus: first the words of sentences that
-hold enough function words, then the sequences of all passages made of those words, honest lists included.  Stretches
-of a page whose surprise per word is abnormally high - words that prose does not use, links in a row - or abnormally
-low - the same again and again - are counted in characters; a page that consists of them for the most part is flagged.
+A page is read twice as a sequence of marks.  The reading *by vocabulary* has the roles of function words, known words,
+unknown words and classes (numbers, codes, links, repetitions).  The reading *by form* knows no word of any language:
+its marks are length, case, what stands before a word, and how lately the page had the word already.  For each an
+interpolated trigram model is trained on the prose of the corpus, honest lists included, and a page is judged by the
+counts of the half of the pages that it is not in.  A stretch is abnormal where both readings are abnormally
+surprising, or where the page repeats itself with abnormally little surprise; prose in a language or on a subject that
+the corpus does not hold is surprising by vocabulary, and plain by form.  A page that consists of abnormal stretches
+for at least half its characters is flagged.
 """
 
 from __future__ import annotations
 
-import html
-import math
-import re
-import unicodedata
-from collections import Counter
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,34 +22,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_cut, spread
+from .lexing import BOUND, CODE, COMMA, IDEOGRAPH, NUMBER, PLAIN, SIGN, TAG, URL, Words, hash_of, lex, since_last, slices
 
-#: Words that build sentences, by language.
+#: Words that build sentences, by role; a spelling that has several roles stands under its most usual one.
 FUNCTION_WORDS = {
-    "en": "a about after again all also although am an and any are as at be because been before being below between both but by can could did do does during each either for from had has have having he her here him his how i if in into is it its just may me might more most must my neither no nor not of off often on once one or other our out over own rather said same she should since so some such than that the their them then there these they this those though through to under until up very was we were what when where which while who whom whose why will with within without would yet you your",
-    "de": "aber alle als also am an auch auf aus bei beim bis da damit dann das dass dem den der des die dies diese dieser doch durch ein eine einem einen einer eines er es für gegen hat hatte ich ihm ihn ihr im in ins ist ja kann kein keine keinen man mehr mit nach nicht noch nur ob oder ohne sich sie sind so über um und unter vom von vor war waren was weil wenn werden wie wieder wird wurde zu zum zur zwischen",
-    "fr": "à ai au aux avait avec c ce ces cette comme d dans de des donc du elle elles en entre est et était été il ils je l la le les leur lui mais n ne ni nous on ont ou où par pas plus pour qu que qui s sa sans se ses si son sont sous sur tout très un une vers vous y",
-    "es": "a al ante antes aunque bajo como con contra cuando de del desde donde el ella en entre era es esta este estos fue ha había hasta la las le les lo los más me mi muy ni no nos o para pero por porque que se ser si sin sobre son su sus también tras un una uno y ya",
+    "determiner": "a an the this that these those each either neither both any all no other some such same own its his her my our your their der die das dem den des ein eine einem einen einer eines dies diese dieser kein keine keinen la le les l un une des du ce ces cette son sa ses leur el los las del una uno este esta estos su sus mi",
+    "preposition": "about after at before below between by during for from in into of off on through to under until up with within without over since than as auf aus bei beim bis durch für gegen im ins mit nach ohne über um unter vom von vor zu zum zur zwischen in an seit à au aux avec chez dans de depuis en entre par pour sans sous sur vers al ante antes bajo con contra desde durante hacia hasta para por según sin sobre tras",
+    "conjunction": "and or but if because although so when where which while who whom whose how why what aber als dass doch ob oder sondern und weil wenn wie damit da denn et ou où mais que qu qui comme si car donc y o pero porque cuando donde aunque e",
+    "pronoun": "i me he him she it we us they them you there er es ich ihm ihn ihr sie sich man wir uns il elle ils elles on nous vous je lui se s y'a c ella lo nos me yo",
+    "auxiliary": "am are is was were be been being can could did do does had has have having may might must should will would hat hatte ist sind war waren werden wird wurde kann ja haben ai a ont est et était être été avait sont es era fue ser son ha había está hay",
+    "particle": "again also just more most not nor once only out rather then very here yet too alle also am nicht noch nur so wieder dann ne n pas plus tout très aussi más muy ni no ya también",
 }
-PROSE_WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
-
-NUM, URL, TAG, CAP, CODE, WORD, LOW, AGAIN, START = "<num>", "<url>", "<tag>", "<name>", "<code>", "<word>", "<odd>", "<again>", "<s>"
+ROLES = tuple(FUNCTION_WORDS)
+
+#: Marks of the reading by vocabulary, after the roles.
+START, WORD, UNKNOWN, NAME, NUM, MIXED, LINK, HASHTAG, AGAIN, OTHER_SCRIPT = range(len(ROLES), len(ROLES) + 10)
+WORD_MARKS = OTHER_SCRIPT + 1
+#: Marks of the reading by form: classes times signs before, then the start and the end of a passage.
+SHORT, MIDDLE, LONG, SHORT_NAME, MIDDLE_NAME, LONG_NAME, F_NUM, F_MIXED, F_NEAR, F_FAR, F_LINK, F_TAG, F_OTHER = range(13)
+FORM_CLASSES, SIGNS_BEFORE = 13, 3
+F_START = FORM_CLASSES * SIGNS_BEFORE
+F_STOP = F_START + 1
+FORM_MARKS = F_STOP + 1
 #: Marks that prose holds few of; each costs at least what it costs without context.
-ODD = frozenset((LOW, AGAIN, URL, TAG))
+ODD_WORDS = (UNKNOWN, LINK, HASHTAG, AGAIN)
+ODD_FORMS = tuple(c * SIGNS_BEFORE + b for c in (F_NEAR, F_FAR, F_LINK, F_TAG) for b in range(SIGNS_BEFORE))
 
 
 @dataclass(frozen=True)
 class Rule:
     """Parameters of training and judging."""
 
-    vocabulary: int = 30_000  #: known words the model may have
-    grams: int = 300_000  #: trigrams of words and classes the model may have
     sentence_words: int = 6  #: least words of a training sentence
     function_share: float = 0.25  #: share of function words that makes a sentence prose
     known_share: float = 0.9  #: share of known words and classes that makes a passage trainable
-    look_back: int = 8  #: words in which the same word again is a repetition
+    look_back: int = 8  #: words of a passage in which the same word again is a repetition
+    near: int = 12  #: words of a page in which a long word again is a near repetition
+    far: int = 60  #: and a far one
     window: int = 15  #: words over which surprise is averaged
-    high: float = 2.9  #: surprise per word, in nats, from which a stretch is abnormal
-    low: float = 0.35  #: and below which it is abnormal
+    high: float = 2.3  #: surprise per word by vocabulary, in nats, from which a stretch is abnormal
+    form_high: float = 2.55  #: and by form
+    low: float = 0.25  #: surprise per word by form below which a stretch is abnormal
     prose_page: float = 0.25  #: share of a page's words in sentences that makes it a page of prose
     known_pages: float = 3e-4  #: share of all pages that are prose and hold a word, from which it is known
     known_purity: float = 0.6  #: share of prose pages among the pages that hold a known word
@@ -58,249 +70,291 @@ class Rule:
     share: float = 0.5  #: share of a page's characters in abnormal stretches that flags it
 
 
-_TOKEN = re.compile(r"<[a-zA-Z/][^<>]{0,3000}>|#[^\W\d][\w-]*|(?:https?://|www\.)[^\s<>\"')\]]+|[^\W\d_]*\d[^\W_]*(?:[.,:*/-]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?|[\n.!?;]")
-_HIDDEN = {c: None for c in [*range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xAD, 0xFEFF]}
-_LINK = re.compile(r"https?://|www\.|href", re.I)
-
-
-def readable(text: str) -> str:
-    """Entities, wide and hidden characters undone."""
-    if "&" in text:
-        text = html.unescape(text)
-    return text if text.isascii() else unicodedata.normalize("NFKC", text).translate(_HIDDEN)
-
-
-def tokens(text: str) -> list[tuple[str, int]]:
-    """(word, characters) in order; a link is one long word, ends of lines and sentences are words of no length."""
-    made = []
-    for m in _TOKEN.finditer(readable(text)):
-        t = m[0]
-        if t[0] == "<":
-            if _LINK.search(t):
-                made.append((URL, len(t)))
-        elif len(t) > 7 and _LINK.match(t):
-            made.append((URL, len(t)))
-        elif t[0] == "#":
-            made.append((TAG, len(t)))
-        elif t in "\n.!?;":
-            made.append((START, 0))
-        else:
-            made.append((t, len(t)))
-    return made
-
-
-def shape(word: str) -> str | None:
-    """The class of a word that is no plain word; None for plain ones."""
-    if word[0] == "<":
-        return word
-    if any(c.isdigit() for c in word):
-        return CODE if word[0].isalpha() else NUM
-    return None
-
-
-def passages(made: list[tuple[str, int]], most: int = 60) -> Iterator[list[str]]:
-    """Words between ends of lines and sentences; very long ones in parts."""
-    part: list[str] = []
-    for w, _ in made:
-        if w == START or len(part) >= most:
-            if part:
-                yield part
-            part = []
-        if w != START:
-            part.append(w)
-    if part:
-        yield part
-
-
-def is_prose(part: list[str], rule: Rule) -> bool:
-    """Whether a passage is a sentence: long enough, with function words and few repetitions, and no link."""
-    plain = [w.lower() for w in part if shape(w) is None]
-    if len(plain) < rule.sentence_words or URL in part:
-        return False
-    content = [w for w in plain if w not in PROSE_WORDS]
-    return len(plain) - len(content) >= rule.function_share * len(plain) and len(set(content)) >= 0.75 * len(content)
-
-
-def page_words(text: str | None, rule: Rule) -> tuple[set[str], bool]:
-    """The page's lower-case words, and whether sentences make up enough of it."""
-    words: set[str] = set()
-    inside = whole = 0
-    for part in passages(tokens(text)) if text else ():
-        plain = [w for w in part if shape(w) is None]
-        whole += len(plain)
-        if is_prose(part, rule):
-            inside += len(plain)
-        words.update(w for w in plain if w.islower())
-        if plain and plain[0][1:].islower():
-            words.add(plain[0].lower())
-    return words, whole > 0 and inside >= rule.prose_page * whole
-
-
-def classed(part: list[str], known: frozenset | dict, rule: Rule) -> list[str]:
-    """Words as the model sees them."""
-    made: list[str] = []
-    recent: dict[str, int] = {}
-    for k, w in enumerate(part):
-        kind = shape(w)
-        if kind is None:
-            low = w.lower()
-            if low in PROSE_WORDS:
-                kind = low
-            else:
-                if k - recent.get(low, -99) <= rule.look_back:
-                    kind = AGAIN
-                elif low in known:
-                    kind = WORD
-                else:
-                    kind = CAP if w[0].isupper() else LOW
-                recent[low] = k
-        made.append(kind)
-    return made
-
-
-def trainable(part: list[str], marks: list[str], rule: Rule) -> bool:
-    """Sentences, and passages of known words and classes; not those of repetitions and links."""
-    if is_prose(part, rule):
-        return True
-    good = sum(m not in ODD for m in marks)
-    return len(marks) >= 3 and good >= rule.known_share * len(marks) and any(m == WORD or m[0] != "<" for m in marks)
-
-
-def grams(marks: list[str]) -> Iterator[tuple[str, str, str]]:
-    """Every mark with the two before it."""
-    a, b = START, START
-    for m in marks:
-        yield a, b, m
-        a, b = b, m
+@functools.lru_cache(maxsize=1)
+def _roles() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the function words in order, and their roles."""
+    role = {}
+    for k, name in enumerate(ROLES):
+        for w in FUNCTION_WORDS[name].split():
+            role.setdefault(hash_of(w), k)
+    hashes = np.array(sorted(role), np.int64)
+    return hashes, np.array([role[h] for h in hashes.tolist()], np.int64)
+
+
+def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value, -1 where it is missing."""
+    if not len(sorted_values):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == wanted, at, -1)
+
+
+@dataclass(frozen=True)
+class Read:
+    """Words with their roles (-1: none) and which of them stand in sentences."""
+
+    words: Words
+    role: np.ndarray
+    plain: np.ndarray
+    sentence: np.ndarray  #: by passage
+
+
+def _per(owner: np.ndarray, what: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(owner, weights=what, minlength=n)
+
+
+def read(words: Words, rule: Rule) -> Read:
+    """Roles, and which passages are sentences: long enough, with function words, few repetitions and no link."""
+    hashes, roles = _roles()
+    at = _find(hashes, words.hash)
+    plain = words.kind == PLAIN
+    role = np.where(plain & (at >= 0), roles[at], -1)
+    n = int(words.passage[-1]) + 1 if len(words) else 0
+    per = lambda what: _per(words.passage, what, n)
+    content = plain & (role < 0)
+    again = content & (since_last(words.passage, words.hash) < 1 << 30)
+    all_plain, function = per(plain), per(role >= 0)
+    sentence = (
+        (all_plain >= rule.sentence_words)
+        & (per(words.kind == URL) == 0)
+        & (function >= rule.function_share * all_plain)
+        & (per(again) <= 0.25 * per(content))
+    )
+    return Read(words, role, plain, sentence)
+
+
+def by_vocabulary(r: Read, known: np.ndarray, rule: Rule) -> np.ndarray:
+    """The marks of the reading by vocabulary; ``known`` are sorted hashes."""
+    w = r.words
+    content = r.plain & (r.role < 0)
+    near = since_last(w.passage, w.hash) <= rule.look_back
+    return np.select(
+        [r.role >= 0, content & near, content & (_find(known, w.hash) >= 0), content & w.first_upper, content, w.kind == NUMBER, w.kind == CODE, w.kind == URL, w.kind == TAG],
+        [r.role, AGAIN, WORD, NAME, UNKNOWN, NUM, MIXED, LINK, HASHTAG],
+        OTHER_SCRIPT,
+    )
+
+
+def by_form(r: Read, rule: Rule) -> np.ndarray:
+    """The marks of the reading by form."""
+    w = r.words
+    last = since_last(w.text, w.hash)
+    long_word = (r.plain | (w.kind == CODE)) & (w.size >= 5)
+    size = np.select([w.size <= 3, w.size <= 6], [SHORT, MIDDLE], LONG) + np.where(w.first_upper, SHORT_NAME, 0)
+    form = np.select(
+        [long_word & (last <= rule.near), long_word & (last <= rule.far), r.plain & (w.upper >= 2) & (w.upper == w.size), r.plain, w.kind == NUMBER, w.kind == CODE, w.kind == URL, w.kind == TAG],
+        [F_NEAR, F_FAR, F_MIXED, size, F_NUM, F_MIXED, F_LINK, F_TAG],
+        F_OTHER,
+    )
+    before = np.select([w.before == COMMA, w.before == SIGN], [1, 2], 0)
+    return form * SIGNS_BEFORE + before
+
+
+def _before(marks: np.ndarray, passage: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mark two places and one place before each, within the passage."""
+    one, two = np.full(len(marks), start), np.full(len(marks), start)
+    if len(marks) > 1:
+        one[1:] = np.where(passage[1:] == passage[:-1], marks[:-1], start)
+    if len(marks) > 2:
+        two[2:] = np.where(passage[2:] == passage[:-2], marks[:-2], start)
+    return two, one
+
+
+def _last(passage: np.ndarray) -> np.ndarray:
+    """Whether a word is its passage's last."""
+    last = np.ones(len(passage), bool)
+    last[:-1] = passage[1:] != passage[:-1]
+    return last
+
+
+def trainable(r: Read, marks: np.ndarray, rule: Rule) -> np.ndarray:
+    """By passage: sentences, and passages of known words and classes; not those of repetitions and links."""
+    passage = r.words.passage
+    n = len(r.sentence)
+    whole = np.bincount(passage, minlength=n)
+    good = _per(passage, ~np.isin(marks, ODD_WORDS), n)
+    told = _per(passage, (marks == WORD) | (r.role >= 0), n)
+    return r.sentence | ((whole >= 3) & (good >= rule.known_share * whole) & (told > 0))
+
+
+def grams(r: Read, known: np.ndarray, rule: Rule) -> np.ndarray:
+    """Codes of the trigrams of all trainable passages: those by vocabulary, then those by form."""
+    if not len(r.words):
+        return np.zeros(0, np.int64)
+    passage = r.words.passage
+    marks = by_vocabulary(r, known, rule)
+    taken = trainable(r, marks, rule)[passage]
+    two, one = _before(marks, passage, START)
+    coded = ((two * WORD_MARKS + one) * WORD_MARKS + marks)[taken]
+    form = by_form(r, rule)
+    two, one = _before(form, passage, F_START)
+    inner = ((two * FORM_MARKS + one) * FORM_MARKS + form)[taken]
+    ends = taken & _last(passage)
+    final = ((one * FORM_MARKS + form) * FORM_MARKS + F_STOP)[ends]
+    return np.concatenate([coded, WORD_MARKS**3 + np.concatenate([inner, final])])
 
 
 class Model:
-    """Interpolated trigrams, bigrams and single marks, with a floor for what was never seen."""
-
-    def __init__(self, counts: dict[tuple[str, str, str], int]):
-        self.three, self.two, self.one = dict(counts), Counter(), Counter()
-        self.after_two, self.after_one = Counter(), Counter()
-        for (a, b, m), n in counts.items():
-            self.two[b, m] += n
-            self.one[m] += n
-            self.after_two[a, b] += n
-            self.after_one[b] += n
-        self.total = sum(self.one.values()) or 1
-        self.cache: dict[tuple[str, str, str], float] = {}
-
-    def surprise(self, marks: list[str]) -> list[float]:
-        made = []
-        for g in grams(marks):
-            value = self.cache.get(g)
-            if value is None:
-                a, b, m = g
-                n3, n2 = self.after_two[a, b], self.after_one[b]
-                p = 0.6 * self.three.get(g, 0) / n3 if n3 else 0.0
-                p += 0.3 * self.two[b, m] / n2 if n2 else 0.0
-                p += 0.099 * self.one[m] / self.total + 1e-5
-                if m in ODD:
-                    p = min(p, self.one[m] / self.total + 1e-5)
-                value = self.cache[g] = -math.log(p)
-            made.append(value)
-        return made
-
-
-def abnormal(text: str | None, known, model: Model, rule: Rule) -> tuple[float, float, int]:
-    """(share of characters in abnormal stretches, mean surprise, words) of a page."""
-    if not text:
-        return 0.0, 0.0, 0
-    made = tokens(text)
-    kept = [(w, n) for w, n in made if w != START]
-    if not kept:
-        return 0.0, 0.0, 0
-    s = np.array([x for part in passages(made) for x in model.surprise(classed(part, known, rule))])
-    n = np.array([n for _, n in kept], float)
-    width = min(rule.window, len(s))
-    csum = np.concatenate([[0.0], np.cumsum(s)])
-    mean = (csum[width:] - csum[:-width]) / width
-    strange = (mean >= rule.high) | (mean <= rule.low)
-    votes = np.convolve(strange.astype(float), np.ones(width))
-    possible = np.convolve(np.ones(len(mean)), np.ones(width))
-    marked = votes >= 0.5 * possible
-    return float(n[marked].sum() / n.sum()), float(s.mean()), len(s)
+    """Surprise of every trigram of ``size`` marks, interpolated with bigrams and single marks, as a table."""
+
+    def __init__(self, counts: np.ndarray, size: int, odd: tuple[int, ...]):
+        three = counts.reshape(size, size, size).astype(float)
+        two = three.sum(axis=0)
+        one = two.sum(axis=0)
+        over = lambda a, n: a / np.maximum(n, 1.0)
+        single = one / max(1.0, one.sum())
+        p = 0.6 * over(three, three.sum(axis=2, keepdims=True)) + (0.3 * over(two, two.sum(axis=1, keepdims=True)))[None] + 0.099 * single + 1e-5
+        p[:, :, odd] = np.minimum(p[:, :, odd], single[list(odd)] + 1e-5)
+        self.size, self.table = size, -np.log(p).ravel()
+
+    def surprise(self, two: np.ndarray, one: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return self.table[(two * self.size + one) * self.size + marks]
+
+
+def models(counts: np.ndarray) -> tuple[Model, Model]:
+    """The models by vocabulary and by form, from trigram counts in the order of ``grams``."""
+    return Model(counts[: WORD_MARKS**3], WORD_MARKS, ODD_WORDS), Model(counts[WORD_MARKS**3 :], FORM_MARKS, ODD_FORMS)
+
+
+def _averaged(values: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """Mean over the ``width`` words around each, within its text."""
+    n = len(values)
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    first = np.searchsorted(text, text, side="left")
+    last = np.searchsorted(text, text, side="right")
+    size = np.minimum(width, last - first)
+    low = np.clip(np.arange(n) - width // 2, first, last - size)
+    return (total[low + size] - total[low]) / size
+
+
+def surprises(r: Read, known: np.ndarray, pair: tuple[Model, Model], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Mean surprise around every word, by vocabulary and by form."""
+    w = r.words
+    marks = by_vocabulary(r, known, rule)
+    two, one = _before(marks, w.passage, START)
+    told = pair[0].surprise(two, one, marks)
+    form = by_form(r, rule)
+    two, one = _before(form, w.passage, F_START)
+    shown = pair[1].surprise(two, one, form) + np.where(_last(w.passage), pair[1].surprise(one, form, np.full(len(w), F_STOP)), 0.0)
+    # a script that the training never saw cannot be judged by form, only by its repetitions
+    strange_script = w.kind == IDEOGRAPH
+    near = since_last(w.text, w.hash) <= rule.near
+    shown = np.where(strange_script, np.where(near, 2 * rule.form_high, 0.5 * rule.form_high), shown)
+    return _averaged(told, w.text, rule.window), _averaged(shown, w.text, rule.window)
+
+
+def judge(texts: list[str | None], known: np.ndarray, pair: tuple[Model, Model], rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of characters in abnormal stretches, mean surprise by form, words) of every text."""
+    w = lex(texts)
+    n = len(texts)
+    if not len(w):
+        return np.zeros(n), np.zeros(n), np.zeros(n, int)
+    r = read(w, rule)
+    told, shown = surprises(r, known, pair, rule)
+    abnormal = ((told >= rule.high) & (shown >= rule.form_high)) | (shown <= rule.low)
+    whole = _per(w.text, w.size, n)
+    n_words = np.bincount(w.text, minlength=n)
+    return _per(w.text, w.size * abnormal, n) / np.maximum(whole, 1), _per(w.text, shown, n) / np.maximum(n_words, 1), n_words
+
+
+def _sliced(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list]]:
+    texts = batch.column(column).to_pylist()
+    for a, b in slices(texts):
+        yield a, b, texts[a:b]
 
 
 def _counted(pages: DataFrame, count, schema: str) -> DataFrame:
-    """Counters of batches as rows; added up by the caller's groupBy."""
-    types = [pa.int64() if c.endswith(" long") else pa.string() for c in schema.split(", ")]
+    """Sums per batch as rows of whole numbers; added up by the caller's groupBy."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = count(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
+            for columns in count(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return pages.mapInArrow(work, schema)
 
 
-def known_words(pages: DataFrame, rule: Rule) -> frozenset[str]:
-    """Words that enough pages of prose hold, and few pages without it in comparison; counted over all pages."""
+def known_words(pages: DataFrame, rule: Rule) -> np.ndarray:
+    """Sorted hashes of the words that enough pages of prose hold, and few pages without it in comparison.
 
-    def count(texts: list[str | None]) -> list[tuple]:
-        every, prose = Counter(), Counter()
-        for text in texts:
-            words, good = page_words(text, rule)
-            every.update(words)
-            every[""] += 1
-            if good:
-                prose.update(words)
-        return [(w, n, prose[w]) for w, n in every.items()]
+    Counted over all pages.  A page holds so many different words on average, and each known one is on ``known_pages``
+    of all pages, so there are at most average / ``known_pages`` of them, however large the corpus is.
+    """
 
-    sums = cut(_counted(pages, count, "word string, n_pages long, n_prose long").groupBy("word").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_prose").alias("n_prose")))
-    whole = sums.where("word = ''").agg(F.max("n_pages")).first()[0] or 0
+    def count(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for a, b, texts in _sliced(batch):
+            w = lex(texts)
+            every, n, prose = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(w):
+                r = read(w, rule)
+                within = _per(w.text, r.plain & r.sentence[w.passage], len(texts))
+                good = within >= rule.prose_page * np.maximum(_per(w.text, r.plain, len(texts)), 1)
+                told = r.plain & ((w.upper == 0) | ((w.before == BOUND) & w.first_upper & (w.upper == 1)))
+                told &= since_last(np.where(told, w.text, -1), w.hash) == 1 << 30  # each word once a page
+                every, at = np.unique(w.hash[told], return_inverse=True)
+                n, prose = np.bincount(at, minlength=len(every)), np.bincount(at, weights=good[w.text[told]], minlength=len(every)).astype(np.int64)
+            yield np.append(every, 0), np.append(n, len(texts)), np.append(prose, 0)
+
+    sums = cut(_counted(pages, count, "word long, n_pages long, n_prose long").groupBy("word").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_prose").alias("n_prose")))
+    whole = sums.where("word = 0").agg(F.max("n_pages")).first()[0] or 0
     least = max(3, rule.known_pages * whole)
-    kept = sums.where((F.col("word") != "") & (F.col("n_prose") >= least) & (F.col("n_prose") >= rule.known_purity * F.col("n_pages")))
-    words = frozenset(r[0] for r in kept.orderBy(F.desc("n_prose"), "word").limit(rule.vocabulary).select("word").collect())
+    kept = sums.where((F.col("word") != 0) & (F.col("n_prose") >= least) & (F.col("n_prose") >= rule.known_purity * F.col("n_pages"))).select("word")
+    words = np.sort(kept.toArrow().column(0).to_numpy())
     drop_cut(sums)
     return words
 
 
-def train(pages: DataFrame, rule: Rule = Rule()) -> tuple[frozenset[str], dict[tuple[str, str, str], int]]:
-    """Known words and trigram counts of the corpus' prose.
+def train(pages: DataFrame, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray]:
+    """Known words, and the trigram counts of the corpus' prose in each half of its pages.
 
-    Both are counted over all pages, combined within batches and tasks; what reaches the driver is bounded by the
-    rule's ``vocabulary`` and ``grams``.
+    Both are counted over all pages, combined within batches and tasks.  There are WORD_MARKS^3 + FORM_MARKS^3
+    different trigrams whatever the corpus, so the counts that reach the driver are bounded by construction.
     """
     known = known_words(pages, rule)
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
-    def count(texts: list[str | None]) -> list[tuple]:
-        made: Counter = Counter()
-        for text in texts:
-            for part in passages(tokens(text)) if text else ():
-                marks = classed(part, shared.value, rule)
-                if trainable(part, marks, rule):
-                    made.update(grams(marks))
-        return [(*g, n) for g, n in made.items()]
+    def count(batch: pa.RecordBatch) -> Iterator[tuple]:
+        half = batch.column("half").to_numpy(zero_copy_only=False)
+        for a, b, texts in _sliced(batch):
+            for h in (0, 1):
+                own = [t for t, x in zip(texts, half[a:b]) if x == h]
+                codes, n = np.unique(grams(read(lex(own), rule), shared.value, rule), return_counts=True)
+                yield np.full(len(codes), h), codes, n
 
-    sums = _counted(pages, count, "a string, b string, m string, n long").groupBy("a", "b", "m").agg(F.sum("n").alias("n"))
-    return known, {(r[0], r[1], r[2]): r[3] for r in sums.orderBy(F.desc("n"), "a", "b", "m").limit(rule.grams).collect()}
+    rows = _counted(pages, count, "half long, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n")).toArrow()
+    made = np.zeros((2, WORD_MARKS**3 + FORM_MARKS**3), np.int64)
+    made[rows.column("half").to_numpy(), rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
+    shared.unpersist()
+    return known, made
 
 
 SCHEMA = "doc_id long, strange_share double, surprise double, n_words int, stuffed boolean"
 
 
 def score_pages(documents: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, strange_share, surprise, n_words, stuffed) of every page, by a model trained on all of them.
+    """(doc_id, strange_share, surprise, n_words, stuffed) of every page, by a model trained on the other half of them.
 
-    Null and empty texts and those of fewer than ``least_words`` words are not stuffed; copies are judged each.
+    The halves are made by a hash of the text, so copies fall into one.  Null and empty texts and those of fewer than
+    ``least_words`` words are not stuffed; copies are judged each.
     """
-    pages = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    kept = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    pages = spread(kept).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("long"))
     shared = pages.sparkSession.sparkContext.broadcast(train(pages, rule))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        model = Model(counts)
+        pairs = [models(counts[1]), models(counts[0])]
         for batch in batches:
-            made = [abnormal(t, known, model, rule) for t in batch.column(1).to_pylist()]
-            share, surprise, n = zip(*made) if made else ([], [], [])
+            half = batch.column("half").to_numpy(zero_copy_only=False)
+            share, surprise, n_words = np.zeros(len(half)), np.zeros(len(half)), np.zeros(len(half), int)
+            for a, b, texts in _sliced(batch):
+                for h in (0, 1):
+                    own = np.flatnonzero(half[a:b] == h)
+                    share[a + own], surprise[a + own], n_words[a + own] = judge([texts[i] for i in own], known, pairs[h], rule)
+            stuffed = (share >= rule.share) & (n_words >= rule.least_words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(share, pa.float64()), pa.array(surprise, pa.float64()), pa.array(n, pa.int32()), pa.array([x >= rule.share and k >= rule.least_words for x, k in zip(share, n)], pa.bool_())],
+                [batch.column("doc_id"), pa.array(share), pa.array(surprise), pa.array(n_words, pa.int32()), pa.array(stuffed)],
                 names=["doc_id", "strange_share", "surprise", "n_words", "stuffed"],
             )
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from medlattice.llm import leaks, mixing, normal, quantiles, splits, stuffing
+from medlattice.llm import leaks, lexing, mixing, normal, quantiles, splits, stuffing
 from tests.conftest import rows, ts
 from tests.test_core_problems import NPX, PANEL, PANELS, reading
 
@@ -206,9 +206,48 @@ def test_stuffing(spark):
     assert stuffing.score_pages(df.where("false")).count() == 0
 
 
+UNSEEN = [
+    "L'orchestra provava da settimane una sinfonia che nessuno dei musicisti aveva mai suonato prima. Il direttore, un uomo anziano e paziente, fermava spesso le prove per spiegare ai violini come respirare insieme alla fine di ogni frase.",
+    "O barco saiu cedo do porto e os pescadores falavam pouco, porque o mar estava calmo demais para a estação. Quando o sol nasceu atrás das colinas, o mais velho deles começou a cantar uma canção que ninguém conhecia.",
+    "Stary zegarmistrz mieszkał na końcu ulicy i codziennie rano otwierał swój warsztat, zanim pierwsze tramwaje ruszyły przez most. Ludzie przynosili mu zegarki, których nikt inny nie potrafił naprawić, a on nigdy się nie spieszył.",
+    "De oude molen aan de rand van het dorp stond al jaren stil, maar vorig voorjaar hebben een paar buren besloten om hem weer op te knappen. Elke zaterdag komen ze samen en werken ze tot het donker wordt.",
+    "Старый смотритель маяка каждое утро поднимался по узкой лестнице, чтобы проверить лампу и записать погоду в толстую тетрадь. Он жил один, но никогда не скучал, потому что чайки и корабли были его лучшими собеседниками.",
+    "Den gamla färjan gick fortfarande över sundet varje timme, trots att bron hade öppnat för flera år sedan. Passagerarna var mest pensionärer och barn som tyckte om att mata måsarna från akterdäcket.",
+    "老人每天早上都会到湖边散步，然后坐在一张旧木椅上看书。冬天的时候，湖面结了厚厚的冰，孩子们在上面滑来滑去，笑声传得很远。",
+    "The orchestra rehearsed the second movement until midnight, because the oboist kept missing her entrance. Nobody complained; the conductor smiled, tapped his stand and asked the cellos to begin again from the quiet passage before the storm.",
+    "Volcanic islands erode quickly once the eruptions cease. Rain carves deep gullies into the soft basalt, waves undercut the cliffs, and within a few million years only a ring of coral marks the place where a mountain used to stand.",
+    "Parliament rejected the amendment by a narrow margin after a debate that lasted until dawn. Several ministers had threatened to resign, yet in the end the coalition held together and the budget passed without further changes.",
+    "To make the dough, dissolve the yeast in warm milk and let it stand until it foams. Add the flour slowly, knead for ten minutes, cover the bowl with a towel and leave it somewhere warm for an hour.",
+    "Compilers translate source code into machine instructions. Most of them first build a tree, then simplify it step by step, and only near the end decide which values live in registers and which must be kept in memory.",
+]
+FOREIGN_SPAM = [
+    "scarpe economiche online, scarpe sconto, comprare scarpe, scarpe offerta Roma, scarpe prezzo basso, scarpe online Milano, scarpe sconto Torino, comprare scarpe online, scarpe offerta, scarpe Napoli",
+    "#yoga #cheapyoga #yogamat #yoga_sale #buyyoga #yogaonline #yogashop #yogadeal",
+    "plumber London plumber Leeds plumber York plumber Hull plumber Bath plumber Derby plumber Luton plumber Slough plumber Poole plumber Crewe",
+]
+
+
+def test_languages_and_subjects_the_corpus_does_not_hold(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([*enumerate(UNSEEN, -1000), *enumerate(FOREIGN_SPAM, -500)], "doc_id long, text string")
+    scored = stuffing.score_pages(documents.unionByName(extra)).where("doc_id < 0")
+    assert sorted(r[0] for r in scored.where("stuffed").collect()) == [-500 + i for i in range(len(FOREIGN_SPAM))]
+    assert scored.where(F.col("doc_id") < -500).agg(F.max("strange_share")).first()[0] < 0.4
+
+
 def test_tokens_of_links_and_tags():
-    made = stuffing.tokens('<a href="http://a.example/x">best gel</a> see www.b.example/y #cheap_gel 12.5 mg HMR3')
-    assert [w for w, _ in made] == [stuffing.URL, "best", "gel", "see", stuffing.URL, stuffing.TAG, "12.5", "mg", "HMR3"]
+    w = lexing.lex(['<a href="http://a.example/x' + "y" * 5000 + '">best gel</a> see www.b.example/y #cheap_gel 12.5 mg, HMR3!', None, "", "<p>l'eau 日本語"])
+    assert w.kind.tolist() == [lexing.URL, 0, 0, 0, lexing.URL, lexing.TAG, lexing.NUMBER, 0, lexing.CODE, 0, 0, lexing.IDEOGRAPH, lexing.IDEOGRAPH]
+    assert w.text.tolist() == [0] * 9 + [3] * 4 and w.size.tolist()[-4:] == [1, 3, 2, 1] and w.before.tolist()[8] == lexing.COMMA
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60)), max_size=6))
+def test_words_of_a_batch_are_those_of_its_texts(texts):
+    whole = lexing.lex(texts)
+    apart = [lexing.lex([t]) for t in texts]
+    assert whole.hash.tolist() == [h for w in apart for h in w.hash.tolist()]
+    assert whole.text.tolist() == [i for i, w in enumerate(apart) for _ in range(len(w))]
 
 
 def test_day_sketches_merge_like_the_whole(spark):
