@@ -1,23 +1,26 @@
 """Evaluation items given away by training documents, whole or in part, reworded or re-parameterised.
 
-Numbers, names and units of items and documents become typed placeholders; windows of the templates that remain are
-looked up in a hash table of the items' windows.  Windows that follow each other in item and document make a stretch;
-in it the slots are compared, and only words that agree count.  A stretch whose slots and words differ too often is
-another text of the same template, not a copy.
+Numbers, names and units of items and documents become typed placeholders; the hashes of windows of the templates that
+remain are joined with those of the items.  Windows that follow each other in item and document make a stretch; in it
+the slots are compared, and only words that agree count.  A stretch whose slots and words differ too often is another
+text of the same template, not a copy.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, dimension, spread
 from .normal import plain, read_alike, words
 
 NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01p"
@@ -53,8 +56,8 @@ def _spelled_numbers() -> frozenset[str]:
     return frozenset(made)
 
 
-SPELLED = _spelled_numbers()
-READ_SPELLED = frozenset(read_alike(w) for w in SPELLED)
+READ_SPELLED = frozenset(read_alike(w) for w in _spelled_numbers())
+READ_UNITS = frozenset(read_alike(w) for w in UNITS)
 
 
 @dataclass(frozen=True)
@@ -68,91 +71,163 @@ class Rule:
     conflict: float = 0.34  #: share of a stretch's aligned slots that may hold another value in a copy
     share: float = 1 / 3  #: share of the item's words that all its stretches together must hold
     template_share: float = 0.5  #: the same where most of them lie in stretches with other slots
+    literal: float = 0.97  #: share of a stretch's words between slots that agree where it is the item with other slots
     shared_by: int = 3  #: items that must end in the same sentence for it to be a standard instruction
     instruction: int = 6  #: least words of a standard instruction
 
 
-@dataclass
-class Index:
-    """The items' words and the hash table of their template windows."""
+def _sentences(text: str) -> list[str]:
+    return [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s]
 
-    rule: Rule
-    items: dict[int, list[str]] = field(default_factory=dict)
-    counted: dict[int, int] = field(default_factory=dict)
-    templates: dict[int, list[str]] = field(default_factory=dict)
-    names: set[str] = field(default_factory=set)
-    known: set[str] = field(default_factory=set)
-    windows: dict[tuple, list[tuple[int, int]]] = field(default_factory=dict)
-    literal: dict[tuple, list[tuple[int, int]]] = field(default_factory=dict)  #: windows of the words themselves where the template has too few of them
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """The words of all items, as a misreading leaves them, and those of them that are names."""
 
-def _sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s]
+    known: frozenset[str]
+    names: frozenset[str]
 
 
-def template(tokens: Sequence[str], names: set[str], known: set[str], spelled: frozenset[str] = SPELLED) -> list[str]:
-    """Tokens with numbers, units and names replaced; a word that no item knows may stand for a name."""
-    made = []
-    for w in tokens:
-        if w in UNITS:
-            made.append(UNIT)
-        elif w in spelled:
-            made.append(NUMBER)
-        elif not w.isalpha() and any(c.isdigit() for c in w):
-            made.append(NAME if w[0].isalpha() else NUMBER)
-        elif w in names or w not in known:
-            made.append(NAME)
-        else:
-            made.append(w)
-    return made
+def item_body(text: str | None, standard: frozenset[str] | set[str]) -> list[str]:
+    """The sentences of an item without a standard instruction at its end; an item that is nothing else keeps it."""
+    sentences = _sentences(plain(text)) if text else []
+    if len(sentences) > 1 and " ".join(words(sentences[-1])) in standard:
+        sentences = sentences[:-1]
+    return sentences
 
 
-def last_sentence(text: str | None) -> str:
-    """The words of a text's last sentence."""
+def ending(text: str | None) -> tuple[str, str]:
+    """The words of a text's last sentence and of what stands before it."""
     sentences = _sentences(plain(text)) if text else []
-    return " ".join(words(sentences[-1])) if sentences else ""
-
-
-def standard_endings(items: Sequence[tuple[int, str | None]], rule: Rule = Rule()) -> set[str]:
-    """Last sentences that many items share."""
-    ends = Counter(last_sentence(t) for _, t in items)
-    return {e for e, n in ends.items() if n >= rule.shared_by and len(e.split()) >= rule.instruction}
-
-
-def build_index(items: Sequence[tuple[int, str | None]], rule: Rule = Rule(), standard: set[str] | None = None) -> Index:
-    """Index items given as (id, text); a sentence that ends many of them is no part of any."""
-    index = Index(rule)
-    split = {i: _sentences(plain(t)) for i, t in items if i is not None and t}
-    standard = standard_endings(items, rule) if standard is None else standard
-    kept: dict[int, list[str]] = {}
-    for i, sentences in split.items():
-        if sentences and " ".join(words(sentences[-1])) in standard:
-            sentences = sentences[:-1]
-        kept[i] = words(" ".join(sentences))
-        for s in sentences:
-            for w in s.split()[1:]:
-                if w[:1].isupper():
-                    index.names.update(words(w))
-    lower = Counter(w for i in kept for s in split[i] for raw in s.split()[1:] if raw[:1].islower() for w in words(raw))
-    index.names -= set(lower)
-    index.known = {w for ws in kept.values() for w in ws}
-    windows: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    literal: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for i, ws in kept.items():
-        if not ws:
-            continue
-        index.items[i], index.counted[i] = [read_alike(w) for w in ws], len(ws)
-        index.templates[i] = [t if t[0] == "\x01" else read_alike(t) for t in template(ws, index.names, index.known)]
-        marks = index.templates[i]
-        for k in range(len(marks) - rule.window + 1):
-            window = tuple(marks[k : k + rule.window])
-            if sum(m[0] != "\x01" for m in window) >= 2:
-                windows[window].append((i, k))
-            else:  # German nouns look like names: their windows are found by the words
-                literal[tuple(index.items[i][k : k + rule.window])].append((i, k))
-    index.windows, index.literal = dict(windows), dict(literal)
-    index.names = {read_alike(w) for w in index.names}
-    index.known = {read_alike(w) for w in index.known}
+    return (" ".join(words(sentences[-1])), " ".join(words(" ".join(sentences[:-1])))) if sentences else ("", "")
+
+
+def standard_endings(texts: Iterable[str | None], rule: Rule = Rule()) -> frozenset[str]:
+    """Last sentences that stand behind several different beginnings; copies of one item say nothing."""
+    bodies: dict[str, set[str]] = defaultdict(set)
+    for t in texts:
+        end, body = ending(t)
+        if body and len(end.split()) >= rule.instruction:
+            bodies[end].add(body)
+    return frozenset(e for e, b in bodies.items() if len(b) >= rule.shared_by)
+
+
+def word_roles(sentences: Sequence[str]) -> Iterator[tuple[str, int, int]]:
+    """(word, written like a name, written in lower case) for the words of an item without digits."""
+    for s in sentences:
+        for k, raw in enumerate(s.split()):
+            for w in words(raw):
+                if not any(c.isdigit() for c in w):
+                    yield read_alike(w), int(k > 0 and raw[:1].isupper()), int(k > 0 and raw[:1].islower())
+
+
+def vocabulary(roles: Iterable[tuple[str, int, int]]) -> Vocabulary:
+    """Names are the words written like one and never in lower case."""
+    known, names, lower = set(), set(), set()
+    for w, name, small in roles:
+        known.add(w)
+        if name:
+            names.add(w)
+        if small:
+            lower.add(w)
+    return Vocabulary(frozenset(known), frozenset(names - lower))
+
+
+class Marks(dict):
+    """word -> (as read, mark), remembered; a word that no item knows may stand for a name."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        read = read_alike(word)
+        if word.isdigit():
+            mark = NUMBER
+        elif read in READ_UNITS:
+            mark = UNIT
+        elif read in READ_SPELLED:
+            mark = NUMBER
+        elif read in self.vocabulary.known:
+            mark = NAME if read in self.vocabulary.names else read
+        else:
+            mark = NUMBER if word[0].isdigit() else NAME
+        if len(self) > 500_000:  # the words of a crawl have no end
+            self.clear()
+        self[word] = (read, mark)
+        return read, mark
+
+
+def template(tokens: Sequence[str], marks: Marks) -> tuple[list[str], list[str]]:
+    """Words as read, and the template with numbers, units and names replaced."""
+    pairs = [marks[w] for w in tokens]
+    return [p[0] for p in pairs], [p[1] for p in pairs]
+
+
+class Codes(dict):
+    """Words as 64-bit numbers, remembered; placeholders have the lowest bit set, words have not."""
+
+    def __missing__(self, word: str) -> int:
+        code = xxhash.xxh3_64_intdigest(word) & ~1 | (word[0] == "\x01")
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = code
+        return code
+
+
+def _rolled(codes: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """A hash for every window of ``width`` codes."""
+    made = np.full(max(0, len(codes) - width + 1), salt, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            made = (made ^ codes[k : len(codes) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            made ^= made >> np.uint64(31)
+    return made.view(np.int64)
+
+
+def window_hashes(read: list[str], marks: list[str], codes: Codes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the template's windows and of those of the words themselves, and which template windows hold words enough."""
+    said = np.fromiter((codes[w] for w in read), np.uint64, len(read))
+    meant = np.fromiter((codes[m] for m in marks), np.uint64, len(marks))
+    literal = np.concatenate([[0], np.cumsum(1 - (meant & np.uint64(1)).astype(np.int64))])
+    n = max(0, len(read) - width + 1)
+    return _rolled(meant, width, 11), _rolled(said, width, 23), literal[width : width + n] - literal[:n] >= 2
+
+
+def item_windows(read: list[str], marks: list[str], codes: Codes, width: int) -> np.ndarray:
+    """The hash by which each window of an item is looked for.
+
+    German nouns look like names: a window with too few words that are none is looked for by its words themselves.
+    """
+    meant, said, enough = window_hashes(read, marks, codes, width)
+    return np.where(enough, meant, said)
+
+
+@dataclass
+class Index:
+    """Items with their words, templates and windows: what a single process needs to judge texts."""
+
+    rule: Rule
+    marks: Marks
+    codes: Codes = field(default_factory=Codes)
+    items: dict[int, tuple[list[str], list[str]]] = field(default_factory=dict)
+    windows: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+
+
+def build_index(items: Sequence[tuple[int, str | None]], rule: Rule = Rule(), standard: frozenset[str] | None = None, known: Vocabulary | None = None) -> Index:
+    """Index items given as (id, text); a sentence that ends many different ones is no part of any."""
+    standard = standard_endings((t for _, t in items), rule) if standard is None else standard
+    bodies = {i: item_body(t, standard) for i, t in items if i is not None and t}
+    known = vocabulary(r for s in bodies.values() for r in word_roles(s)) if known is None else known
+    index = Index(rule, Marks(known))
+    windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i, sentences in bodies.items():
+        tokens = words(" ".join(sentences))
+        if tokens:
+            index.items[i] = template(tokens, index.marks)
+            for p, h in enumerate(item_windows(*index.items[i], index.codes, rule.window).tolist()):
+                windows[h].append((i, p))
+    index.windows = dict(windows)
     return index
 
 
@@ -171,6 +246,15 @@ def _runs(hits: list[tuple[int, int]], width: int) -> list[list[int]]:
     return made
 
 
+def _filled_anew(item: list[str], document: list[str], aligned: dict[int, int], slots: set[int], agree: set[int], rule: Rule) -> bool:
+    """Whether a stretch is the item with other parameters: the words between the slots agree, and equal slots stay equal."""
+    between = [p for p in aligned if p not in slots]
+    if sum(p in agree for p in between) < rule.literal * len(between):
+        return False
+    value: dict[str, str] = {}
+    return all(value.setdefault(item[p], document[aligned[p]]) == document[aligned[p]] for p in slots) and len(set(value.values())) == len(value)
+
+
 def stretches(item: list[str], document: list[str], hits: list[tuple[int, int]], rule: Rule, item_marks: list[str], document_marks: list[str]) -> list[tuple[int, int, int, int, set[int], bool]]:
     """Stretches of the document in the item's order: item and document range, the item's words held, and whether the slots agree.
 
@@ -214,101 +298,195 @@ def stretches(item: list[str], document: list[str], hits: list[tuple[int, int]],
         same = sum(p in agree for p in slots)
         fresh = agree - held
         if len(fresh) >= rule.stretch and len(agree) >= rule.agreement * max(last[1] - first[0], last[3] - first[2]):
-            own = len(slots) - same <= rule.conflict * len(slots)
-            if own:
+            own = len(slots) - same <= rule.conflict * len(slots) or _filled_anew(item, document, aligned, set(slots), agree, rule)
+            if own and len(slots) - same <= rule.conflict * len(slots):
                 fresh = set(range(first[0], last[1])) - held
             held |= fresh | agree
             made.append((first[0], last[1], first[2], last[3], fresh, own))
     return made
 
 
-def judge(text: str | None, index: Index, floor: float | None = None) -> list[tuple[int, int, int, int]]:
+def enough_windows(n: int, rule: Rule) -> float:
+    """Different windows of an item of ``n`` words that a document must share to be looked at."""
+    return max(3, 0.25 * rule.share * n)
+
+
+def compare(item: tuple[list[str], list[str]], read: list[str], marks: list[str], hits: list[tuple[int, int]], rule: Rule) -> tuple[int, int, int] | None:
+    """(words held, words of the item, stretches) where the document gives the item away, else None."""
+    n = len(item[0])
+    if len({p for _, p in hits}) < enough_windows(n, rule):
+        return None
+    parts = stretches(item[0], read, hits, rule, item[1], marks)
+    held = sum(len(s[4]) for s in parts)
+    own = sum(len(s[4]) for s in parts if s[5])
+    if held and held >= (rule.share if 2 * own >= held else max(rule.share, rule.template_share)) * n:
+        return held, n, len(parts)
+    return None
+
+
+def judge(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
     """(item, words held, words of the item, stretches) for every item that the text gives away."""
-    rule = index.rule
-    floor = rule.share if floor is None else floor
-    raw = words(text)
-    if len(raw) < rule.stretch:
+    tokens = words(text)
+    if len(tokens) < index.rule.stretch:
         return []
-    document = [read_alike(w) for w in raw]
-    marks = template(document, index.names, index.known, READ_SPELLED)
+    read, marks = template(tokens, index.marks)
+    meant, said, _ = window_hashes(read, marks, index.codes, index.rule.window)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    ahead = lambda tokens: zip(*[tokens[k:] for k in range(rule.window)])
-    for d, (window, said) in enumerate(zip(ahead(marks), ahead(document))):
-        for found in (index.windows.get(window), index.literal.get(said)):
-            for i, p in found or ():
+    for d, pair in enumerate(zip(meant.tolist(), said.tolist())):
+        for h in pair:
+            for i, p in index.windows.get(h, ()):
                 hits[i].append((d, p))
-    made = []
-    for i, at in hits.items():
-        n = index.counted[i]
-        if len({p for _, p in at}) < max(3, 0.25 * floor * n):
-            continue
-        parts = stretches(index.items[i], document, at, rule, index.templates[i], marks)
-        held = sum(len(s[4]) for s in parts)
-        own = sum(len(s[4]) for s in parts if s[5])
-        if held >= (floor if 2 * own >= held else max(floor, rule.template_share)) * n:
-            made.append((i, held, n, len(parts)))
-    return made
+    found = ((i, compare(index.items[i], read, marks, at, index.rule)) for i, at in hits.items())
+    return [(i, *case) for i, case in found if case]
 
 
-#: Items indexed at a time; a larger set is handled in blocks, one pass over the documents each.
-BLOCK_ITEMS = 50_000
+#: Words and standard instructions that all items together may have; they are held by every task.
+MAX_WORDS, MAX_ENDINGS = 20_000_000, 100_000
+#: Bits of the filter of window hashes at most; a larger item set makes it less selective, and no less exact.
+FILTER_BITS = 1 << 30
 SCHEMA = "doc_id long, item_id long, words_held int, item_words int, n_stretches int"
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most about ``size``."""
-    n = items.count()
-    parts = max(1, -(-n // size))
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect() if parts > 1 else items.collect()
-        if rows:
-            yield [(r[0], r[1]) for r in rows]
+def _bounded(rows: DataFrame, most: int, what: str) -> pa.Table:
+    made = rows.limit(most + 1).toArrow()
+    if made.num_rows > most:
+        raise ValueError(f"more than {most} {what}")
+    return made
 
 
-def _shared_endings(items: DataFrame, rule: Rule) -> set[str]:
-    """Standard instructions of the whole set; as there are few, they fit the driver."""
+def learn(items: DataFrame, rule: Rule) -> tuple[frozenset[str], Vocabulary]:
+    """Standard instructions and words of all items (item_id, t), counted in one pass each."""
 
     def ends(batches):
         for pdf in batches:
-            yield pdf["t"].map(last_sentence).to_frame("e")
+            pairs = [ending(t) for t in pdf["t"]]
+            kept = [(e, xxhash.xxh3_64_intdigest(b) >> 1) for e, b in pairs if b and len(e.split()) >= rule.instruction]
+            yield pd.DataFrame(kept, columns=["e", "b"])
+
+    shared = items.select("t").mapInPandas(ends, "e string, b long").distinct().groupBy("e").count().where(F.col("count") >= rule.shared_by).select("e")
+    standard = frozenset(_bounded(shared, MAX_ENDINGS, "standard instructions").column(0).to_pylist())
+
+    def told(batches):
+        for pdf in batches:
+            made = pd.DataFrame([r for t in pdf["t"] for r in word_roles(item_body(t, standard))], columns=["w", "n", "l"])
+            yield made.groupby("w", as_index=False).max()
+
+    roles = items.select("t").mapInPandas(told, "w string, n int, l int").groupBy("w").agg(F.max("n").alias("n"), F.max("l").alias("l"))
+    rows = _bounded(roles, MAX_WORDS, "different words of items").to_pydict()
+    return standard, vocabulary(zip(rows["w"], rows["n"], rows["l"]))
 
-    shared = items.select("t").mapInPandas(ends, "e string").groupBy("e").count().where(F.col("count") >= rule.shared_by)
-    rows = shared.select("e").limit(BLOCK_ITEMS + 1).collect()
-    if len(rows) > BLOCK_ITEMS:
-        raise ValueError("too many repeated last sentences; raise shared_by")
-    return {r[0] for r in rows if len(r[0].split()) >= rule.instruction}
 
+def _filter(windows: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits to drop, bit set) of all window hashes: sixteen bits or more for each, up to FILTER_BITS."""
+    n = windows.count()
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    drop = 64 - (bits.bit_length() - 1)
+    placed = windows.select(F.shiftrightunsigned("h", drop).alias("top")).select(F.shiftright("top", 5).alias("slot"), F.expr("shiftleft(1L, cast(top % 32 as int))").alias("bit"))
+    parts = placed.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    made = np.zeros(bits // 32, np.uint32)
+    made[parts.column("slot").to_numpy()] = parts.column("bits").to_numpy().astype(np.uint32)
+    return drop, made
 
-def find_leaks(documents: DataFrame, items: DataFrame, rule: Rule = Rule(), block: int = BLOCK_ITEMS, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+
+def _within(hashes: np.ndarray, drop: int, bits: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through; each that an item has, and few others."""
+    top = hashes.view(np.uint64) >> np.uint64(drop)
+    return (bits[(top >> np.uint64(5)).astype(np.int64)] >> (top & np.uint64(31)).astype(np.uint32)) & 1 > 0
+
+
+def near_enough(places: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which of the sorted places of shared windows may belong to a stretch: those in groups that span one."""
+    if not len(places):
+        return np.zeros(0, bool)
+    group = np.concatenate([[0], np.cumsum(np.diff(places) > rule.window + rule.gap)])
+    first = places[np.searchsorted(group, group, side="left")]
+    last = places[np.searchsorted(group, group, side="right") - 1]
+    return last + rule.window - first >= rule.stretch
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, words_held, item_words, n_stretches): each document with each item it gives away.
 
-    The held-out items are the small side: their index is broadcast, block by block, and every whole document passes
-    it once; nothing is shuffled.  Copies of a document are reported each.  Null and empty texts and items give
-    nothing, items of one id count as their longest text.
+    Every document is read once, however many items there are.  The hashes of its template windows that pass a bit
+    filter of the items' windows, in groups long enough for a stretch, are joined with the items' windows; pairs that
+    share windows enough are compared word by word.  Copies of a document are reported each.  Null and empty texts and
+    items give nothing, rows without an id neither; items of one id count as their longest text.
     """
     spark = documents.sparkSession
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("t")).where("item_id is not null and t is not null")
-    asked = asked.groupBy("item_id").agg(F.max_by("t", F.struct(F.length("t"), F.col("t"))).alias("t"))
+    asked = cut(asked.groupBy("item_id").agg(F.max_by("t", F.struct(F.length("t"), F.col("t"))).alias("t")))
+    standard, known = learn(asked, rule)
+    shared = spark.sparkContext.broadcast((standard, known))
+
+    def cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, codes = Marks(shared.value[1]), Codes()
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                made = item_windows(*template(words(" ".join(item_body(t, shared.value[0]))), marks), codes, rule.window)
+                yield pa.RecordBatch.from_arrays([pa.array(made), pa.array(np.full(len(made), i)), pa.array(np.arange(len(made)), pa.int32()), pa.array(np.full(len(made), len(made) + rule.window - 1), pa.int32())], names=["h", "item_id", "p", "n"])
+
+    windows = cut(asked.mapInArrow(cut_items, "h long, item_id long, p int, n int"))
+    chosen = spark.sparkContext.broadcast(_filter(windows))
+
+    def cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, codes = Marks(shared.value[1]), Codes()
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = words(t)
+                if d is None or len(tokens) < rule.stretch:
+                    continue
+                meant, said, _ = window_hashes(*template(tokens, marks), codes, rule.window)
+                passed = _within(meant, *chosen.value), _within(said, *chosen.value)
+                places = np.flatnonzero(passed[0] | passed[1])
+                places = places[near_enough(places, rule)]
+                if len(places):
+                    kept = np.zeros(len(meant), bool)
+                    kept[places] = True
+                    rows.append((d, t, np.unique(np.concatenate([meant[kept & passed[0]], said[kept & passed[1]]]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "text", "hashes"])
+
     pages = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    standard = _shared_endings(asked, rule)
-    found = None
-    for rows in _blocks(asked, block):
-        index = spark.sparkContext.broadcast(build_index(rows, rule, standard))
-
-        def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = [
-                    (d, *case)
-                    for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for case in judge(t, index.value)
-                ]
-                columns = list(zip(*made)) if made else [[]] * 5
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "words_held", "item_words", "n_stretches"])
-
-        part = pages.mapInArrow(work, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], SCHEMA) if found is None else found
+    looked = cut(pages.mapInArrow(cut_documents, "doc_id long, text string, hashes array<long>"))
+    # a place of an item has one hash and a document names each hash once, so these sums count different places
+    places = windows.groupBy("h", "item_id").agg(F.count("*").alias("places"), F.first("n").alias("n"))
+    pairs = (
+        looked.select("doc_id", F.explode("hashes").alias("h"))
+        .join(places, "h")
+        .groupBy("doc_id", "item_id")
+        .agg(F.sum("places").alias("shared"), F.first("n").alias("n"))
+        .where(F.col("shared") >= F.greatest(F.lit(3), F.lit(0.25 * rule.share) * F.col("n")))
+        .select("doc_id", "item_id")
+    )
+    both = looked.select("doc_id", "text").join(pairs, "doc_id").join(dimension(asked), "item_id").select("doc_id", "text", "item_id", "t")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, codes = Marks(shared.value[1]), Codes()
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            rows, last, page = [], None, None
+            for d, t, i, item_text in zip(*(c.to_pylist() for c in batch.columns)):
+                if i not in held:
+                    if len(held) > 10_000:
+                        held.clear()
+                    item = template(words(" ".join(item_body(item_text, shared.value[0]))), marks)
+                    at: dict[int, list[int]] = defaultdict(list)
+                    for p, h in enumerate(item_windows(*item, codes, rule.window).tolist()):
+                        at[h].append(p)
+                    held[i] = item, at
+                if t != last:
+                    last, (read, meant) = t, template(words(t), marks)
+                    page = window_hashes(read, meant, codes, rule.window)
+                item, at = held[i]
+                hits = [(k, p) for k, pair in enumerate(zip(page[0].tolist(), page[1].tolist())) for h in pair for p in at.get(h, ())]
+                case = compare(item, read, meant, hits, rule)
+                if case:
+                    rows.append((d, i, *case))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "words_held", "item_words", "n_stretches"])
+
+    return both.mapInArrow(check, SCHEMA)
 
 
 def leaks_by_item(leaks: DataFrame) -> DataFrame:

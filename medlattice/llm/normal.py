@@ -17,11 +17,20 @@ LOOKALIKES = {
 #: What misreading a letter gives, folded on both sides of a comparison.
 MISREAD = {"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "$": "s", "@": "a"}
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,2000}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrtbf\"'/\\])")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _SOFT_BREAK = re.compile(r"(?<=\w)[-‐‑]\s*\n[>|#*\s]*(?=\w)")
-_HIDDEN = {c: None for c in [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xAD, 0xFEFF, 0x34F, 0x180E]}
+
+
+def _class(chars) -> re.Pattern:
+    """A pattern of single characters."""
+    return re.compile("[" + "".join(f"\\u{c:04x}" for c in chars) + "]")
+
+
+_HIDDEN = _class([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xAD, 0xFEFF, 0x34F, 0x180E])
+_ACCENT = _class([c for c in range(0x10000) if unicodedata.combining(chr(c))])
+_LOOKALIKE = re.compile("[" + "".join(LOOKALIKES) + "]")
 _LATIN = str.maketrans(LOOKALIKES)
 _READ = str.maketrans(MISREAD)
 _WORD_SIGNS = re.compile(r"[^\w\s]|_")
@@ -40,12 +49,21 @@ def _percent(m: re.Match) -> str:
         return m[0]
 
 
+def without_comments(text: str) -> str:
+    """A space for every closed comment of the mark-up."""
+    made, start = [], 0
+    while (first := text.find("<!--", start)) >= 0 and (last := text.find("-->", first)) >= 0:
+        made += [text[start:first], " "]
+        start = last + 3
+    return "".join([*made, text[start:]]) if made else text
+
+
 def plain(text: str) -> str:
     """The text without mark-up, escapes, hidden characters, odd encodings and line-end hyphens; letters kept."""
     if "\\" in text:
         text = _ESCAPE.sub(_unescape, text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", without_comments(text))
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if "%" in text:
@@ -56,7 +74,7 @@ def plain(text: str) -> str:
         except (UnicodeEncodeError, UnicodeDecodeError):
             pass
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_HIDDEN)
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     if "-" in text or "‐" in text:
         text = _SOFT_BREAK.sub("", text)
     return text
@@ -66,8 +84,9 @@ def fold(text: str) -> str:
     """Case, accents and look-alike letters removed."""
     text = text.casefold()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)).translate(_LATIN)
+        text = _ACCENT.sub("", unicodedata.normalize("NFKD", text))
+        if _LOOKALIKE.search(text):
+            text = text.translate(_LATIN)
     return text
 
 

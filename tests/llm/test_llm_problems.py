@@ -143,10 +143,43 @@ def test_find_leaks(spark):
     items = spark.createDataFrame([*ITEMS, ITEMS[0]], "item_id long, text string").withColumn("doc_id", F.lit("y"))
     want = [(1, 1), (2, 1), (5, 1), (6, 1), (6, 2)]
     assert rows(leaks.find_leaks(df, items).select("doc_id", "item_id")) == want
-    assert rows(leaks.find_leaks(df, items, block=2).select("doc_id", "item_id").distinct()) == want
+    assert rows(leaks.find_leaks(df.union(df.limit(0)).repartition(5), items.orderBy(F.desc("item_id"))).select("doc_id", "item_id").distinct()) == want
     assert leaks.find_leaks(df.where("false"), items).count() == 0 and leaks.find_leaks(df, items.where("false")).count() == 0
 
 
+def test_items_that_repeat_are_found(spark):
+    """A one-sentence item that stands several times in the set is no standard instruction."""
+    one = "The seventh lighthouse keeper buried nine copper kettles beneath the frozen orchard wall before Lent."
+    for copies in (1, 2, 3, 5):
+        items = [(i, one) for i in range(copies)]
+        assert {c[0] for c in leaks.judge(PAD + one + PAD, leaks.build_index(items))} == set(range(copies))
+        got = leaks.find_leaks(spark.createDataFrame([(1, PAD + one, "x"), (None, one, "x")], "doc_id long, text string, t string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert rows(got.select("doc_id", "item_id")) == [(1, i) for i in range(copies)]
+    two = [(i, WORDS_OF[i] + " " + one) for i in range(3)]
+    assert leaks.judge(one, leaks.build_index(two)) == []
+
+
+WORDS_OF = ["Blue otters juggle seventeen pears.", "A tired baker counts wooden spoons.", "Nobody painted the harbour bell."]
+
+
+def test_the_item_with_other_parameters():
+    """Less than half of the item with other names and numbers is found where equal slots stay equal."""
+    item = "In March Marlowe took 20 mg of Kestrelin and walked to Oldhaven before noon; then Marlowe counted 37 coins while Kestrelin lay in Oldhaven. " + " ".join(WORDS)
+    index = leaks.build_index([(1, item), *ITEMS[1:]])
+    part = " ".join(item.split()[:34])
+    assert {c[0] for c in leaks.judge(PAD + part.replace("Marlowe", "Hutchins").replace("20", "45").replace("37", "82") + PAD, index)} == {1}
+    same = {p: p for p in range(5)}
+    anew = lambda other: leaks._filled_anew("ann saw bob call ann".split(), other.split(), same, {0, 2, 4}, {p for p in same if other.split()[p] == "ann saw bob call ann".split()[p]}, leaks.Rule())
+    assert anew("eve saw tom call eve") and not anew("eve saw tom call kim") and not anew("eve saw eve call eve") and not anew("eve met tom call eve")
+
+
+def test_the_join_finds_what_a_search_of_all_pairs_finds(spark):
+    documents, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "eval_items"))
+    index = leaks.build_index([(r[0], r[1]) for r in items.select("item_id", "text").collect()])
+    want = sorted((d, i) for d, t in documents.select("doc_id", "text").collect() for i, *_ in leaks.judge(t, index))
+    assert rows(leaks.find_leaks(documents, items).select("doc_id", "item_id")) == want and len(want) > 10
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200))
 def test_words_never_fail(text):
