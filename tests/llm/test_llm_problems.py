@@ -176,7 +176,7 @@ def test_the_item_with_other_parameters():
 def test_the_join_finds_what_a_search_of_all_pairs_finds(spark):
     documents, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "eval_items"))
     index = leaks.build_index([(r[0], r[1]) for r in items.select("item_id", "text").collect()])
-    want = sorted((d, i) for d, t in documents.select("doc_id", "text").collect() for i, *_ in leaks.judge(t, index))
+    want = sorted(((d, i) for d, t in documents.select("doc_id", "text").collect() for i, *_ in leaks.judge(t, index)), key=repr)
     assert rows(leaks.find_leaks(documents, items).select("doc_id", "item_id")) == want and len(want) > 10
 
 
