@@ -33,6 +33,10 @@ def p1_split_report(spark: SparkSession, root: str) -> DataFrame:
     return splits.split_report(_p1_rows(spark, root))
 
 
+def p1_split_check(spark: SparkSession, root: str) -> DataFrame:
+    return splits.split_check(table(spark, root, "clinical_tasks"), table(spark, root, "patient_links"))
+
+
 def p6_percentiles(spark: SparkSession, root: str) -> DataFrame:
     days = quantiles.npx_days(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"), ERROR)
     return quantiles.npx_percentiles(days, error=ERROR)
@@ -71,7 +75,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_scores(spark, root).where("stuffed").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p6_percentiles, p6_monthly_percentiles, p8_found, p8_leaks, p8_leaks_by_item, p9_mix, p9_mix_report, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p1_split_check, p6_percentiles, p6_monthly_percentiles, p8_found, p8_leaks, p8_leaks_by_item, p9_mix, p9_mix_report, p10_found, p10_scores)}
 
 
 def _entity_sql(column: str) -> str:
@@ -124,6 +128,9 @@ select scope, protein_id, "group", period, n_values, {values}, {ERROR}::double a
 
 ORACLES = {
     "p1_found": _P1_FOUND,
+    "p1_split_check": """
+      with c as (select coalesce(task, '(none)') as scope, count(*) as n_rows from clinical_tasks group by 1 union all select '(all)', count(*) from clinical_tasks)
+      select scope, split, n_rows, true as as_wanted, cast(0 as bigint) as torn from c cross join (values ('train'), ('validation'), ('test')) s(split)""",
     "p6_percentiles": _p6_sql("'all'"),
     "p6_monthly_percentiles": _p6_sql("strftime(n.measured_at, '%Y-%m')"),
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from ..session import cut, drop_cut
 
 #: Distinct values of the label that the splits may be balanced over.
 MAX_LABELS = 1000
+#: Components that anneal together on average; which of them do is told by their hash alone.
+BUCKET = 4000
 
 
 def entity_key(value: Column | str) -> Column:
@@ -132,13 +134,30 @@ def component_masses(units: DataFrame, label: str) -> tuple[DataFrame, list]:
     return units.groupBy("component").agg(F.array(F.sum("n").cast("double"), *counts).alias("mass")), labels
 
 
+def _annealer(step: int, off: np.ndarray, scale: np.ndarray, whole: float, sweeps: int, seed: int):
+    """One bucket's part of a round."""
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("component", kind="stable")
+        x = np.stack(pdf["mass"].to_numpy())
+        c, b = (int(k) for k in key)
+        rng = np.random.default_rng([seed, step, c, b])
+        split = anneal(x, pdf["split"].to_numpy(), off[c] * (x[:, 0].sum() / whole), scale, rng, sweeps, 0.1 / (step + 1))
+        return pdf.assign(split=split.astype("int32"))
+
+    return work
+
+
 def search_splits(
-    masses: DataFrame, shares: Mapping[str, float], labels: int, chains: int = 2, rounds: int = 3, sweeps: int = 4, seed: int = 7
+    masses: DataFrame, shares: Mapping[str, float], labels: int, chains: int = 2, rounds: int = 3, sweeps: int = 4, seed: int = 7, enough: float = 1e-9
 ) -> DataFrame:
     """(component, split): hashed assignment improved by parallel annealing, the best chain and round kept.
 
-    Every batch of components anneals on its own against its part of the deviation that all splits show together;
-    after a round the deviations are summed again.  Only splits x labels sums reach the driver.
+    Components fall into buckets by their hash; every bucket of every chain anneals on its own, in the order of its
+    components and from a seed of its own, against its part of the deviation that all splits show together.  So the
+    result depends on the components, the shares and the seed alone, not on partitions or cores.  After a round the
+    deviations are summed again, and the search ends early where the cost falls under ``enough``.  Only splits x labels
+    sums reach the driver.
     """
     names = list(shares)
     target = np.array([shares[n] for n in names], float)
@@ -148,9 +167,15 @@ def search_splits(
     edges = np.cumsum(target)[:-1]
     u = F.pmod(F.xxhash64("component", "chain"), F.lit(1 << 30)) / float(1 << 30)
     at = functools.reduce(lambda c, i: F.when(u >= float(edges[i]), i + 1).otherwise(c), range(len(edges)), F.lit(0))
-    now = cut(masses.select("component", "mass", F.explode(F.array(*[F.lit(c) for c in range(chains)])).alias("chain")).withColumn("split", at.cast("int")))
+    masses = cut(masses.select("component", "mass"))
+    buckets = max(1, -(-masses.count() // BUCKET))
+    now = cut(
+        masses.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(buckets)).cast("int"))
+        .withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(chains)])))
+        .withColumn("split", at.cast("int"))
+    )
     best: tuple[float, int, DataFrame] | None = None
-    frames = []
+    frames = [masses]
     for step in range(rounds + 1):
         frames.append(now)
         sums = now.groupBy("chain", "split").agg(F.array(*[F.sum(F.col("mass")[i]) for i in range(labels + 1)]).alias("s")).collect()
@@ -165,23 +190,9 @@ def search_splits(
         chain = int(costs.argmin())
         if best is None or costs[chain] < best[0]:
             best = (float(costs[chain]), chain, now)
-        if step == rounds or total[0] == 0:
+        if step == rounds or total[0] == 0 or best[0] <= enough:
             break
-
-        def work(batches: Iterator[pd.DataFrame], step: int = step, off: np.ndarray = off, scale: np.ndarray = scale, whole: float = float(total[0])) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                made = []
-                for c, part in pdf.groupby("chain", sort=True):
-                    part = part.sort_values("component", kind="stable")
-                    x = np.stack(part["mass"].to_numpy()) if len(part) else np.zeros((0, len(scale)))
-                    share = x[:, 0].sum() / whole
-                    key = int(pd.util.hash_pandas_object(part["component"].iloc[:1], index=False).iloc[0] % (1 << 31))
-                    rng = np.random.default_rng([seed, step, int(c), key])
-                    split = anneal(x, part["split"].to_numpy(), off[int(c)] * share, scale, rng, sweeps, 0.1 / (step + 1))
-                    made.append(part.assign(split=split.astype("int32")))
-                yield pd.concat(made) if made else pdf
-
-        now = cut(now.repartition("chain", "component").mapInPandas(work, now.schema))
+        now = cut(now.groupBy("chain", "bucket").applyInPandas(_annealer(step, off, scale, float(total[0]), sweeps, seed), now.schema))
     _, chain, kept = best
     naming = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("split") + 1)
     result = kept.where(F.col("chain") == chain).select("component", naming.alias("split"))
@@ -219,13 +230,13 @@ def memberships(tasks: DataFrame, links: DataFrame, entity: str = "patient_id",
     return units.select("value", "row", "component").distinct().join(found, "component").withColumnRenamed("value", entity)
 
 
-def split_rows(tasks: DataFrame, links: DataFrame, entity: str = "patient_id", row: str = "task_row", column: str = "assigned_split", **options) -> DataFrame:
+def split_rows(tasks: DataFrame, links: DataFrame, entity: str = "patient_id", row: str = "task_row", column: str = "assigned_split", member: DataFrame | None = None, **options) -> DataFrame:
     """Every row of ``tasks`` with its split in ``column``; all rows of one entity share it.
 
     Tables may be empty.  Repeated rows count as often as they occur.  Rows without an entity get a split each; those
     that have no row id either share one.  Extra columns of any name stay.
     """
-    member = memberships(tasks, links, entity, row, **options)
+    member = memberships(tasks, links, entity, row, **options) if member is None else member
     named = member.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_v"), F.col("split").alias("_s"))
     lone = member.where(F.col(entity).isNull()).select(F.col("row").alias("_r"), F.col("split").alias("_s"))
     whole = tasks.select(F.struct(*[F.col(f"`{c}`") for c in tasks.columns]).alias("_row"), F.col(entity).alias("_entity"), F.col(row).alias("_id"), not_blank(entity).alias("_having"))
@@ -257,3 +268,22 @@ def split_report(rows: DataFrame, shares: Mapping[str, float] = DEFAULT_SHARES,
     return both.join(whole, "scope").select(
         "scope", F.col(column).alias("split"), "n_rows", (F.col("n_rows") / F.col("whole")).alias("share"), wanted[F.col(column)].alias("target_share")
     )
+
+
+def split_check(tasks: DataFrame, links: DataFrame, shares: Mapping[str, float] = DEFAULT_SHARES, entity: str = "patient_id", row: str = "task_row", label: str = "task", **options) -> DataFrame:
+    """Per label (``(all)``: all rows) and split: rows of the label, whether the split's share is as wanted, and torn entities.
+
+    As wanted means within 0.01, and for a label within 0.02 and half the root of its rows beyond that; torn are
+    components whose rows lie in more than one split.
+    """
+    member = cut(memberships(tasks, links, entity, row, label, shares, **options))
+    torn = member.select("component", "split").distinct().groupBy("component").count().where("count > 1").count()
+    report = split_report(split_rows(tasks, links, entity, row, member=member), shares, label)
+    splits = tasks.sparkSession.createDataFrame([(s, float(t) / sum(shares.values())) for s, t in shares.items()], "split string, wanted double")
+    whole = report.groupBy("scope").agg(F.sum("n_rows").alias("n_rows"))
+    slack = F.when(F.col("scope") == "(all)", F.lit(0.01)).otherwise(0.02 + 0.5 / F.sqrt("n_rows"))
+    return (
+        whole.crossJoin(F.broadcast(splits))  # labels x splits
+        .join(report.select("scope", "split", "share"), ["scope", "split"], "left")
+        .select("scope", "split", "n_rows", (F.abs(F.coalesce("share", F.lit(0.0)) - F.col("wanted")) <= slack).alias("as_wanted"), F.lit(torn).cast("long").alias("torn"))
+    )

@@ -72,6 +72,26 @@ def test_splits_meet_shares_with_a_giant(spark):
     assert empty.count() == 0
 
 
+def test_splits_do_not_depend_on_partitions(spark):
+    random.seed(3)
+    data = [(i, uid(int(random.expovariate(1) * 300)), random.choice("abc"), "c", "s") for i in range(4000)]
+    tasks, links = spark.createDataFrame(data, TASKS), spark.createDataFrame([], LINKS)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    made = set()
+    try:
+        for n, coalesce in ((1, "false"), (4, "false"), (7, "false"), (16, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            made.add(tuple(rows(splits.split_rows(tasks.repartition(n), links).select("task_row", "assigned_split"))))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(made) == 1
+    off = lambda rounds: splits.split_report(splits.split_rows(tasks, links, rounds=rounds)).agg(F.sum(F.pow(F.col("share") - F.col("target_share"), 2))).first()[0]
+    assert off(3) < 0.1 * off(0)
+    assert splits.split_check(tasks, links).where("not as_wanted or torn > 0").count() == 0
+
+
 def test_anneal_keeps_the_best_state():
     rng = np.random.default_rng(0)
     x = rng.integers(1, 9, (40, 3)).astype(float)
