@@ -63,6 +63,7 @@ class Plan:
     passes: int
     rest: float
     max_repeats: int
+    exponent: float = 0.0
 
 
 def tempered(targets: Mapping[str, float], sizes: Mapping[str, float], exponent: float) -> dict[str, float]:
@@ -126,7 +127,7 @@ def plan_mix(targets: Mapping[str, tuple[float, int]], sizes: Mapping[str, int],
         tokens = goal * weights.get(s, 0.0)
         size = int(sizes.get(s, 0))
         passes = min(r, int(tokens / size * (1 + 1e-12))) if size and tokens else 0
-        made.append(Plan(s, t, weights.get(s, 0.0), tokens, size, passes, max(0.0, tokens - passes * size) if passes < r else 0.0, r))
+        made.append(Plan(s, t, weights.get(s, 0.0), tokens, size, passes, max(0.0, tokens - passes * size) if passes < r else 0.0, r, exponent))
     return made
 
 
@@ -182,28 +183,49 @@ def realise(docs: DataFrame, plan: list[Plan], seed: int = 7) -> DataFrame:
     )
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, least_entropy: float | None = None, tokenizer: str = TOKENIZER, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(
+    documents: DataFrame, targets: DataFrame, budget: float | None = None, least_entropy: float | None = None, tokenizer: str = TOKENIZER, seed: int = 7, passes: float | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The training set and its report.
 
-    The report has a row per source of ``targets``: the share wanted, planned and reached, tokens, documents, passes.
-    Documents of other sources, of none, or without a token are not used.
+    The budget is in tokens, or as ``passes`` over all tokens of the sources that the targets name; without either it
+    is the largest that holds the targets exactly.  The report has a row per source of ``targets``: the share wanted,
+    planned and reached, the exponent found, tokens, documents, passes.  Documents of other sources, of none, or without
+    a token are not used.
     """
     wanted = _targets(targets)
     docs = sized(documents, tokenizer, seed)
     sizes = {r["source"]: int(r["n"]) for r in docs.where(F.col("source").isin(*wanted)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    plan = plan_mix(wanted, sizes, budget, least_entropy)
+    plan = plan_mix(wanted, sizes, passes * sum(sizes.values()) if budget is None and passes is not None else budget, least_entropy)
     made = realise(docs, plan, seed)
     spark = documents.sparkSession
-    schema = "source string, target_share double, weight double, available_tokens long, max_repeats int"
-    dims = spark.createDataFrame([(p.source, p.target, p.weight, p.available, p.max_repeats) for p in plan], schema)
+    schema = "source string, target_share double, weight double, exponent double, planned_tokens double, available_tokens long, max_repeats int"
+    dims = spark.createDataFrame([(p.source, p.target, p.weight, p.exponent, p.tokens, p.available, p.max_repeats) for p in plan], schema)
     got = made.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_records"), F.max(F.col("repeat_no") + 1).alias("most_repeats"))
     whole = F.sum("tokens").over(Window.partitionBy())
     report = (
         dims.join(got, "source", "left")
         .withColumn("share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)))
         .select(
-            "source", "target_share", "weight", "share", "available_tokens", "max_repeats",
+            "source", "target_share", "weight", "share", "exponent", "planned_tokens", "available_tokens", "max_repeats",
             F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         )
     )
     return made, report
+
+
+def mix_check(documents: DataFrame, report: DataFrame, slack: float = 0.01) -> DataFrame:
+    """Per source: documents it has, and whether the mixture keeps the plan, the repetitions and the budget.
+
+    ``as_planned``: the share is within ``slack`` of its weight, and the tokens are not above the plan; ``tempered``: the
+    exponent lies between 0 and 1.
+    """
+    there = documents.where(F.length("text") > 0).groupBy(plain_source(F.col("source")).alias("source")).agg(F.count("*").alias("n_documents"))
+    return report.join(there, "source", "left").select(
+        "source",
+        "max_repeats",
+        F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"),
+        (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"),
+        ((F.abs(F.col("share") - F.col("weight")) <= slack) & (F.col("tokens") <= F.col("planned_tokens") + 1e-6 * F.abs("planned_tokens") + 1)).alias("as_planned"),
+        ((F.col("exponent") > 0) & (F.col("exponent") < 1)).alias("tempered"),
+    )

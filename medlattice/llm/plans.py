@@ -11,6 +11,10 @@ from . import leaks, mixing, quantiles, splits, stuffing
 
 #: The stated relative error of the percentile queries.
 ERROR = 0.005
+#: How far a source's share may be from its planned weight in the check of mixtures.
+MIX_SLACK = 0.01
+#: Tokens of the tempered mixture as a multiple of those that its sources have.
+MIX_PASSES = 1.35
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -67,6 +71,19 @@ def p9_mix_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
 
 
+def p9_tempered_mix_report(spark: SparkSession, root: str) -> DataFrame:
+    """More tokens than the targets alone can give: the exponent is bisected."""
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"), passes=MIX_PASSES)[1]
+
+
+def p9_mix_check(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix_check(table(spark, root, "documents"), p9_mix_report(spark, root), MIX_SLACK)
+
+
+def p9_tempered_mix_check(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix_check(table(spark, root, "documents"), p9_tempered_mix_report(spark, root), MIX_SLACK)
+
+
 def p10_scores(spark: SparkSession, root: str) -> DataFrame:
     return stuffing.score_pages(table(spark, root, "documents"))
 
@@ -75,7 +92,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_scores(spark, root).where("stuffed").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p1_split_check, p6_percentiles, p6_monthly_percentiles, p8_found, p8_leaks, p8_leaks_by_item, p9_mix, p9_mix_report, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p1_split_check, p6_percentiles, p6_monthly_percentiles, p8_found, p8_leaks, p8_leaks_by_item, p9_mix, p9_mix_report, p9_tempered_mix_report, p9_mix_check, p9_tempered_mix_check, p10_found, p10_scores)}
 
 
 def _entity_sql(column: str) -> str:
@@ -126,7 +143,17 @@ p as (select scope, protein_id, "group", period, cast(max(whole) as bigint) as n
 select scope, protein_id, "group", period, n_values, {values}, {ERROR}::double as relative_error from p"""
 
 
+def _p9_sql(tempered: bool) -> str:
+    plain = "nullif(regexp_replace(regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g'), '[\\s_-]+', '_', 'g'), '')"
+    return f"""
+      with t as (select {plain} as source, min(max_repeats) as max_repeats from mix_targets group by 1),
+      d as (select {plain} as source, count(*) as n from documents where length(text) > 0 group by 1)
+      select t.source, t.max_repeats, coalesce(d.n, 0) as n_documents, true as repeats_kept, true as as_planned, {tempered} as tempered from t left join d using (source)"""
+
+
 ORACLES = {
+    "p9_mix_check": _p9_sql(False),
+    "p9_tempered_mix_check": _p9_sql(True),
     "p1_found": _P1_FOUND,
     "p1_split_check": """
       with c as (select coalesce(task, '(none)') as scope, count(*) as n_rows from clinical_tasks group by 1 union all select '(all)', count(*) from clinical_tasks)

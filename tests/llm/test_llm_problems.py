@@ -233,6 +233,9 @@ def test_mix(spark):
     assert made.groupBy("doc_id", "repeat_no").count().where("count > 1").count() == 0
     whole = mixing.mix(df, targets, budget=20_000.0)[1].agg(F.sum("tokens")).first()[0]
     assert whole <= 20_000 and whole > 19_000
+    once = mixing.mix(df, targets, passes=1.0)[1].collect()
+    assert 0 < once[0]["exponent"] < 1 and all(r["most_repeats"] <= r["max_repeats"] for r in once)
+    assert sum(r["tokens"] for r in once) > sum(r["tokens"] for r in got.values())
     none, empty = mixing.mix(df.where("false"), targets)
     assert none.count() == 0 and empty.agg(F.sum("tokens")).first()[0] == 0
 
