@@ -27,6 +27,11 @@ def p2_orphan_counts(spark: SparkSession, root: str) -> DataFrame:
     return orphans.snapshot(orphans.clinical_replay(spark, root))
 
 
+def p2_orphan_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """The counts at the end of each of four periods."""
+    return orphans.snapshots(orphans.clinical_replay(spark, root, 4)).drop("until")
+
+
 def _p3(what: str):
     def query(spark: SparkSession, root: str) -> DataFrame:
         return flatten.flatten(table(spark, root, "fhir_records"), what)
@@ -72,7 +77,7 @@ def p7_features_long(spark: SparkSession, root: str) -> DataFrame:
     return long.withColumn("patient", F.lower(F.hex("patient")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p3_found, *map(_p3, flatten.SCHEMAS), p4_found, p4_filled, p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p2_orphan_snapshots, p3_found, *map(_p3, flatten.SCHEMAS), p4_found, p4_filled, p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
 
 _KEY = canonical_id_sql
 _REFS = f"""
@@ -143,6 +148,14 @@ ORACLES = {
     "p2_found": f"with {_REFS} select table_name, field_name, row_id from judged where orphan",
     "p2_orphan_counts": f"""with {_REFS} select table_name, field_name, cast(date_trunc('month', loaded_at) as date) as month,
       count(*) as n_refs, cast(count_if(orphan) as bigint) as n_orphans, cast(count_if(still_open) as bigint) as n_open from judged group by 1, 2, 3""",
+    "p2_orphan_snapshots": f"""with {_REFS},
+      span as (select min(epoch_us(loaded_at)) as low, max(epoch_us(loaded_at)) as high from refs),
+      period as (select k as number, case when k < 3 then make_timestamp(low + (high - low) * (k + 1) // 4) else timestamp '9999-12-30' end as until from span, range(4) t(k)),
+      open as (select number, until, table_name, field_name, r.loaded_at, orphan,
+        not exists (select 1 from parents p where p.parent = r.parent and p.k = r.k and p.start <= until and p.stop > until) as still
+        from judged r join period on r.loaded_at <= until)
+      select number, table_name, field_name, cast(date_trunc('month', loaded_at) as date) as month,
+        count(*) as n_refs, cast(count_if(orphan) as bigint) as n_orphans, cast(count_if(still) as bigint) as n_open from open group by 1, 2, 3, 4""",
     "p4_found": """
       with names as (select distinct upper(protein_id) as k from olink_panels),
       m as (

@@ -53,14 +53,16 @@ def ship(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
-    Where the cluster names one in ``spark.checkpoint.dir`` that is used; only an unset session (tests, a laptop)
-    gets a folder of its own.
+    Where the cluster names one in ``spark.checkpoint.dir`` that is used; only a local session without one (tests, a
+    laptop) gets a folder of its own.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="medlattice-checkpoint-")
         spark.sparkContext.setCheckpointDir(set_dir)
         return set_dir
@@ -69,6 +71,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def state_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared file system for the tables of an operator's state."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, *by: str) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared folder, in folders per value of ``by``, and read it back.
 

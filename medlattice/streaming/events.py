@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.orphans import OrphanState, advance
+from ..operators.orphans import advance, load_state
 
 
 def read_shards(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 16) -> DataFrame:
@@ -49,11 +49,17 @@ class OrphanStream:
     """Micro-batches of references and parents through the orphan tracker: use ``take`` as foreachBatch's function.
 
     ``split`` turns a batch into (references, parent intervals).  Rows must reach the stream by their time of arrival.
+    The state lies in ``folder`` under the number of the batch: a batch that is delivered again changes nothing, and a
+    restarted stream goes on from the last complete one.
     """
 
-    def __init__(self, split, state: OrphanState | None = None):
-        self.split, self.state = split, state
+    def __init__(self, split, folder: str | None = None):
+        self.split, self.folder, self.state = split, folder, None
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
+        if self.state is None and self.folder is not None:
+            self.state = load_state(batch.sparkSession, self.folder)
+        if self.state is not None and batch_id <= self.state.number:
+            return
         references, parents = self.split(batch)
-        self.state = advance(self.state, references, parents)
+        self.state = advance(self.state, references, parents, folder=self.folder, number=batch_id)

@@ -209,13 +209,78 @@ def test_stored_partials(spark, tmp_path):
     assert rows(stored.select(*whole.columns)) == rows(whole)
 
 
+def _tracked(spark, deliveries, folder=None):
+    """Deliveries are (patients, references, until) in the order they come."""
+    state = None
+    for number, (patients, refs, until) in enumerate(deliveries):
+        p = orphans.parent_intervals(spark.createDataFrame(patients, PATIENTS), "patients")
+        r = orphans.references(spark.createDataFrame(refs, REFS), Reference("conditions", "PATIENT", "patients"))
+        state = orphans.advance(state, r, p, until, folder, number)
+    return state
+
+
+def _open(state):
+    return orphans.snapshot(state).agg(F.sum("n_open")).first()[0] or 0
+
+
+def test_a_deletion_that_comes_later(spark, tmp_path):
+    before, after = (1, A, ts("2020-01-01"), None, "x", "y"), (1, A, ts("2020-01-01"), ts("2020-06-01"), "x", "y")
+    first, second = (1, A, ts("2020-02-01"), "k", "k"), (2, A, ts("2020-07-01"), "k", "k")
+    folder = str(tmp_path / "tracker")
+    state = _tracked(spark, [([before], [first], ts("2020-03-01"))], folder)
+    assert state.orphans.count() == 0 and _open(state) == 0
+    state = _tracked(spark, [([before], [first], ts("2020-03-01")), ([after], [second], None)], folder)
+    assert [r["row_id"] for r in state.orphans.collect()] == [2] and _open(state) == 2
+    again = orphans.advance(state, state.orphans.drop("month"), orphans.parent_intervals(spark.createDataFrame([before], PATIENTS), "patients"), None, number=1)
+    assert again is state  # a batch that is delivered again changes nothing
+    kept = orphans.load_state(spark, folder)
+    assert kept == state and _open(kept) == 2 and rows(orphans.snapshots(kept).select("number", "month", "n_open")) == [(0, date(2020, 2, 1), 0), (1, date(2020, 2, 1), 1), (1, date(2020, 7, 1), 1)]
+    third = orphans.advance(kept, spark.createDataFrame([], "table_name string, field_name string, parent string, row_id long, key binary, loaded_at timestamp_ntz"), orphans.parent_intervals(spark.createDataFrame([(9, A.upper(), ts("2020-08-01"), None, "", "")], PATIENTS), "patients"))
+    assert _open(third) == 0 and third.orphans.count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deliveries_in_any_order(spark, seed):
+    """Versions of parent rows and references come in any order; brute force looks at all that has come so far."""
+    rng = random.Random(seed)
+    ids = [f"{i:032x}" for i in range(7)]
+    day_of = lambda: ts("2020-01-01") + timedelta(days=rng.randrange(100))
+    deliveries, seen, judged = [], {}, set()
+    all_refs, number = [], 0
+    for k in range(11):  # more than are kept as parts
+        patients, refs = [], []
+        for _ in range(rng.randrange(4)):
+            start = day_of()
+            patients.append((0, rng.choice(ids), start, rng.choice([None, start + timedelta(days=rng.randrange(60))]), "", ""))
+            if seen and rng.random() < 0.6:  # another version of a row that came before
+                key, start = rng.choice(sorted(seen))
+                patients.append((0, key, start, rng.choice([None, start + timedelta(days=rng.randrange(60))]), "", ""))
+        now = {}
+        for _, key, start, stop, *_ in patients:
+            stop = stop or ts("9999-12-31")
+            now[key, start] = max(stop, now.get((key, start), stop))
+        seen.update(now)
+        for _ in range(rng.randrange(9)):
+            number += 1
+            refs.append((number, rng.choice([*ids, "n/a"]), day_of(), "", ""))
+        live = lambda key, at: any(i == key and s <= at < e for (i, s), e in seen.items())
+        judged |= {r[0] for r in refs if not live(r[1], r[2])}
+        all_refs += refs
+        until = ts("2020-01-01") + timedelta(days=9 * (k + 1)) if k < 10 else None
+        deliveries.append((patients, refs, until))
+    state = _tracked(spark, deliveries)
+    assert {r["row_id"] for r in state.orphans.collect()} == judged
+    assert _open(state) == sum(not live(r[1], ts("9999-12-30")) for r in all_refs)
+
+
 def test_stored_orphans(spark, tmp_path):
-    patients = spark.createDataFrame([(1, A, ts("2020-03-01"), None, None, None)], PATIENTS)
+    patients = spark.createDataFrame([(1, A, ts("2020-03-01"), None, "", "")], PATIENTS)
     refs = orphans.references(spark.createDataFrame([(1, A, ts("2020-01-01"), "", ""), (2, A, ts("2020-04-01"), "", "")], REFS), Reference("conditions", "PATIENT", "patients"))
     none = orphans.parent_intervals(patients.where("false"), "patients")
-    state = orphans.advance(None, refs.where("row_id = 1"), none, ts("2020-02-01"))
+    folder = str(tmp_path / "state")
+    assert orphans.load_state(spark, folder) is None
+    state = orphans.advance(None, refs.where("row_id = 1"), none, ts("2020-02-01"), folder)
     assert orphans.snapshot(state).first()["n_open"] == 1
-    orphans.save_state(state, str(tmp_path / "state"))
-    state = orphans.advance(orphans.load_state(spark, str(tmp_path / "state")), refs.where("row_id = 2"), orphans.parent_intervals(patients, "patients"))
-    assert [r["row_id"] for r in state.orphans.collect()] == [1] and orphans.snapshot(state).agg(F.sum("n_open")).first()[0] == 0
-    assert orphans.load_state(spark, str(tmp_path / "state")).until == ts("2020-02-01")
+    assert orphans.load_state(spark, folder).until == ts("2020-02-01")
+    state = orphans.advance(orphans.load_state(spark, folder), refs.where("row_id = 2"), orphans.parent_intervals(patients, "patients"))
+    assert [r["row_id"] for r in state.orphans.collect()] == [1] and _open(state) == 0
