@@ -1,15 +1,13 @@
 """Nested resource bundles into flat tables that keep parent-child links.
 
-Bodies are read once into nested Arrow arrays of one fixed type, in which every one-or-many field is a list.  All
-tables come from there by offsets: a child array is the flattened values, its parents are the list's parent indices,
-its positions the distance to the parent's first child, and keys reach it by one vectorised take per level.
+The bytes of a batch of bodies become arrays of JSON values (:mod:`jsonnodes`); no body is parsed by itself.  All tables
+come from there by offsets: the members of a list are a range of its values, their positions the distance to the range's
+first, and keys reach a child row by one vectorised take per level.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,123 +15,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jsonnodes
+from .jsonnodes import ARRAY, NULL, OBJECT, Nodes
+
 #: The plain text fields of a name and of an address, and the list fields below them.
 TEXTS = ("use", "text", "family", "city", "district", "state", "postalCode", "country")
 LISTS = ("given", "prefix", "suffix", "line")
+#: Bytes of bodies that are read together; a longer body is read by itself.
+TOGETHER = 2_000_000
 
-_STRINGS = pa.list_(pa.string())
-_ITEM = pa.struct([("is_object", pa.bool_()), ("filled", pa.bool_()), *[(t, pa.string()) for t in TEXTS], ("period_start", pa.string()), ("period_end", pa.string()), *[(n, _STRINGS) for n in LISTS]])
-_CONTACT = pa.struct([("relationship", pa.string()), ("name", pa.list_(_ITEM)), ("address", pa.list_(_ITEM))])
-_RESOURCE = pa.struct([("resource_type", pa.string()), ("resource_id", pa.string()), ("name", pa.list_(_ITEM)), ("address", pa.list_(_ITEM)), ("contact", pa.list_(_CONTACT))])
-BUNDLES = pa.list_(_RESOURCE)
-
-
-def unwrap(body: str | None) -> Any:
-    """The JSON value of a body, once a byte-order mark, white space and string wrappings are undone; None if damaged."""
-    value: Any = body
-    for _ in range(4):
-        if not isinstance(value, str):
-            return value
-        try:
-            value = json.loads(value.strip("﻿ \t\r\n\0"))
-        except (ValueError, RecursionError):
-            return None
-    return None
-
-
-def has_content(value: Any) -> bool:
-    """Whether a value that is neither null nor an empty string lies at any depth; safe for any depth of nesting."""
-    waiting = [value]
-    while waiting:
-        v = waiting.pop()
-        if isinstance(v, dict):
-            waiting.extend(v.values())
-        elif isinstance(v, list):
-            waiting.extend(v)
-        elif v is not None and v != "":
-            return True
-    return False
-
-
-def _many(value: Any) -> list:
-    return value if isinstance(value, list) else [value]
-
-
-def _text(value: Any) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
-
-
-def _item(value: Any) -> dict | None:
-    if not isinstance(value, dict):
-        return None if value is None else {"is_object": False, "filled": False, "text": _text(value)}
-    period = value.get("period")
-    period = period if isinstance(period, dict) else {}
-    made: dict = {"is_object": True, "filled": has_content(value), "period_start": _text(period.get("start")), "period_end": _text(period.get("end"))}
-    for key in TEXTS:
-        made[key] = _text(value.get(key))
-    for key in LISTS:
-        if key in value:
-            made[key] = [_text(v) for v in _many(value[key])]
-    return made
-
-
-def _items(holder: dict, key: str) -> list | None:
-    return [_item(v) for v in _many(holder[key])] if key in holder else None
-
-
-def _relationship(value: Any) -> str | None:
-    for concept in _many(value):
-        if isinstance(concept, dict):
-            for coding in _many(concept.get("coding")):
-                if isinstance(coding, dict) and coding.get("code"):
-                    return _text(coding["code"])
-            if concept.get("text"):
-                return _text(concept["text"])
-    return None
-
-
-def _contact(value: Any) -> dict | None:
-    if not isinstance(value, dict):
-        return None
-    return {"relationship": _relationship(value.get("relationship")), "name": _items(value, "name"), "address": _items(value, "address")}
-
-
-def _resource(value: Any) -> dict | None:
-    if not isinstance(value, dict):
-        return None
-    return {
-        "resource_type": _text(value.get("resourceType")),
-        "resource_id": _text(value.get("id")),
-        "name": _items(value, "name"),
-        "address": _items(value, "address"),
-        "contact": [_contact(c) for c in _many(value["contact"])] if "contact" in value else None,
-    }
-
-
-def bundle(body: str | None) -> list | None:
-    """The resources of a body by position; a single resource is a bundle of one, an unreadable body None."""
-    value = unwrap(body)
-    if not isinstance(value, dict):
-        return None
-    if value.get("resourceType") != "Bundle" and "entry" not in value:
-        return [_resource(value)]
-    entries = value.get("entry")
-    return [] if entries is None else [_resource(e.get("resource")) if isinstance(e, dict) else None for e in _many(entries)]
-
-
-def children(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Values of a list array with each value's parent row and position."""
-    parent = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    return pc.list_flatten(lists), parent, np.arange(len(parent)) - np.searchsorted(parent, parent, side="left")
+RESOURCES = "record_id long, entry_no int, resource_type string, resource_id string"
+CONTACTS = "record_id long, entry_no int, resource_id string, contact_no int, relationship string"
+ITEM_KEY = "record_id long, entry_no int, resource_id string, owner string, owner_no int, kind string, item_no int"
+ITEMS = ITEM_KEY + ", is_object boolean, filled boolean, " + ", ".join(f"{t} string" for t in TEXTS) + ", period_start string, period_end string"
+PARTS = ITEM_KEY + ", part string, part_no int, value string"
+LEAVES = "record_id long, entry_no int, resource_id string, path string, places string, value string"
+SCHEMAS = {"resources": RESOURCES, "contacts": CONTACTS, "items": ITEMS, "parts": PARTS, "leaves": LEAVES}
 
 
-def _existing(values: pa.Array, *along: np.ndarray) -> tuple:
-    """Without null members, whose positions are already counted."""
-    keep = pc.is_valid(values)
-    mask = keep.to_numpy(zero_copy_only=False)
-    return (values.filter(keep), *[a[mask] for a in along])
+def _named(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
 
 def _take(values: pa.Array, index: np.ndarray) -> pa.Array:
@@ -144,60 +45,143 @@ def _ints(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype("int32"), pa.int32())
 
 
-RESOURCES = "record_id long, entry_no int, resource_type string, resource_id string"
-CONTACTS = "record_id long, entry_no int, resource_id string, contact_no int, relationship string"
-ITEM_KEY = "record_id long, entry_no int, resource_id string, owner string, owner_no int, kind string, item_no int"
-ITEMS = ITEM_KEY + ", is_object boolean, filled boolean, " + ", ".join(f"{t} string" for t in TEXTS) + ", period_start string, period_end string"
-PARTS = ITEM_KEY + ", part string, part_no int, value string"
-SCHEMAS = {"resources": RESOURCES, "contacts": CONTACTS, "items": ITEMS, "parts": PARTS}
-
-
-def _named(schema: str, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
-
-
-def flatten_arrays(record_ids: pa.Array, bundles: pa.Array, what: str) -> list[pa.RecordBatch]:
-    """The rows of table ``what`` for records whose nested arrays are ``bundles``."""
-    entry, record, entry_no = _existing(*children(bundles))
-    rid, number, ident = _take(record_ids, record), _ints(entry_no), entry.field("resource_id")
+def _of_kind(nodes: Nodes, at: np.ndarray, kind: int) -> np.ndarray:
+    """The values where they are of a kind, else -1."""
+    return np.where((at >= 0) & (nodes.kind[np.maximum(at, 0)] == kind), at, -1) if len(nodes) else at
+
+
+def entries(nodes: Nodes) -> tuple[np.ndarray, np.ndarray]:
+    """(resources, their positions): those of bundles, and single resources at position 0."""
+    root = np.flatnonzero((nodes.parent == -1) & (nodes.kind == OBJECT))
+    entry = nodes.member(root, "entry")
+    kind = nodes.texts(nodes.member(root, "resourceType"))
+    bundled = pc.fill_null(pc.equal(kind, "Bundle"), False).to_numpy(zero_copy_only=False) | (entry >= 0)
+    member, _, place = nodes.members(_missing_if_null(nodes, entry))
+    resource = _of_kind(nodes, nodes.member(_of_kind(nodes, member, OBJECT), "resource"), OBJECT)
+    single = root[~bundled]
+    at, number = np.concatenate([resource[resource >= 0], single]), np.concatenate([place[resource >= 0], np.zeros(len(single), np.int64)])
+    order = np.argsort(at, kind="stable")
+    return at[order], number[order]
+
+
+def _missing_if_null(nodes: Nodes, at: np.ndarray) -> np.ndarray:
+    return np.where((at >= 0) & (nodes.kind[np.maximum(at, 0)] == NULL), -1, at) if len(nodes) else at
+
+
+def _relationships(nodes: Nodes, contact: np.ndarray) -> pa.Array:
+    """The first code or text of each contact's relationship."""
+    concept, whose, concept_no = nodes.members(nodes.member(contact, "relationship"))
+    concept = _of_kind(nodes, concept, OBJECT)
+    coding, under, coding_no = nodes.members(nodes.member(concept, "coding"))
+    code = nodes.member(_of_kind(nodes, coding, OBJECT), "code")
+    said = nodes.member(concept, "text")
+    value = np.concatenate([code, said])
+    owner = np.concatenate([whose[under], whose])
+    first, then = np.concatenate([concept_no[under], concept_no]), np.concatenate([coding_no, np.full(len(said), 1 << 40)])
+    texts = nodes.texts(value)
+    good = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+    order = np.lexsort((then, first, owner))
+    order = order[good[order]]
+    head = np.concatenate([[True], owner[order][1:] != owner[order][:-1]])[: len(order)]
+    place = np.full(len(contact), -1)
+    place[owner[order][head]] = order[head]
+    return texts.take(pa.array(place, pa.int64(), mask=place < 0))
+
+
+def _leaves(nodes: Nodes, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(leaves, index into ``entry``, path, positions in the lists along it) of all values that hold no others."""
+    level, owner = entry, np.arange(len(entry))
+    path, places = pa.repeat("", len(entry)), pa.repeat("", len(entry))
+    made: list[tuple] = []
+    while len(level):
+        inner = (nodes.kind[level] == OBJECT) | (nodes.kind[level] == ARRAY)
+        leaf = np.flatnonzero(~inner)
+        made.append((level[leaf], owner[leaf], _take(path, leaf), _take(places, leaf)))
+        first = np.searchsorted(nodes._parents, level, side="left")
+        size = np.searchsorted(nodes._parents, level, side="right") - first
+        above = np.repeat(np.arange(len(level)), size)
+        place = np.arange(len(above)) - np.repeat(np.cumsum(size) - size, size)
+        below = nodes._by_parent[first[above] + place]
+        in_list = nodes.kind[level][above] == ARRAY
+        key = jsonnodes.unescaped(nodes.strings(nodes.key_start[below], nodes.key_stop[below]), ~in_list)
+        step = pc.if_else(pa.array(in_list), "[]", pc.binary_join_element_wise(pc.if_else(pc.equal(_take(path, above), ""), "", "."), pc.fill_null(key, ""), ""))
+        step_no = pc.if_else(pa.array(in_list), pc.binary_join_element_wise(pc.if_else(pc.equal(_take(places, above), ""), "", "."), pa.array(place).cast(pa.string()), ""), "")
+        path, places = pc.binary_join_element_wise(_take(path, above), step, ""), pc.binary_join_element_wise(_take(places, above), step_no, "")
+        level, owner = below, owner[above]
+    if not made:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()), pa.array([], pa.string())
+    return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), pa.chunked_array([m[2] for m in made]).combine_chunks(), pa.chunked_array([m[3] for m in made]).combine_chunks()
+
+
+def flatten_nodes(record_ids: pa.Array, nodes: Nodes, what: str) -> list[pa.RecordBatch]:
+    """The rows of table ``what`` for the records whose bodies hold ``nodes``."""
+    entry, entry_no = entries(nodes)
+    rid, number = _take(record_ids, nodes.text[entry]), _ints(entry_no)
+    ident = nodes.texts(nodes.member(entry, "id"))
     if what == "resources":
-        return [_named(RESOURCES, [rid, number, entry.field("resource_type"), ident])]
-    contact, holder, contact_no = _existing(*children(pc.struct_field(entry, "contact")))
+        return [_named(RESOURCES, [rid, number, nodes.texts(nodes.member(entry, "resourceType")), ident])]
+    if what == "leaves":
+        leaf, at, path, places = _leaves(nodes, entry)
+        return [_named(LEAVES, [_take(rid, at), _take(number, at), _take(ident, at), path, places, nodes.texts(leaf)])]
+    contact, holder, contact_no = nodes.members(nodes.member(entry, "contact"))
+    is_contact = _of_kind(nodes, contact, OBJECT) >= 0
+    contact, holder, contact_no = contact[is_contact], holder[is_contact], contact_no[is_contact]
     if what == "contacts":
-        return [_named(CONTACTS, [_take(rid, holder), _take(number, holder), _take(ident, holder), _ints(contact_no), contact.field("relationship")])]
+        return [_named(CONTACTS, [_take(rid, holder), _take(number, holder), _take(ident, holder), _ints(contact_no), _relationships(nodes, contact)])]
     made = []
-    here = np.arange(len(entry))
-    for owner, source, above, owner_no in (("resource", entry, here, np.zeros(len(entry), int)), ("contact", contact, holder, contact_no)):
+    for owner, source, above, owner_no in (("resource", entry, np.arange(len(entry)), np.zeros(len(entry), int)), ("contact", contact, holder, contact_no)):
         for kind in ("name", "address"):
-            item, parent, item_no = _existing(*children(pc.struct_field(source, kind)))
-            at = above[parent]
-            n = len(item)
+            item, parent, item_no = nodes.members(nodes.member(source, kind))
+            there = _missing_if_null(nodes, item) >= 0
+            item, parent, item_no = item[there], parent[there], item_no[there]
+            at, n = above[parent], len(item)
             key = [_take(rid, at), _take(number, at), _take(ident, at), pa.repeat(owner, n), _ints(owner_no[parent]), pa.repeat(kind, n), _ints(item_no)]
+            thing = _of_kind(nodes, item, OBJECT)
+            is_object = thing >= 0
             if what == "items":
-                made.append(_named(ITEMS, [*key, *[pc.struct_field(item, c.split()[0]) for c in ITEMS[len(ITEM_KEY) + 2 :].split(", ")]]))
+                filled = nodes.filled()[item] & is_object if n else is_object
+                texts = {t: nodes.texts(nodes.member(thing, t)) for t in TEXTS}
+                texts["text"] = pc.if_else(pa.array(is_object), texts["text"], nodes.texts(item))
+                period = _of_kind(nodes, nodes.member(thing, "period"), OBJECT)
+                ends = [nodes.texts(nodes.member(period, e)) for e in ("start", "end")]
+                made.append(_named(ITEMS, [*key, pa.array(is_object), pa.array(filled), *[texts[t] for t in TEXTS], *ends]))
                 continue
             for part in LISTS:
-                value, under, part_no = _existing(*children(pc.struct_field(item, part)))
-                made.append(_named(PARTS, [*[_take(k, under) for k in key], pa.repeat(part, len(value)), _ints(part_no), value]))
+                value, under, part_no = nodes.members(nodes.member(thing, part))
+                there = _missing_if_null(nodes, value) >= 0
+                value, under, part_no = value[there], under[there], part_no[there]
+                made.append(_named(PARTS, [*[_take(k, under) for k in key], pa.repeat(part, len(value)), _ints(part_no), nodes.texts(value)]))
     return made
 
 
+def _slices(bodies: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose bodies are read together."""
+    size = pc.fill_null(pc.binary_length(bodies), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + TOGETHER, side="right")))
+        yield start, stop
+        start = stop
+
+
 def flatten(records: DataFrame, what: str, record_id: str = "record_id", body: str = "body") -> DataFrame:
-    """One flat table of the bundles: ``resources``, ``contacts``, ``items`` (names and addresses) or ``parts``.
+    """One flat table of the bundles: ``resources``, ``contacts``, ``items`` (names and addresses), ``parts`` or ``leaves``.
 
     Every row names its parent: record_id and entry_no the resource, owner and owner_no the resource itself or one of
-    its contacts, kind and item_no the name or address, part and part_no the given name, prefix or line.  Positions
-    count null and hollow members; null members give no row, plain text in place of an object a row with
-    ``is_object`` false.  Null, empty and damaged bodies give no rows, repeated bodies rows of their own.
+    its contacts, kind and item_no the name or address, part and part_no the given name, prefix or line.  ``leaves`` has
+    every value of every resource that holds no others, nulls included, by its path and its positions in the lists along
+    it, so no field is lost.  Positions count null and hollow members; null members give no row in the other tables,
+    plain text in place of an object a row with ``is_object`` false, a value that is no text its JSON as written.  Null,
+    empty and damaged bodies give no rows, repeated bodies rows of their own.
     """
     schema = SCHEMAS[what]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):  # a bounded number of bodies is nested at a time
-                part = batch.slice(start, 512)
-                nested = pa.array([bundle(b) for b in part.column(1).to_pylist()], BUNDLES)
-                yield from flatten_arrays(part.column(0), nested, what)
+            for start, stop in _slices(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                yield from flatten_nodes(part.column(0), jsonnodes.read(jsonnodes.unwrapped(part.column(1))), what)
 
     return records.select(F.col(record_id).cast("long").alias("record_id"), F.col(body).cast("string").alias("body")).mapInArrow(work, schema)
 

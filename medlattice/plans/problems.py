@@ -128,6 +128,17 @@ def _members(holder: str, key: str) -> str:
     return f"case json_type({holder}, '$.{key}') when 'ARRAY' then json_extract({holder}, '$.{key}[*]') when 'OBJECT' then [json_extract({holder}, '$.{key}')] else []::json[] end"
 
 
+def _plain(holder: str, key: str) -> str:
+    """A field that is a list or anything else, as a list."""
+    return f"case json_type({holder}, '$.{key}') when 'ARRAY' then json_extract({holder}, '$.{key}[*]') when 'NULL' then []::json[] else case when json_type({holder}, '$.{key}') is null then []::json[] else [json_extract({holder}, '$.{key}')] end end"
+
+
+_PLAIN_MEMBERS = f"""
+  select * from (
+    select record_id, pos, owner, owner_no, kind, unnest(m) as m, unnest(range(len(m))) as item_no from (
+      select *, 'name' as kind, {_plain('h', 'name')} as m from holder where json_type(h) = 'OBJECT'
+      union all select *, 'address', {_plain('h', 'address')} from holder where json_type(h) = 'OBJECT'))
+  where json_type(m) <> 'NULL'"""
 _HOLDERS = f"""{FHIR_SQL},
 holder as (
   select record_id, pos, 'resource' as owner, 0 as owner_no, r as h from res
@@ -145,6 +156,23 @@ ORACLES = {
     "p3_found": f"""with {_HOLDERS} select record_id, cast(pos as int) as entry_no, owner, cast(owner_no as int) as owner_no, kind, cast(item_no as int) as item_no
       from filled where regexp_matches(rest, '"([^"\\\\]|\\\\.)+"|[0-9]|true|false')""",
     "p3_resources": f"""with {FHIR_SQL} select record_id, cast(pos as int) as entry_no, json_extract_string(r, '$.resourceType') as resource_type, json_extract_string(r, '$.id') as resource_id from res""",
+    "p3_contacts": f"""with {_HOLDERS},
+      c as (select h.*, coalesce(json_extract_string(h.h, '$.relationship[0].coding[0].code'), json_extract_string(h.h, '$.relationship.coding[0].code'), json_extract_string(h.h, '$.relationship.coding.code'),
+        json_extract_string(h.h, '$.relationship[0].text'), json_extract_string(h.h, '$.relationship.text')) as relationship from holder h where owner = 'contact' and json_type(h) = 'OBJECT')
+      select c.record_id, cast(c.pos as int) as entry_no, json_extract_string(res.r, '$.id') as resource_id, cast(owner_no as int) as contact_no, relationship from c join res using (record_id, pos)""",
+    "p3_items": f"""with {_HOLDERS}, plain as ({_PLAIN_MEMBERS})
+      select p.record_id, cast(p.pos as int) as entry_no, json_extract_string(res.r, '$.id') as resource_id, owner, cast(owner_no as int) as owner_no, kind, cast(item_no as int) as item_no,
+        json_type(m) = 'OBJECT' as is_object,
+        json_type(m) = 'OBJECT' and regexp_matches(regexp_replace(m::varchar, '"([^"\\\\]|\\\\.)*"\\s*:', '', 'g'), '"([^"\\\\]|\\\\.)+"|[0-9]|true|false') as filled,
+        case when json_type(m) = 'OBJECT' then json_extract_string(m, '$.text') else json_extract_string(m, '$') end as text,
+        {', '.join(f"json_extract_string(m, '$.{t}') as {t}" for t in flatten.TEXTS if t != 'text')},
+        json_extract_string(m, '$.period.start') as period_start, json_extract_string(m, '$.period.end') as period_end
+      from plain p join res using (record_id, pos)""",
+    "p3_parts": f"""with {_HOLDERS},
+      part as ({' union all '.join(f"select *, '{k}' as part, unnest(v) as value, unnest(range(len(v))) as part_no from (select *, {_plain('m', k)} as v from member where json_type(m) = 'OBJECT')" for k in flatten.LISTS)})
+      select p.record_id, cast(p.pos as int) as entry_no, json_extract_string(res.r, '$.id') as resource_id, owner, cast(owner_no as int) as owner_no, kind, cast(item_no as int) as item_no,
+        part, cast(part_no as int) as part_no, json_extract_string(value, '$') as value
+      from part p join res using (record_id, pos) where json_type(value) <> 'NULL'""",
     "p2_found": f"with {_REFS} select table_name, field_name, row_id from judged where orphan",
     "p2_orphan_counts": f"""with {_REFS} select table_name, field_name, cast(date_trunc('month', loaded_at) as date) as month,
       count(*) as n_refs, cast(count_if(orphan) as bigint) as n_orphans, cast(count_if(still_open) as bigint) as n_open from judged group by 1, 2, 3""",
