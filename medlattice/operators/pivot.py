@@ -45,12 +45,11 @@ def block_pivot(
     given = cells.select(entity, attribute, *values).where(F.col(entity).isNotNull())
     placed = cut(given.join(F.broadcast(place), attribute, "left"), "_block")
     wide = placed.select(entity).repartition(n, entity).dropDuplicates()
-    suffix = (lambda value: "") if len(values) == 1 else (lambda value: f"_{value}")
     for k in range(-(-len(attributes) // block)):
         names = list(attributes[k * block : (k + 1) * block])
         bucketed = placed.where(F.col("_block") == k).drop("_block").repartition(n, entity)
         made = bucketed.groupBy(entity).pivot(attribute, names).agg(*[F.max(value).alias(value) for value in values])
-        made = made.select(entity, *[F.col(f"`{name}{suffix(value)}`").alias(pattern.format(name)) for name in names for value, pattern in values.items()])
+        made = made.toDF(entity, *[pattern.format(name) for name in names for pattern in values.values()])
         wide = wide.join(made, entity, "left")
     return wide
 

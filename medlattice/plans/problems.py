@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
 from ..operators import features, flatten, impute, orphans, pivot
+from ..session import state_folder
 from .cohorts import FHIR_SQL
 
 #: The day the feature table describes.
 FEATURES_AS_OF = date(2024, 6, 15)
+#: When the second delivery to the store of features begins.
+FEATURES_CUT = date(2024, 1, 1)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -72,9 +75,12 @@ def p7_feature_table(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_features_long(spark: SparkSession, root: str) -> DataFrame:
-    events = features.entries(table(spark, root, "conditions"))
-    long = features.long_features(features.bucket_partials(events), events, FEATURES_AS_OF)
-    return long.withColumn("patient", F.lower(F.hex("patient")))
+    """The cells of the feature table, from a store that takes the rows in by two deliveries."""
+    conditions, store = table(spark, root, "conditions"), state_folder(spark, "features")
+    early = F.coalesce(F.col("loaded_at") < F.lit(FEATURES_CUT).cast("timestamp_ntz"), F.lit(True))
+    features.update_store(store, conditions.where(early))
+    partials, events = features.update_store(store, conditions.where(~early))
+    return features.long_features(partials, events, FEATURES_AS_OF).withColumn("patient", F.lower(F.hex("patient")))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p2_orphan_snapshots, p3_found, *map(_p3, flatten.SCHEMAS), p4_found, p4_filled, p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
@@ -155,7 +161,7 @@ filled as (select *, regexp_replace(m::varchar, '"([^"\\\\]|\\\\.)*"\\s*:', '',
 ORACLES = {
     "p3_found": f"""with {_HOLDERS} select record_id, cast(pos as int) as entry_no, owner, cast(owner_no as int) as owner_no, kind, cast(item_no as int) as item_no
       from filled where regexp_matches(rest, '"([^"\\\\]|\\\\.)+"|[0-9]|true|false')""",
-    "p3_resources": f"""with {FHIR_SQL} select record_id, cast(pos as int) as entry_no, json_extract_string(r, '$.resourceType') as resource_type, json_extract_string(r, '$.id') as resource_id from res""",
+    "p3_resources": f"""with {FHIR_SQL} select record_id, cast(pos as int) as entry_no, json_extract_string(r, '$.resourceType') as resource_type, json_extract_string(r, '$.id') as resource_id from res where json_type(r) = 'OBJECT'""",
     "p3_contacts": f"""with {_HOLDERS},
       c as (select h.*, coalesce(json_extract_string(h.h, '$.relationship[0].coding[0].code'), json_extract_string(h.h, '$.relationship.coding[0].code'), json_extract_string(h.h, '$.relationship.coding.code'),
         json_extract_string(h.h, '$.relationship[0].text'), json_extract_string(h.h, '$.relationship.text')) as relationship from holder h where owner = 'contact' and json_type(h) = 'OBJECT')
@@ -200,6 +206,14 @@ ORACLES = {
       having count(*) > 1 and round(max(npx) - min(npx), 6) > 0.01""",
     "p5_wide_long_view": f"""with {_PROTEIN} select sample_id, protein_id,
       arg_max(npx, (not coalesce(qc_warning, false), measured_at, loaded_at, row_id)) as npx from readings group by all""",
+    "p7_feature_table": f"""with {_ENTRIES},
+      f as (select patient, code, count(*) as n, cast(date_diff('day', max(s), date '{FEATURES_AS_OF}') as bigint) as recency,
+        cast(sum(date_diff('day', s, least(coalesce(e, date '{FEATURES_AS_OF}'), date '{FEATURES_AS_OF}'))) as bigint) as days
+        from entry where s <= date '{FEATURES_AS_OF}' group by all),
+      cell as (
+        select patient as PATIENT, 'n_' || code as k, n as v from f union all select patient, 'recency_' || code, recency from f union all select patient, 'days_' || code, days from f
+        union all select (select min(patient) from f), p || code, null from (select distinct code from entry) cross join (values ('n_'), ('recency_'), ('days_')) t(p))
+      select PATIENT, coalesce(columns('^(n|days)_.*'), 0) as "\\0", columns('^recency_.*') from (pivot cell on k using max(v) group by PATIENT)""",
     "p7_features_long": f"""with {_ENTRIES} select patient, code, count(*) as n,
       cast(date_diff('day', max(s), date '{FEATURES_AS_OF}') as bigint) as recency_days,
       cast(sum(date_diff('day', s, least(coalesce(e, date '{FEATURES_AS_OF}'), date '{FEATURES_AS_OF}'))) as bigint) as total_days

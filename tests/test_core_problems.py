@@ -173,7 +173,7 @@ def test_features(spark):
     assert len(got) == 2 and features.feature_table(df.where("false"), as_of).count() == 0
 
 
-def test_features_incremental(spark):
+def test_features_incremental(spark, tmp_path):
     random.seed(5)
     start = lambda: date(2019, 1, 1) + timedelta(days=random.randrange(600))
     data = []
@@ -181,32 +181,31 @@ def test_features_incremental(spark):
         s = start()
         data.append((i, random.choice([A, B]), f"e{i}", s, random.choice([None, s + timedelta(days=random.randrange(200))]), random.choice("12"), ts("2024-01-01"), 0, ""))
     df = spark.createDataFrame(data, CONDITIONS)
-    old, new = features.entries(df.where("row_id < 250")), features.entries(df.where("row_id >= 250"))
-    everything = features.entries(df)
-    stepwise = features.refresh_partials(features.bucket_partials(old), everything, new)
+    for part in (df.where("row_id < 250"), df.where("row_id >= 240"), df.where("row_id = 3"), df.where("false")):
+        partials, everything = features.update_store(str(tmp_path / "store"), part, 40)
+    assert everything.count() == 300
     for as_of in (date(2019, 8, 31), date(2020, 1, 1), date(2021, 3, 15)):
         want = {}
         for _, p, _, s, e, c, *_ in data:
             if s <= as_of:
                 n, last, total = want.get((p, c), (0, date.min, 0))
                 want[p, c] = (n + 1, max(last, s), total + (min(e or as_of, as_of) - s).days)
-        got = {(r["p"], r["code"]): (r["n"], r["recency_days"], r["total_days"]) for r in features.long_features(stepwise, everything, as_of).withColumn("p", F.lower(F.hex("patient"))).collect()}
+        got = {(r["p"], r["code"]): (r["n"], r["recency_days"], r["total_days"]) for r in features.long_features(partials, everything, as_of).withColumn("p", F.lower(F.hex("patient"))).collect()}
         assert got == {(p.replace("-", ""), c): (n, (as_of - last).days, total) for (p, c), (n, last, total) in want.items()}
 
 
 def test_stored_partials(spark, tmp_path):
     random.seed(6)
-    data = [(i, random.choice([A, B]), f"e{i}", date(2019, 1, 1) + timedelta(days=random.randrange(200)), None, random.choice("12"), ts("2024-01-01"), 0, "") for i in range(120)]
+    data = [(i, random.choice([A, B]), f"e{i}", date(2017, 1, 1) + timedelta(days=random.randrange(1000)), None, random.choice("12"), ts("2024-01-01"), 0, "") for i in range(120)]
     df = spark.createDataFrame(data, CONDITIONS)
-    old, both = features.entries(df.where("row_id < 100")), features.entries(df.where("row_id < 100 or START >= '2019-06-01'"))
-    new = features.entries(df.where("row_id >= 100 and START >= '2019-06-01'"))
     path = str(tmp_path / "store")
-    features.update_store(path, old)
-    untouched = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "store/start_month=2019-02-01").iterdir()}
-    stored = features.update_store(path, both, new)
-    assert untouched == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "store/start_month=2019-02-01").iterdir()}
-    whole = features.bucket_partials(both)
-    assert rows(stored.select(*whole.columns)) == rows(whole)
+    features.update_store(path, df.where("row_id < 100"))
+    times = lambda: {p: p.stat().st_mtime_ns for what in ("entries", "partials") for p in (tmp_path / "store" / what / "start_bucket=2017-01-01").iterdir()}
+    untouched = times()
+    partials, _ = features.update_store(path, df.where("START >= '2018-06-01'"))
+    assert times() == untouched and len(untouched) > 2
+    whole = features.bucket_partials(features.entries(df.where("row_id < 100 or START >= '2018-06-01'")))
+    assert rows(partials.select(*whole.columns)) == rows(whole)
 
 
 def _tracked(spark, deliveries, folder=None):
