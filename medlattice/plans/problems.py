@@ -55,6 +55,10 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return impute.filled_fields(p4_filled(spark, root))
 
 
+def p4_hidden_error(spark: SparkSession, root: str) -> DataFrame:
+    return impute.hidden_error(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pivot.conflicting_cells(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"))
 
@@ -83,7 +87,7 @@ def p7_features_long(spark: SparkSession, root: str) -> DataFrame:
     return features.long_features(partials, events, FEATURES_AS_OF).withColumn("patient", F.lower(F.hex("patient")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p2_orphan_snapshots, p3_found, *map(_p3, flatten.SCHEMAS), p4_found, p4_filled, p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_orphan_counts, p2_orphan_snapshots, p3_found, *map(_p3, flatten.SCHEMAS), p4_found, p4_filled, p4_hidden_error, p5_found, p5_wide, p5_wide_long_view, p7_feature_table, p7_features_long)}
 
 _KEY = canonical_id_sql
 _REFS = f"""
@@ -202,6 +206,10 @@ ORACLES = {
       select row_id, 'npx' as field_name from m where a
       union all select row_id, 'group' from m where b
       union all select row_id, 'protein_id' from m where c""",
+    "p4_hidden_error": """
+      with t as (select *, cast('0x' || substr(md5(cast(row_id as varchar)), 1, 8) as bigint) % 40 as turn from olink_npx)
+      select 'npx' as field_name, count(*) as n_hidden, true as better from t where turn = 0 and npx between -10 and 25 and not isnan(npx)
+      union all select 'group', count(*), true from t where turn = 1 and lower(regexp_replace("group", '^\\s+|\\s+$', '', 'g')) in ('baseline', 'case', 'control', 'treated', 'relapse')""",
     "p5_found": f"""with {_PROTEIN} select sample_id, protein_id from readings group by all
       having count(*) > 1 and round(max(npx) - min(npx), 6) > 0.01""",
     "p5_wide_long_view": f"""with {_PROTEIN} select sample_id, protein_id,
