@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, dimension, spread
+from .lexing import slices
 from .normal import plain, read_alike, words
 
 NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01p"
@@ -175,6 +176,32 @@ class Codes(dict):
         return code
 
 
+class Lexicon(dict):
+    """word -> its number, with the codes of what it is read as and of its mark by number."""
+
+    def __init__(self, marks: Marks, codes: Codes):
+        super().__init__()
+        self.marks, self.codes = marks, codes
+        self.said: list[int] = []
+        self.meant: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        read, mark = self.marks[word]
+        self.said.append(self.codes[read])
+        self.meant.append(self.codes[mark])
+        self[word] = number = len(self.said) - 1
+        return number
+
+    def of(self, texts: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all words of the texts in order."""
+        if len(self) > 500_000:  # the words of a crawl have no end
+            self.clear()
+            self.said.clear()
+            self.meant.clear()
+        numbers = np.fromiter((self[w] for t in texts for w in t), np.int64, sum(map(len, texts)))
+        return np.array(self.said, np.uint64)[numbers], np.array(self.meant, np.uint64)[numbers]
+
+
 def _rolled(codes: np.ndarray, width: int, salt: int) -> np.ndarray:
     """A hash for every window of ``width`` codes."""
     made = np.full(max(0, len(codes) - width + 1), salt, np.uint64)
@@ -404,6 +431,29 @@ def near_enough(places: np.ndarray, rule: Rule) -> np.ndarray:
     return last + rule.window - first >= rule.stretch
 
 
+def shared_windows(texts: Sequence[list[str]], lexicon: Lexicon, chosen: tuple[int, np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash): the different window hashes of each text that pass the filter, near enough to others."""
+    said, meant = lexicon.of(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), size)
+    n = max(0, len(owner) - rule.window + 1)
+    whole = owner[:n] == owner[rule.window - 1 : rule.window - 1 + n] if n else np.zeros(0, bool)  # windows of one text
+    hashes = [_rolled(codes, rule.window, salt) for codes, salt in ((meant, 11), (said, 23))]
+    passed = [_within(h, *chosen) & whole for h in hashes] if n else [whole, whole]
+    places = np.flatnonzero(passed[0] | passed[1])
+    apart = owner[places] * (rule.window + rule.gap + 1)  # texts lie too far from each other for a stretch
+    places = places[near_enough(places + apart, rule)]
+    kept = np.zeros(n, bool)
+    kept[places] = True
+    at = [np.flatnonzero(kept & p) for p in passed]
+    pairs = np.empty(sum(map(len, at)), [("text", np.int64), ("hash", np.int64)])
+    pairs["text"], pairs["hash"] = np.concatenate([owner[a] for a in at]), np.concatenate([h[a] for h, a in zip(hashes, at)])
+    order = np.lexsort((pairs["hash"], pairs["text"]))
+    pairs = pairs[order]
+    fresh = np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]
+    return pairs["text"][fresh], pairs["hash"][fresh]
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, words_held, item_words, n_stretches): each document with each item it gives away.
 
@@ -429,25 +479,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, rule: Rule = Rule(), doc_
     chosen = spark.sparkContext.broadcast(_filter(windows))
 
     def cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, codes = Marks(shared.value[1]), Codes()
+        lexicon = Lexicon(Marks(shared.value[1]), Codes())
         for batch in batches:
-            rows = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = words(t)
-                if d is None or len(tokens) < rule.stretch:
-                    continue
-                meant, said, _ = window_hashes(*template(tokens, marks), codes, rule.window)
-                passed = _within(meant, *chosen.value), _within(said, *chosen.value)
-                places = np.flatnonzero(passed[0] | passed[1])
-                places = places[near_enough(places, rule)]
-                if len(places):
-                    kept = np.zeros(len(meant), bool)
-                    kept[places] = True
-                    rows.append((d, t, np.unique(np.concatenate([meant[kept & passed[0]], said[kept & passed[1]]]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "text", "hashes"])
+            column = batch.column(1).to_pylist()
+            for a, b in slices(column):
+                texts = [words(t) for t in column[a:b]]
+                text, hashes = shared_windows(texts, lexicon, chosen.value, rule)
+                held, first = np.unique(text, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)), pa.int32()), pa.array(hashes))
+                at = pa.array(held + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lists], names=["doc_id", "text", "hashes"])
 
     pages = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    looked = cut(pages.mapInArrow(cut_documents, "doc_id long, text string, hashes array<long>"))
+    looked = cut(pages.where("doc_id is not null").mapInArrow(cut_documents, "doc_id long, text string, hashes array<long>"))
     # a place of an item has one hash and a document names each hash once, so these sums count different places
     places = windows.groupBy("h", "item_id").agg(F.count("*").alias("places"), F.first("n").alias("n"))
     pairs = (
@@ -458,27 +502,28 @@ def find_leaks(documents: DataFrame, items: DataFrame, rule: Rule = Rule(), doc_
         .where(F.col("shared") >= F.greatest(F.lit(3), F.lit(0.25 * rule.share) * F.col("n")))
         .select("doc_id", "item_id")
     )
-    both = looked.select("doc_id", "text").join(pairs, "doc_id").join(dimension(asked), "item_id").select("doc_id", "text", "item_id", "t")
+    both = looked.select("doc_id", "text").join(pairs, "doc_id").join(dimension(asked), "item_id").select("doc_id", "text", "item_id", "t").sortWithinPartitions("doc_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, codes = Marks(shared.value[1]), Codes()
         held: dict[int, tuple] = {}
         for batch in batches:
-            rows, last, page = [], None, None
+            rows, last = [], None
             for d, t, i, item_text in zip(*(c.to_pylist() for c in batch.columns)):
                 if i not in held:
                     if len(held) > 10_000:
                         held.clear()
                     item = template(words(" ".join(item_body(item_text, shared.value[0]))), marks)
-                    at: dict[int, list[int]] = defaultdict(list)
-                    for p, h in enumerate(item_windows(*item, codes, rule.window).tolist()):
-                        at[h].append(p)
-                    held[i] = item, at
-                if t != last:
+                    held[i] = item, item_windows(*item, codes, rule.window).tolist()
+                if t != last:  # the pairs of a document follow each other
                     last, (read, meant) = t, template(words(t), marks)
-                    page = window_hashes(read, meant, codes, rule.window)
-                item, at = held[i]
-                hits = [(k, p) for k, pair in enumerate(zip(page[0].tolist(), page[1].tolist())) for h in pair for p in at.get(h, ())]
+                    at: dict[int, list[int]] = defaultdict(list)
+                    hashes = window_hashes(read, meant, codes, rule.window)
+                    for k, pair in enumerate(zip(hashes[0].tolist(), hashes[1].tolist())):
+                        for h in pair:
+                            at[h].append(k)
+                item, windows_of = held[i]
+                hits = sorted((k, p) for p, h in enumerate(windows_of) if h in at for k in at[h])
                 case = compare(item, read, meant, hits, rule)
                 if case:
                     rows.append((d, i, *case))
