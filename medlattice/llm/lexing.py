@@ -20,10 +20,13 @@ TOGETHER = 1_000_000
 
 _SPACE, _LOWER, _UPPER, _DIGIT, _END, _COMMA, _SIGN, _URL, _TAG, _PAGE, _IDEO, _SILENT = range(12)
 _URL_CHAR, _TAG_CHAR = "\ue000", "\ue001"
+_GROUP = np.zeros(12, np.int8)
+_GROUP[[_LOWER, _UPPER, _DIGIT]] = 1
+_GROUP[[_URL, _TAG, _IDEO]] = 2, 3, 4
 _MARKS = re.compile(r"<[a-zA-Z/][^<>\0]*>|(?:https?://|www\.)[^\s<>\"')\]\0]+|#[^\W\d][\w-]*")
 _LINK = re.compile(r"https?://|www\.|href", re.I)
 _HIDDEN = re.compile("[​-‏⁠-⁤­﻿]")
-_PRIME = np.uint64(0x100000001B3)
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(255, np.uint64(0x100000001B3))]), dtype=np.uint64)
 
 
 def _masked(m: re.Match) -> str:
@@ -107,7 +110,7 @@ def lex(texts: Sequence[str | None]) -> Words:
         inside[1:-1] = digit[:-2] & digit[2:] & np.isin(kind[1:-1], (_END, _COMMA, _SIGN)) & (codes[1:-1] != 10)
         kind = np.where(inside, _DIGIT, kind)
     # characters of one word share a group; ideographs are paired
-    group = np.select([(kind == _LOWER) | (kind == _UPPER) | (kind == _DIGIT), kind == _URL, kind == _TAG, kind == _IDEO], [1, 2, 3, 4], 0).astype(np.int8)
+    group = _GROUP[kind]
     n = len(group)
     if n == 0 or not group.any():
         none = np.zeros(0, np.int64)
@@ -115,29 +118,29 @@ def lex(texts: Sequence[str | None]) -> Words:
     change = np.empty(n, bool)
     change[0] = True
     np.not_equal(group[1:], group[:-1], out=change[1:])
-    run = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-    place = np.arange(n) - run
-    change |= (group == 4) & (place % 2 == 0)
+    ideographs = group == 4
+    if ideographs.any():
+        since = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0))
+        change |= ideographs & (since % 2 == 0)
     starts = np.flatnonzero(change)
     real = group[starts] > 0
     at = starts[real]
     stop = np.append(starts[1:], n)[real]
-    place = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0))
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(255, _PRIME)]), dtype=np.uint64)
+    place = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, n)))
     with np.errstate(over="ignore"):
-        mixed = np.add.reduceat((lower[codes].astype(np.uint64) + np.uint64(7)) * powers[place & 255], starts)[real]
+        mixed = np.add.reduceat((lower[codes].astype(np.uint64) + np.uint64(7)) * _POWERS[place & 255], starts)[real]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-    total = lambda mask: np.add.reduceat(mask.astype(np.int64), starts)[real]
-    digits, uppers = total(kind == _DIGIT), total(kind == _UPPER)
+    count_to = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+    within = lambda counts: (counts[stop] - counts[at]).astype(np.int64)
+    digits, uppers = within(count_to(kind == _DIGIT)), within(count_to(kind == _UPPER))
     g = group[at]
     word_kind = np.select([g == 2, g == 3, g == 4, (digits > 0) & (kind[at] != _DIGIT), digits > 0], [URL, TAG, IDEOGRAPH, CODE, NUMBER], PLAIN)
-    count_to = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     pages, ends, commas, signs = (count_to(kind == k) for k in (_PAGE, _END, _COMMA, _SIGN))
     since = np.concatenate([[0], stop[:-1]])
     between = lambda counts: counts[at] > counts[since]
-    text = pages[at]
+    text = pages[at].astype(np.int64)
     bound = between(ends) | between(pages)
     bound[0] = True
     before = np.select([bound, between(commas), between(signs)], [BOUND, COMMA, SIGN], NOTHING)
@@ -158,13 +161,15 @@ def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def since_last(owner: np.ndarray, value: np.ndarray, apart: int = 1 << 30) -> np.ndarray:
-    """Words since the same value stood in the same owner (a text or passage); ``apart`` where it did not."""
+    """Words since the same hash stood in the same owner (a text or passage); ``apart`` where it did not."""
     n = len(owner)
     made = np.full(n, apart, np.int64)
     if n < 2:
         return made
-    order = np.lexsort((np.arange(n), value, owner))
+    with np.errstate(over="ignore"):
+        both = value.view(np.uint64) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(both, kind="stable")
     a, b = order[:-1], order[1:]
-    same = (owner[a] == owner[b]) & (value[a] == value[b])
+    same = both[a] == both[b]
     made[b[same]] = b[same] - a[same]
     return made

@@ -97,6 +97,7 @@ class Read:
     role: np.ndarray
     plain: np.ndarray
     sentence: np.ndarray  #: by passage
+    again: np.ndarray  #: words since the word stood in the passage
 
 
 def _per(owner: np.ndarray, what: np.ndarray, n: int) -> np.ndarray:
@@ -112,7 +113,8 @@ def read(words: Words, rule: Rule) -> Read:
     n = int(words.passage[-1]) + 1 if len(words) else 0
     per = lambda what: _per(words.passage, what, n)
     content = plain & (role < 0)
-    again = content & (since_last(words.passage, words.hash) < 1 << 30)
+    since = since_last(words.passage, words.hash)
+    again = content & (since < 1 << 30)
     all_plain, function = per(plain), per(role >= 0)
     sentence = (
         (all_plain >= rule.sentence_words)
@@ -120,14 +122,14 @@ def read(words: Words, rule: Rule) -> Read:
         & (function >= rule.function_share * all_plain)
         & (per(again) <= 0.25 * per(content))
     )
-    return Read(words, role, plain, sentence)
+    return Read(words, role, plain, sentence, since)
 
 
 def by_vocabulary(r: Read, known: np.ndarray, rule: Rule) -> np.ndarray:
     """The marks of the reading by vocabulary; ``known`` are sorted hashes."""
     w = r.words
     content = r.plain & (r.role < 0)
-    near = since_last(w.passage, w.hash) <= rule.look_back
+    near = r.again <= rule.look_back
     return np.select(
         [r.role >= 0, content & near, content & (_find(known, w.hash) >= 0), content & w.first_upper, content, w.kind == NUMBER, w.kind == CODE, w.kind == URL, w.kind == TAG],
         [r.role, AGAIN, WORD, NAME, UNKNOWN, NUM, MIXED, LINK, HASHTAG],
@@ -135,10 +137,9 @@ def by_vocabulary(r: Read, known: np.ndarray, rule: Rule) -> np.ndarray:
     )
 
 
-def by_form(r: Read, rule: Rule) -> np.ndarray:
-    """The marks of the reading by form."""
+def by_form(r: Read, last: np.ndarray, rule: Rule) -> np.ndarray:
+    """The marks of the reading by form; ``last`` are the words since the page had each."""
     w = r.words
-    last = since_last(w.text, w.hash)
     long_word = (r.plain | (w.kind == CODE)) & (w.size >= 5)
     size = np.select([w.size <= 3, w.size <= 6], [SHORT, MIDDLE], LONG) + np.where(w.first_upper, SHORT_NAME, 0)
     form = np.select(
@@ -186,7 +187,7 @@ def grams(r: Read, known: np.ndarray, rule: Rule) -> np.ndarray:
     taken = trainable(r, marks, rule)[passage]
     two, one = _before(marks, passage, START)
     coded = ((two * WORD_MARKS + one) * WORD_MARKS + marks)[taken]
-    form = by_form(r, rule)
+    form = by_form(r, since_last(r.words.text, r.words.hash), rule)
     two, one = _before(form, passage, F_START)
     inner = ((two * FORM_MARKS + one) * FORM_MARKS + form)[taken]
     ends = taken & _last(passage)
@@ -233,13 +234,13 @@ def surprises(r: Read, known: np.ndarray, pair: tuple[Model, Model], rule: Rule)
     marks = by_vocabulary(r, known, rule)
     two, one = _before(marks, w.passage, START)
     told = pair[0].surprise(two, one, marks)
-    form = by_form(r, rule)
+    last = since_last(w.text, w.hash)
+    form = by_form(r, last, rule)
     two, one = _before(form, w.passage, F_START)
     shown = pair[1].surprise(two, one, form) + np.where(_last(w.passage), pair[1].surprise(one, form, np.full(len(w), F_STOP)), 0.0)
     # a script that the training never saw cannot be judged by form, only by its repetitions
     strange_script = w.kind == IDEOGRAPH
-    near = since_last(w.text, w.hash) <= rule.near
-    shown = np.where(strange_script, np.where(near, 2 * rule.form_high, 0.5 * rule.form_high), shown)
+    shown = np.where(strange_script, np.where(last <= rule.near, 2 * rule.form_high, 0.5 * rule.form_high), shown)
     return _averaged(told, w.text, rule.window), _averaged(shown, w.text, rule.window)
 
 
@@ -339,7 +340,8 @@ def score_pages(documents: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id
     ``least_words`` words are not stuffed; copies are judged each.
     """
     kept = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pages = spread(kept).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("long"))
+    dealt = spread(kept)
+    pages = (dealt if dealt is kept else cut(dealt)).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("long"))
     shared = pages.sparkSession.sparkContext.broadcast(train(pages, rule))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
