@@ -29,13 +29,13 @@ def protein_key(value: Column) -> Column:
 def with_protein(df: DataFrame, panels: DataFrame, own: str = "protein_own", at: str = "protein_at") -> DataFrame:
     """Add the protein a row names itself (``own``) and the one its panel position fixes (``at``); NULL if none.
 
-    ``panels`` is a fixed catalogue of a few hundred rows; both look-ups are broadcast joins on unique keys.
+    ``panels`` is a catalogue of unique keys after the grouping; where it is small Spark broadcasts it, else it is shuffled.
     """
     names = panels.select(F.col("protein_id").alias(own), protein_key(F.col("protein_id")).alias("_key")).dropDuplicates(["_key"])
     places = panels.groupBy("panel", "assay_no").agg(F.min("protein_id").alias(at))
     return (
         df.withColumn("_key", protein_key(F.col("protein_id")))
-        .join(F.broadcast(names), "_key", "left")
+        .join(names, "_key", "left")
         .drop("_key")
-        .join(F.broadcast(places), ["panel", "assay_no"], "left")
+        .join(places, ["panel", "assay_no"], "left")
     )

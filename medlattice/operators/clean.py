@@ -68,8 +68,12 @@ def clinical(spark: SparkSession, root: str) -> Tables:
     return {"patients": patients(read("patients")), "encounters": encounters(read("encounters")), "conditions": conditions(read("conditions"))}
 
 
-def panel(codes: DataFrame, size: int = 6) -> DataFrame:
-    """(concept_id): the ``size`` codes that most patients have, ties by code; a report-like top-k list."""
+#: Concepts of the panel that labels and cohorts are made for: a documented input of theirs, not a cut of the rows.
+PANEL_SIZE = 16
+
+
+def panel(codes: DataFrame, size: int = PANEL_SIZE) -> DataFrame:
+    """(concept_id): the ``size`` codes that most patients have, ties by code."""
     return (
         codes.groupBy(F.col("CODE").alias("concept_id"))
         .agg(F.countDistinct("PATIENT").alias("n"))
@@ -102,4 +106,4 @@ condition as (
     select {canonical_id_sql('PATIENT')} as PATIENT, {canonical_id_sql('ENCOUNTER')} as ENCOUNTER, "START" as s, STOP as e, {_CODE.format('CODE')} as CODE, lower(trim(DESCRIPTION)) as dsc from conditions)
   where PATIENT is not null and CODE is not null and s {_BETWEEN} group by all
 )"""
-PANEL_SQL = "panel as (select CODE as concept_id from condition group by CODE order by count(distinct PATIENT) desc, CODE limit 6)"
+PANEL_SQL = f"panel as (select CODE as concept_id from condition group by CODE order by count(distinct PATIENT) desc, CODE limit {PANEL_SIZE})"

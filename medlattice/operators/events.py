@@ -94,7 +94,7 @@ def labelled(events: DataFrame, bridge: DataFrame) -> DataFrame:
     """(patient_id, date, event_id, concept_id): events that hold a code of a concept, by (concept_id, code) pairs."""
     return (
         events.select("patient_id", "date", "event_id", F.explode("codes").alias("code"))
-        .join(F.broadcast(bridge.select("concept_id", "code")), "code")
+        .join(bridge.select("concept_id", "code"), "code")
         .select("patient_id", "date", "event_id", "concept_id")
         .distinct()
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dimension
+
 
 def parse(body: Column) -> Column:
     """The body as a variant; NULL where it is damaged.  A byte-order mark and one string wrapping are undone."""
@@ -208,5 +210,5 @@ def imaging_flags(people: DataFrame, facts: DataFrame, mapping: DataFrame) -> Da
 
     ``mapping`` (needle, flag) is a small table; the flags of a patient are a set.
     """
-    hits = facts.join(F.broadcast(mapping), F.contains(F.lower("display"), F.col("needle"))).groupBy(F.col("patient_id").alias("id")).agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+    hits = facts.join(dimension(mapping), F.contains(F.lower("display"), F.col("needle"))).groupBy(F.col("patient_id").alias("id")).agg(F.array_sort(F.collect_set("flag")).alias("flags"))
     return people.select("id").distinct().join(hits, "id", "left").select("id", F.coalesce("flags", F.array(F.lit("normal"))).alias("flags"))

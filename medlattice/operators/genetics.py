@@ -33,7 +33,7 @@ def dosages(genotypes: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ``wanted`` (variant_id, allele_index) is the small side; a person without the allele counts 0.
     """
-    keys = F.broadcast(wanted.select("variant_id", F.col("allele_index").alias("allele")).distinct())
+    keys = wanted.select("variant_id", F.col("allele_index").alias("allele")).distinct()
     hit = F.col("allele_index") == F.col("allele")
     return (
         genotypes.join(keys, "variant_id")
@@ -48,17 +48,17 @@ def _sum_of(made: DataFrame, effect: Column) -> DataFrame:
 
 def additive(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
     """Copies of the allele times beta; effects are (variant_id, allele_index, trait_id, beta)."""
-    return _sum_of(dosages(genotypes, effects).join(F.broadcast(effects), ["variant_id", "allele_index"]), F.col("dosage") * F.col("beta"))
+    return _sum_of(dosages(genotypes, effects).join(effects, ["variant_id", "allele_index"]), F.col("dosage") * F.col("beta"))
 
 
 def dominance(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
     """Beta where there is exactly one copy."""
-    return _sum_of(dosages(genotypes, effects).join(F.broadcast(effects), ["variant_id", "allele_index"]), (F.col("dosage") == 1).cast("int") * F.col("beta"))
+    return _sum_of(dosages(genotypes, effects).join(effects, ["variant_id", "allele_index"]), (F.col("dosage") == 1).cast("int") * F.col("beta"))
 
 
 def context(genotypes: DataFrame, effects: DataFrame, exposures: DataFrame) -> DataFrame:
     """Copies times the centred exposure; effects have also (context_id, centre), exposures (person_id, context_id, z)."""
-    joined = dosages(genotypes, effects).join(F.broadcast(effects), ["variant_id", "allele_index"]).join(exposures, ["person_id", "context_id"])
+    joined = dosages(genotypes, effects).join(effects, ["variant_id", "allele_index"]).join(exposures, ["person_id", "context_id"])
     return _sum_of(joined, F.col("dosage") * (F.col("z") - F.col("centre")) * F.col("beta"))
 
 
@@ -68,10 +68,10 @@ def _pairs(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
     ends = e.select("effect_no", F.col("variant_1").alias("variant_id"), F.col("allele_1").alias("allele_index"), F.lit(1).alias("end")).unionByName(
         e.select("effect_no", F.col("variant_2").alias("variant_id"), F.col("allele_2").alias("allele_index"), F.lit(2).alias("end"))
     )
-    found = dosages(genotypes, ends).join(F.broadcast(ends), ["variant_id", "allele_index"])
+    found = dosages(genotypes, ends).join(ends, ["variant_id", "allele_index"])
     of = lambda c, k: F.max(F.when(F.col("end") == k, F.col(c)))
     sides = found.groupBy("person_id", "effect_no").agg(of("dosage", 1).alias("d1"), of("dosage", 2).alias("d2"), of("on_first", 1).alias("f1"), of("on_first", 2).alias("f2"))
-    return sides.join(F.broadcast(e), "effect_no")
+    return sides.join(e, "effect_no")
 
 
 def interaction(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def phenotypes(people: DataFrame, traits: DataFrame, parts: Mapping[str, DataFra
 
 def fixed_effects(covariates: DataFrame, effects: DataFrame) -> DataFrame:
     """X B in long form: covariates (person_id, covariate_id, x), effects (covariate_id, trait_id, beta)."""
-    return _sum_of(covariates.join(F.broadcast(effects), "covariate_id"), F.col("x") * F.col("beta"))
+    return _sum_of(covariates.join(effects, "covariate_id"), F.col("x") * F.col("beta"))
 
 
 def covariance_factor(covariance: np.ndarray, tolerance: float = 64 * np.finfo(float).eps) -> np.ndarray:
@@ -155,7 +155,8 @@ def branch_features(edges: DataFrame, node_times: DataFrame, trees: DataFrame, o
     from ..session import cut
 
     up = edges.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("above"))
-    front = cut(trees.select("tree_id").join(owners.select("person_id", "node").distinct()).select("tree_id", "person_id", F.col("node").alias("sample"), "node"))
+    # a sample that no edge of a tree names carries nothing there
+    front = cut(up.join(owners.select("person_id", "node").distinct(), "node").join(trees.select("tree_id"), "tree_id", "left_semi").select("tree_id", "person_id", F.col("node").alias("sample"), "node").distinct())
     carried = front
     for _ in range(most_depth):
         front = cut(front.join(up, ["tree_id", "node"]).select("tree_id", "person_id", "sample", F.col("above").alias("node")))
@@ -191,7 +192,12 @@ def branch_covariance(features: DataFrame, people: Sequence[str], centre: bool =
     return m / mean if normalise and mean > 0 else m
 
 
-def gene_findings(variants: DataFrame, priorities: Sequence[tuple[str, int]], most: int = 10) -> DataFrame:
+#: Classes of significance in order of priority, and the priority of any other.
+SIGNIFICANCE = ("pathogenic", "likely pathogenic", "risk factor", "drug response", "protective", "association", "affects", "uncertain significance", "likely benign", "benign", "conflicting")
+OTHER_PRIORITY = 100
+
+
+def gene_findings(variants: DataFrame, priorities: Sequence[tuple[str, int]] = tuple((s, i + 1) for i, s in enumerate(SIGNIFICANCE)), most: int = 10) -> DataFrame:
     """Per patient and significance at most ``most`` variants, one per id, without reference alleles, by priority.
 
     ``variants``: (patient_id, rsid, gene, significance, allele, ancestral_allele, variant, row_no).  A priority is the
@@ -202,7 +208,7 @@ def gene_findings(variants: DataFrame, priorities: Sequence[tuple[str, int]], mo
     called = F.lower(F.col("variant").cast("string")) == "true"
     kept = variants.where(F.coalesce(called, F.lit(False)) & (F.col("allele") != F.col("ancestral_allele")))
     first = kept.groupBy("patient_id", "rsid").agg(F.min_by(F.struct("gene", "significance", "allele", "row_no"), "row_no").alias("v")).select("patient_id", "rsid", "v.*")
-    rank = F.lit(99)
+    rank = F.lit(OTHER_PRIORITY)
     for text, value in reversed(priorities):
         rank = F.when(F.contains(F.lower("significance"), F.lit(text)), value).otherwise(rank)
     w = Window.partitionBy("patient_id", "significance").orderBy("row_no", "rsid")

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rng
 from ..functions.npx import usable_group, usable_npx, with_protein
+from ..session import cut
 
 #: Fixed value: columns of a long table, in order.
 NPX_SCHEMA = "sample_id string, protein_id string, npx double, qc_warning boolean, group string, plate_id string"
@@ -96,7 +97,7 @@ def simulate(spark: SparkSession, config: SimulationConfig) -> DataFrame:
     rows = rows.select("id", "group", plate.alias("plate"), F.inline(proteins))
     shifts = [(g, pr, float(d)) for g, of in config.effects.items() for pr, d in of.items()]
     if shifts:
-        rows = rows.join(F.broadcast(spark.createDataFrame(shifts, "group string, protein_id string, shift double")), ["group", "protein_id"], "left").withColumn("shift", F.coalesce("shift", F.lit(0.0)))
+        rows = rows.join(spark.createDataFrame(shifts, "group string, protein_id string, shift double"), ["group", "protein_id"], "left").withColumn("shift", F.coalesce("shift", F.lit(0.0)))
     else:
         rows = rows.withColumn("shift", F.lit(0.0))
     plate_effect = F.lit(config.plate_sd) * rng.normal(seed, "plate", F.col("plate"))
@@ -204,11 +205,30 @@ def correlations(cells: DataFrame, top: int = 25) -> DataFrame:
     A self-join on the sample of at most ``top`` cells each.
     """
     chosen = cells.groupBy("protein_id").agg(F.avg("npx").alias("m")).orderBy(F.desc("m"), "protein_id").limit(top).select("protein_id")
-    kept = cells.join(F.broadcast(chosen), "protein_id").select("sample_id", "protein_id", "npx")
+    kept = cells.join(chosen, "protein_id").select("sample_id", "protein_id", "npx")
     left, right = kept.select("sample_id", F.col("protein_id").alias("protein_a"), F.col("npx").alias("x")), kept.select("sample_id", F.col("protein_id").alias("protein_b"), F.col("npx").alias("y"))
     return left.join(right, "sample_id").where("protein_a <= protein_b").groupBy("protein_a", "protein_b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
+def exact_median(df: DataFrame, by: str, value: str, width: float = 0.02) -> DataFrame:
+    """(by, m): the exact median of each group, without holding a group's values in one place.
+
+    Values are counted, the counts added up over bins of ``width``, and only the bins that hold the middle ranks are
+    looked into.
+    """
+    counted = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(by, F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
+    counted = cut(counted.withColumn("_bin", F.floor(F.col("_x") / width)))
+    bins = counted.groupBy(by, "_bin").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy(by).orderBy("_bin")
+    total = F.sum("_n").over(Window.partitionBy(by))
+    placed = bins.select(by, "_bin", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.col("_n").alias("_held"), F.floor((total - 1) / 2).alias("_low"), F.floor(total / 2).alias("_high"))
+    holds = lambda rank: (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_before") + F.col("_held"))
+    middle = placed.where(holds("_low") | holds("_high")).drop("_held")
+    inner = counted.join(middle, [by, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(by, "_bin").orderBy("_x")))
+    at = lambda rank: F.min(F.when(F.col("_upto") > F.col(rank), F.col("_x")))
+    return inner.groupBy(by).agg(((at("_low") + at("_high")) / 2).alias("m"))
+
+
 def median_filled(cells: DataFrame, proteins: Sequence[str]) -> DataFrame:
     """(sample_id, protein_id, npx, filled): the complete grid of samples and listed proteins, gaps by the protein's median.
 
@@ -216,12 +236,12 @@ def median_filled(cells: DataFrame, proteins: Sequence[str]) -> DataFrame:
     """
     names = F.array(*[F.lit(p) for p in proteins])
     listed = cells.where(F.col("protein_id").isin(list(proteins)))
-    middle = listed.groupBy("protein_id").agg(F.median("npx").alias("m"))
+    middle = exact_median(listed, "protein_id", "npx")
     held = F.when(F.col("sample_id").isNotNull() & F.col("protein_id").isin(list(proteins)), F.struct("protein_id", "npx"))
     rows = cells.groupBy("sample_id").agg(F.collect_list(held).alias("c"))
     gaps = F.transform(F.array_except(names, F.col("c.protein_id")), lambda p: F.struct(p.alias("protein_id"), F.lit(None).cast("double").alias("npx")))
     grid = rows.select("sample_id", F.inline(F.concat("c", gaps)))
-    made = grid.join(F.broadcast(middle), "protein_id", "left")
+    made = grid.join(middle, "protein_id", "left")
     return made.select("sample_id", "protein_id", F.coalesce("npx", "m").alias("npx"), F.col("npx").isNull().alias("filled"))
 
 
@@ -230,7 +250,7 @@ def principal_components(filled: DataFrame, proteins: Sequence[str], k: int = 2)
     if len(proteins) > 2000:
         raise ValueError("too many proteins for a dense covariance")
     moments = filled.groupBy("protein_id").agg(F.avg("npx").alias("m"), F.stddev_pop("npx").alias("s"))  # as many rows as proteins
-    z = filled.join(F.broadcast(moments), "protein_id").withColumn("z", F.coalesce(F.try_divide(F.col("npx") - F.col("m"), F.col("s")), F.lit(0.0)))
+    z = filled.join(moments, "protein_id").withColumn("z", F.coalesce(F.try_divide(F.col("npx") - F.col("m"), F.col("s")), F.lit(0.0)))
     rows = z.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("protein_id", "z"))).alias("c")).select("sample_id", F.col("c.z").alias("v"))
     n = len(proteins)
 

@@ -68,5 +68,5 @@ def balanced_cohort(labels: DataFrame, controls_per_case: float = 1.0, fraction:
     counts = labels.groupBy(*who).agg(F.count_if("positive").alias("cases"), F.count_if(~F.col("positive")).alias("controls"))
     take = F.least("cases", F.floor(F.col("controls") / controls_per_case), F.greatest(F.lit(least), F.floor(F.least("cases", "controls") * fraction)))
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit("cohort"), "concept_id", "patient_id"), 256)
-    placed = ranked(labels, [*who, "positive"], digest, "patient_id").join(F.broadcast(counts.withColumn("take", take).select(*who, "take")), who)
+    placed = ranked(labels, [*who, "positive"], digest, "patient_id").join(counts.withColumn("take", take).select(*who, "take"), who)
     return placed.where("rank <= take").select(*who, "patient_id", "positive")

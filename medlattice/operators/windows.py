@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dimension
+
 #: The resolutions in order.
 RESOLUTIONS = ("1d", "1mo", "1y")
 EMPTY_HISTORY = "No clinical records available in this interval."
@@ -80,7 +86,7 @@ def windowed(events: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
     res = res.withColumn("window_start", first).withColumn("window_end", last)
     if cutoffs is None:
         return res
-    clipped = res.join(F.broadcast(cutoffs.select("cutoff").distinct()), (F.col("cutoff") >= F.col("date")) & (F.col("cutoff") < F.col("window_end")))
+    clipped = res.join(dimension(cutoffs.select("cutoff").distinct()), (F.col("cutoff") >= F.col("date")) & (F.col("cutoff") < F.col("window_end")))
     clipped = clipped.withColumn("window_end", F.least("window_end", "cutoff")).select(*res.columns)
     return res.unionByName(clipped).dropDuplicates(["event_id", "resolution", "window_start", "window_end"])
 
@@ -104,24 +110,48 @@ def window_documents(events: DataFrame, version: str = "explicit", text: str = "
     )
 
 
+def _said_together(documents: DataFrame) -> DataFrame:
+    """(patient_id, resolution, input_sha256): the digest of the texts of all windows in order, a line feed between them.
+
+    The texts of a history pass one after the other, in the order of their windows, and never stand in one row.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, made = None, None, []
+        for batch in batches:
+            for patient, resolution, text in zip(*(batch.column(c).to_pylist() for c in ("patient_id", "resolution", "text"))):
+                if (patient, resolution) != now:
+                    if now is not None:
+                        made.append((*now, digest.hexdigest()))
+                    now, digest = (patient, resolution), hashlib.sha256((text or "").encode())
+                else:
+                    digest.update(b"\n" + (text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*made) if made else ([], [], []))], names=["patient_id", "resolution", "input_sha256"])
+            made = []
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (*now, digest.hexdigest())], names=["patient_id", "resolution", "input_sha256"])
+
+    placed = documents.select("patient_id", "resolution", "window_start", "window_end", "document_id", "text").repartition("patient_id", "resolution")
+    return placed.sortWithinPartitions("patient_id", "resolution", "window_start", "window_end", "document_id").mapInArrow(work, "patient_id string, resolution string, input_sha256 string")
+
+
 def history_documents(people: DataFrame, documents: DataFrame) -> DataFrame:
     """Per patient and resolution the ordered ids of the window documents; patients without events stay, with none.
 
     The document's text refers to its windows; ``input_sha256`` is the hash of what they say together.
     """
-    ref = F.struct("window_start", "window_end", "document_id", "text")
-    made = documents.groupBy("patient_id", "resolution").agg(F.array_sort(F.collect_list(ref)).alias("w"), F.sum("n_events").alias("n_events"))
+    ref = F.struct("window_start", "window_end", "document_id")
+    by = ["patient_id", "resolution"]
+    made = documents.groupBy(*by).agg(F.array_sort(F.collect_list(ref)).alias("w"), F.sum("n_events").alias("n_events")).join(_said_together(documents), by, "left")
     everyone = people.select(F.col("Id").alias("patient_id"), F.explode(F.array(*[F.lit(r) for r in RESOLUTIONS])).alias("resolution"))
-    joined = everyone.join(made, ["patient_id", "resolution"], "left")
-    said = F.when(F.col("w").isNull(), F.lit(EMPTY_HISTORY)).otherwise(F.array_join(F.transform("w", lambda x: x["text"]), "\n"))
-    return joined.select(
+    return everyone.join(made, by, "left").select(
         F.concat_ws(":", "patient_id", F.lit("multilabel"), F.lit(""), "resolution", F.lit("full-history"), F.lit("explicit")).alias("document_id"),
         "patient_id", "resolution",
         F.coalesce(F.transform("w", lambda x: x["document_id"]), F.array().cast("array<string>")).alias("window_document_ids"),
         F.try_element_at("w", F.lit(1))["window_start"].alias("window_start"),
         F.coalesce("n_events", F.lit(0)).alias("n_events"),
-        F.sha2(said, 256).alias("input_sha256"),
-    )
+        F.coalesce("input_sha256", F.sha2(F.lit(EMPTY_HISTORY), 256)).alias("input_sha256"),
+    )
 
 
 def coverage(events: DataFrame, windows: DataFrame) -> DataFrame:

@@ -280,11 +280,17 @@ def ag02_prevalence(spark: SparkSession, root: str) -> DataFrame:
     return labels.prevalence(h.people, h.first, h.panel)
 
 
-@on(f"""with {_PREVALENCE} select concept_id, max(case when split = 'all' then positive_patients end)::bigint as positive_patients from prev group by 1
+_EVERY_CODE = _PREVALENCE.replace(PANEL_SQL, "panel as (select distinct CODE as concept_id from condition)")
+
+
+@on(f"""with {_EVERY_CODE} select concept_id, max(case when split = 'all' then positive_patients end)::bigint as positive_patients from prev group by 1
 having bool_or(split <> 'all' and positive_patients in (0, patients)) or coalesce(max(case when split = 'all' then positive_patients end), 0) = 0""")
 def ag05_rare_concepts(spark: SparkSession, root: str) -> DataFrame:
+    """Over all codes of the conditions, not those of the panel alone."""
     h = History(spark, root)
-    return labels.rare_concepts(labels.prevalence(h.people, h.first, h.panel))
+    codes = h.tables["conditions"].select(F.col("CODE").alias("concept_id")).distinct()
+    first = events.first_dates(events.labelled(h.events, codes.withColumn("code", F.col("concept_id"))))
+    return labels.rare_concepts(labels.prevalence(h.people, first, codes))
 
 
 @on(f"with {_PREVALENCE} select f.concept_id, count(distinct f.patient_id) as positive_patients from first f join patient p on p.Id = f.patient_id group by 1 having count(distinct f.patient_id) >= 3 and (select count(*) from patient) - count(distinct f.patient_id) >= 3")
@@ -343,13 +349,21 @@ def ag07_target_counts(spark: SparkSession, root: str) -> DataFrame:
     return chosen.groupBy("concept_id").agg(*[F.count_if(F.col("split") == s).alias(s) for s in labels.SPLITS])
 
 
-@on()
+@on(f"""with {CLEAN_SQL}, s as (select count(*) as n, floor(0.6::double * count(*))::bigint as a, floor(0.8::double * count(*))::bigint as b from patient)
+select 'train' as split, a as n_patients, true as classes_kept from s union all select 'validation', b - a, true from s union all select 'test', n - b, true from s""")
 def sp02_shuffled_split(spark: SparkSession, root: str) -> DataFrame:
-    """Parity mode: the ids of a bounded cohort are shuffled on the driver."""
+    """Parity mode: the ids of a bounded cohort are shuffled until each common concept has cases and controls everywhere."""
     h = History(spark, root)
     ids = [r[0] for r in h.people.select("Id").limit(splits.MAX_DRIVER_IDS + 1).collect()]
-    made = splits.shuffled_split(ids, {}, seed=7)
-    return spark.createDataFrame(sorted(made.items()), "patient_id string, split string")
+    known = h.first.select("concept_id", "patient_id").distinct()
+    n = known.groupBy("concept_id").agg(F.count("*").alias("n")).where((F.col("n") >= 40) & (F.col("n") <= len(ids) - 40))
+    positives: dict[str, set[str]] = {}
+    for r in known.join(n, "concept_id").select("concept_id", "patient_id").collect():
+        positives.setdefault(r[0], set()).add(r[1])
+    made = splits.shuffled_split(ids, positives, seed=7)
+    parts = {name: {p for p, s in made.items() if s == name} for name in ("train", "validation", "test")}
+    kept = {name: all(len(part & case) >= 3 and len(part - case) >= 3 for case in positives.values()) for name, part in parts.items()}
+    return spark.createDataFrame([(name, len(part), kept[name]) for name, part in parts.items()], "split string, n_patients long, classes_kept boolean")
 
 
 @on(f"""with {EVENT_SQL} select l.patient_id, l.concept_id, e.cutoff, max(l.d) as last_date, count(*) as n_before from label l, (values {_CUTS}) e(cutoff) where l.d <= e.cutoff group by all""")
@@ -366,10 +380,11 @@ def se02_intersection(spark: SparkSession, root: str) -> DataFrame:
     return h.events.select("patient_id").intersect(h.people.select("Id"))
 
 
-@on(f"with {EVENT_SQL} select distinct code as concept_code from rec where code is not null and code not in (select concept_code from concepts where concept_code is not null)")
+@on(f"with {EVENT_SQL} select distinct code as concept_code from rec where code is not null and code not in (select concept_id from panel)")
 def se03_difference(spark: SparkSession, root: str) -> DataFrame:
+    """Codes of events that are none of the panel's."""
     h = History(spark, root)
-    return h.events.select(F.explode("codes").alias("concept_code")).distinct().join(spark.read.parquet(f"{root}/concepts.parquet").select("concept_code"), "concept_code", "left_anti")
+    return h.events.select(F.explode("codes").alias("concept_code")).distinct().join(h.panel.select(F.col("concept_id").alias("concept_code")), "concept_code", "left_anti")
 
 
 AS_OF = date(2024, 1, 1)

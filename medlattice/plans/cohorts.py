@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,25 @@ registry = Registry()
 on = registry.on
 
 
+#: Bundles with the kinds of resources that the tables hold none of, put beside them where a query is about these.
+_CODE = {"coding": [{"system": "http://codes.example/rx", "code": "4711", "display": "Fenvelin 20 mg"}]}
+MORE_BODIES = [
+    json.dumps({"resourceType": "Bundle", "entry": [{"resource": r} for r in ({"resourceType": "Patient", "id": f"extra-{i}", "gender": "female", "name": [{"family": "Extra"}]}, *rest)]})
+    for i, rest in enumerate((
+        [{"resourceType": "MedicationRequest", "status": "active", "authoredOn": "2021-03-04", "medicationCodeableConcept": _CODE, "code": _CODE}, {"resourceType": "MedicationRequest", "medicationCodeableConcept": _CODE}],
+        [{"resourceType": "Procedure", "status": "completed", "code": {"coding": {"code": "88", "display": "Hip scan"}}, "performedPeriod": {"start": "2020-01-02"}}],
+        [{"resourceType": "Procedure", "code": {"text": "Free text"}, "performedDateTime": "2019-05-06T10:00:00Z"}, {"resourceType": "MedicationRequest", "status": "stopped", "code": _CODE, "medicationCodeableConcept": _CODE}],
+        [],
+    ))
+]
+
+
 class Bundles:
-    def __init__(self, spark: SparkSession, root: str):
-        self.found = fhir.resources(table(spark, root, "fhir_records"))
+    def __init__(self, spark: SparkSession, root: str, more: bool = False):
+        records = table(spark, root, "fhir_records").select("record_id", "body")
+        if more:
+            records = records.unionByName(spark.createDataFrame([(-1 - i, b) for i, b in enumerate(MORE_BODIES)], "record_id long, body string"))
+        self.found = fhir.resources(records)
         self.people = fhir.demographics(self.found)
         # several records may hold one patient; the cohort has the one of the last record
         first = self.people.where("id is not null").groupBy("id").agg(F.max_by(F.struct("name", "gender", "birth_date"), F.struct("record_id", "pos")).alias("p"))
@@ -37,6 +55,9 @@ owned as (select record_id, all_r, {_J}(list_filter(all_r, lambda r: coalesce({_
 res as (select * from (select record_id, patient_id, unnest(all_r) as r, unnest(range(len(all_r))) as pos from owned) where r is not null and json_type(r) <> 'NULL')"""
 
 
+FHIR_MORE = FHIR_SQL.replace("from fhir_records", "from (select record_id, body from fhir_records union all select * from (values " + ", ".join(f"({-1 - i}, '{b}')" for i, b in enumerate(MORE_BODIES)) + ") x(record_id, body))")
+
+
 def _first(*paths: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({_J}(r, '{p}'), '')" for p in paths) + ", null)"
 
@@ -67,9 +88,9 @@ def fh02_conditions(spark: SparkSession, root: str) -> DataFrame:
     return fhir.conditions(Bundles(spark, root).found).drop("clinical_status")
 
 
-@on(f"with {FHIR_SQL} select record_id, patient_id, cast(pos as int) as pos, {_first('$.status')} as status, {_first('$.authoredOn')} as authored_on from res where {_J}(r, '$.resourceType') = 'MedicationRequest'")
+@on(f"with {FHIR_MORE} select record_id, patient_id, cast(pos as int) as pos, {_first('$.status')} as status, {_first('$.authoredOn')} as authored_on from res where {_J}(r, '$.resourceType') = 'MedicationRequest'")
 def fh03_medications(spark: SparkSession, root: str) -> DataFrame:
-    return fhir.medications(Bundles(spark, root).found).select("record_id", "patient_id", "pos", "status", "authored_on")
+    return fhir.medications(Bundles(spark, root, True).found).select("record_id", "patient_id", "pos", "status", "authored_on")
 
 
 @on(f"with {FHIR_SQL} select record_id, patient_id, cast(pos as int) as pos, {_first('$.id')} as id, {_first('$.type[0].coding[0].display', '$.type[0].text', '$.code.coding[0].display')} as type, {_first('$.status')} as status, {_first('$.period.start')} as start from res where {_J}(r, '$.resourceType') = 'Encounter'")
@@ -84,9 +105,9 @@ def fh05_observations(spark: SparkSession, root: str) -> DataFrame:
     return fhir.observations(Bundles(spark, root).found).drop("date", "category")
 
 
-@on(f"with {FHIR_SQL} select {_CODED}, {_first('$.status')} as status, {_first('$.performedDateTime', '$.performedPeriod.start')} as performed_date from res where {_J}(r, '$.resourceType') = 'Procedure'")
+@on(f"with {FHIR_MORE} select {_CODED}, {_first('$.status')} as status, {_first('$.performedDateTime', '$.performedPeriod.start')} as performed_date from res where {_J}(r, '$.resourceType') = 'Procedure'")
 def fh06_procedures(spark: SparkSession, root: str) -> DataFrame:
-    return fhir.procedures(Bundles(spark, root).found)
+    return fhir.procedures(Bundles(spark, root, True).found)
 
 
 _PEOPLE = f"""{FHIR_SQL},
@@ -100,9 +121,9 @@ def flt03_with_condition(spark: SparkSession, root: str) -> DataFrame:
     return fhir.with_fact(b.cohort, fhir.conditions(b.found), "Stenosis").select("id")
 
 
-@on(f"with {_PEOPLE} select id from person where id in (select patient_id from fact where kind = 'MedicationRequest')")
+@on(f"with {_PEOPLE.replace(FHIR_SQL, FHIR_MORE)} select id from person where id in (select patient_id from fact where kind = 'MedicationRequest')")
 def flt04_with_medication(spark: SparkSession, root: str) -> DataFrame:
-    b = Bundles(spark, root)
+    b = Bundles(spark, root, True)
     return fhir.with_fact(b.cohort, fhir.medications(b.found), "").select("id")
 
 

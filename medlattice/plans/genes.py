@@ -129,22 +129,22 @@ def sm20_verified_truth(spark: SparkSession, root: str) -> DataFrame:
     return genetics.verify_truth(g, g.withColumn("allele_index", F.when(wrong, F.col("allele_index") + 1).otherwise(F.col("allele_index"))))
 
 
-_PRIORITY = (("pathogenic", 1), ("likely pathogenic", 2), ("risk factor", 3), ("uncertain", 4), ("benign", 5))
-_SIGNIFICANCE = "case p_partkey % 5 when 0 then 'Pathogenic' when 1 then 'Likely pathogenic' when 2 then 'Risk factor' when 3 then 'Uncertain significance' else 'other' end"
+_SAID = [*[s.capitalize() for s in genetics.SIGNIFICANCE], "not provided"]
+_SIGNIFICANCE = "case p_partkey % 12 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(_SAID)) + " end"
+_PRIORITIES = "case " + " ".join(f"when contains(lower(significance), '{s}') then {i + 1}" for i, s in enumerate(genetics.SIGNIFICANCE)) + f" else {genetics.OTHER_PRIORITY} end"
 
 
 @on(f"""with v as (select l_orderkey % 50 as patient_id, 'rs' || p_partkey as rsid, {_SIGNIFICANCE} as significance, p_partkey as row_no from lineitem join part on p_partkey = l_partkey where p_partkey % 3 <> 0 and l_linenumber <> 2),
 d as (select patient_id, rsid, min(significance) as significance, min(row_no) as row_no from v group by 1, 2), k as (select *, row_number() over (partition by patient_id, significance order by row_no, rsid) as k from d)
-select patient_id, rsid, significance, cast(case when lower(significance) like '%pathogenic%' then 1 when lower(significance) like '%risk factor%' then 3 when lower(significance) like '%uncertain%' then 4 else 99 end as int) as priority from k where k <= 10""")
+select patient_id, rsid, significance, cast({_PRIORITIES} as int) as priority from k where k <= 10""")
 def ag20_gene_findings(spark: SparkSession, root: str) -> DataFrame:
     j = table(spark, root, "lineitem").join(table(spark, root, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    k = F.col("p_partkey") % 5
-    said = F.when(k == 0, "Pathogenic").when(k == 1, "Likely pathogenic").when(k == 2, "Risk factor").when(k == 3, "Uncertain significance").otherwise("other")
+    said = F.element_at(F.array(*[F.lit(s) for s in _SAID]), (F.col("p_partkey") % 12 + 1).cast("int"))
     variants = j.select(
         (F.col("l_orderkey") % 50).alias("patient_id"), F.concat(F.lit("rs"), "p_partkey").alias("rsid"), F.lit("G").alias("gene"), said.alias("significance"),
         F.when(F.col("p_partkey") % 3 == 0, "A").otherwise("C").alias("allele"), F.lit("A").alias("ancestral_allele"), F.when(F.col("l_linenumber") == 2, "false").otherwise("True").alias("variant"), F.col("p_partkey").alias("row_no"),
     )
-    return genetics.gene_findings(variants, _PRIORITY).select("patient_id", "rsid", "significance", "priority")
+    return genetics.gene_findings(variants).select("patient_id", "rsid", "significance", "priority")
 
 
 @on()

@@ -49,15 +49,16 @@ def vl01_normalised(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, root: str) -> DataFrame:
-    """Mentions in order, each query three times, and one that nothing matches."""
-    return spark.range(0, 60).select(F.col("id").alias("mention_no"), F.when(F.col("id") % 7 == 6, "unknown").otherwise(((F.col("id") % 5) * 50).cast("string")).alias("mention"))
+    """Mentions in order, each query of the stated set three times, and as many that nothing matches."""
+    ids = table(spark, root, "embeddings").where("vec_id % 50 = 0").select("vec_id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    return ids.select((F.col("vec_id") * 4 + F.col("k")).alias("mention_no"), F.when(F.col("k") == 3, "unknown").otherwise(F.col("vec_id").cast("string")).alias("mention"))
 
 
 def _named(spark: SparkSession, root: str) -> DataFrame:
     return _matches(spark, root).select(F.col("query_id").cast("string").alias("mention"), "rank", F.col("concept_id").cast("string").alias("concept_id"), "score")
 
 
-_MENTIONS = "mention as (select i as mention_no, case when i % 7 = 6 then 'unknown' else cast((i % 5) * 50 as varchar) end as mention from range(60) t(i))"
+_MENTIONS = "mention as (select vec_id * 4 + k as mention_no, case when k = 3 then 'unknown' else cast(vec_id as varchar) end as mention from embeddings, range(4) t(k) where vec_id % 50 = 0)"
 
 
 @on(f"""{_TOP}, {_MENTIONS}, m as (select cast(query_id as varchar) as mention, rank, concept_id from top where rank <= {K})
@@ -216,13 +217,13 @@ def cg05_interactions(spark: SparkSession, root: str) -> DataFrame:
 
 _CHAINS = _RAW.replace("with p as", "with recursive p as", 1) + """,
 e as (select doc_id, row_number() over () as id, lower(replace(s, '|', ' ')) as s, lower(regexp_replace(target, '\\s*\\([^)]*\\)\\s*$', '')) as t from edge),
-walk(doc_id, path, t) as (select doc_id, [id], t from e where contains(s, 't11') union all select w.doc_id, list_append(w.path, e.id), e.t from walk w join e on e.doc_id = w.doc_id and contains(e.s, w.t) and not list_contains(w.path, e.id) where len(w.path) < 3)"""
+walk(doc_id, path, t) as (select doc_id, [id], t from e where contains(s, 't11') union all select w.doc_id, list_append(w.path, e.id), e.t from walk w join e on e.doc_id = w.doc_id and contains(e.s, w.t) and not list_contains(w.path, e.id) where len(w.path) < 5)"""
 
 
 @on(f"{_CHAINS} select doc_id, cast(len(path) as int) as length, count(*) as n from walk group by all")
 def cg06_causal_chains(spark: SparkSession, root: str) -> DataFrame:
     """Also JN16: paths by joining the graph to itself."""
-    return causal.chains(_edges(spark, root), "T11", depth=3).groupBy("doc_id", "length").agg(F.count("*").alias("n"))
+    return causal.chains(_edges(spark, root), "T11").groupBy("doc_id", "length").agg(F.count("*").alias("n"))
 
 
 @on(f"""{_NODES}, a as (select doc_id, count(*) as n_nodes from node group by 1),

@@ -89,8 +89,8 @@ def _grid_proteins(spark: SparkSession, root: str) -> list[str]:
     return pivot.attribute_list(table(spark, root, "olink_panels"), "protein_id")
 
 
-@on(f"""{_CELLS}, names as materialized (select distinct protein_id from olink_panels order by 1 limit 20), grid as (select distinct sample_id, n.protein_id from cell, names n), med as (select protein_id, median(npx) as m from cell group by 1)
-select g.sample_id, g.protein_id, coalesce(c.npx, m.m) as npx, c.npx is null as filled from grid g left join cell c on c.sample_id = g.sample_id and c.protein_id = g.protein_id left join med m on m.protein_id = g.protein_id""".replace("names as materialized", "chosen as").replace("names n", "chosen n"))
+@on(f"""{_CELLS}, chosen as (select distinct protein_id from olink_panels), grid as (select distinct sample_id, n.protein_id from cell, chosen n), med as (select protein_id, median(npx) as m from cell group by 1)
+select g.sample_id, g.protein_id, coalesce(c.npx, m.m) as npx, c.npx is null as filled from grid g left join cell c on c.sample_id = g.sample_id and c.protein_id = g.protein_id left join med m on m.protein_id = g.protein_id""")
 def ag13_median_filled(spark: SparkSession, root: str) -> DataFrame:
     return npx.median_filled(_cells(spark, root), _grid_proteins(spark, root))
 
