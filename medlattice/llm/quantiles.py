@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.npx import usable_group, usable_npx, with_protein
+from ..session import cut
 
 #: Magnitudes below this share the bucket of zero; their error is this much instead of relative.
 SMALLEST = 1e-9
@@ -92,7 +93,7 @@ def npx_percentiles(days: DataFrame, period: Column | None = None, points: Seque
     Both come from one merge of the day sketches; rows with a missing arm count for the protein only.
     """
     period = F.lit("all") if period is None else period
-    arms = merge(days.withColumn("period", period), ["protein_id", "arm", "period"])
+    arms = cut(merge(days.withColumn("period", period), ["protein_id", "arm", "period"]))  # read by both scopes
     whole = merge(arms, ["protein_id", "period"]).withColumn("arm", F.lit(None).cast("string")).withColumn("scope", F.lit("protein"))
     parts = arms.where("arm is not null").withColumn("scope", F.lit("protein_group"))
     made = percentiles(whole.unionByName(parts), ["scope", "protein_id", "arm", "period"], points, error)
