@@ -75,22 +75,17 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float | N
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_c = np.zeros((len(ids), 0), object)
+            best: tuple | None = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 if len(flat) != batch.num_rows * q.shape[1]:
                     raise ValueError("vectors differ in length")
-                concepts = np.array(batch.column(0).to_pylist(), object)
-                s = np.concatenate([best_s, q @ flat.reshape(batch.num_rows, -1).T], axis=1)
-                c = np.concatenate([best_c, np.broadcast_to(concepts, (len(ids), len(concepts)))], axis=1)
-                order = np.array([sorted(range(s.shape[1]), key=lambda j, i=i: (-s[i, j], c[i, j]))[:k] for i in range(len(ids))]) if s.shape[1] <= 4 * k else _best(s, c, k)
-                best_s, best_c = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
-            if best_s.shape[1]:
-                n = best_s.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(best_c.ravel().tolist()), pa.array(best_s.ravel())], names=["query_id", "concept_id", "score"])
+                best = _best(q @ flat.reshape(batch.num_rows, -1).T, batch.column(0).to_numpy(zero_copy_only=False), k, best)
+            if best is not None:
+                row, score, concept = best
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row.tolist()]), pa.array(concept.tolist()), pa.array(score)], names=["query_id", "concept_id", "score"])
 
         part = index.select("concept_id", "vector").mapInArrow(work, schema)
         found = part if found is None else found.unionByName(part)
@@ -103,14 +98,23 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float | N
     return (kept if threshold is None else kept.where(F.col("score") >= threshold)).select("query_id", "rank", "concept_id", "score")
 
 
-def _best(s: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best per row, ties by the smaller concept: all of the k-th score are looked at."""
-    made = []
-    for i in range(len(s)):
-        cut = np.partition(s[i], len(s[i]) - k)[len(s[i]) - k]
-        at = np.flatnonzero(s[i] >= cut)
-        made.append(sorted(at, key=lambda j: (-s[i, j], c[i, j]))[:k])
-    return np.array(made)
+def _best(s: np.ndarray, concepts: np.ndarray, k: int, before: tuple | None) -> tuple:
+    """(row, score, concept) of the k best per row of ``s`` and those of ``before``, ties by the smaller concept.
+
+    All of a row's k-th score are looked at; ids are taken for these only.
+    """
+    n = s.shape[1]
+    floor = np.partition(s, n - k, axis=1)[:, n - k : n - k + 1] if n > k else np.full((len(s), 1), -np.inf)
+    row, column = np.nonzero(s >= floor)
+    score, concept = s[row, column], concepts[column]
+    if concept.dtype == object:
+        concept = concept.astype(str)
+    if before is not None:
+        row, score, concept = (np.concatenate([a, b]) for a, b in zip(before, (row, score, concept)))
+    order = np.lexsort((concept, -score, row))
+    row, score, concept = row[order], score[order], concept[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[kept], score[kept], concept[kept]
 
 
 def link_mentions(mentions: DataFrame, matches: DataFrame) -> DataFrame:

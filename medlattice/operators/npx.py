@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,31 +247,63 @@ def median_filled(cells: DataFrame, proteins: Sequence[str]) -> DataFrame:
     return made.select("sample_id", "protein_id", F.coalesce("npx", "m").alias("npx"), F.col("npx").isNull().alias("filled"))
 
 
-def principal_components(filled: DataFrame, proteins: Sequence[str], k: int = 2) -> DataFrame:
-    """(sample_id, pc1..pck) of the standardised grid: sums of products where the data are, the k vectors on the driver."""
+def principal_components(cells: DataFrame, proteins: Sequence[str], k: int = 2) -> DataFrame:
+    """(sample_id, pc1..pck) of the standardised grid of samples and listed proteins, gaps filled by the protein's median.
+
+    The grid is made a batch of samples at a time and never stands in a table: a sample sends its cells once, and its
+    products with itself are summed where it is.  The k vectors are found on the driver, from one matrix of proteins.
+    """
     if len(proteins) > 2000:
         raise ValueError("too many proteins for a dense covariance")
-    moments = filled.groupBy("protein_id").agg(F.avg("npx").alias("m"), F.stddev_pop("npx").alias("s"))  # as many rows as proteins
-    z = filled.join(moments, "protein_id").withColumn("z", F.coalesce(F.try_divide(F.col("npx") - F.col("m"), F.col("s")), F.lit(0.0)))
-    rows = z.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("protein_id", "z"))).alias("c")).select("sample_id", F.col("c.z").alias("v"))
-    n = len(proteins)
+    spark, p = cells.sparkSession, len(proteins)
+    number = spark.createDataFrame([(name, i) for i, name in enumerate(proteins)], "protein_id string, i int")
+    listed = cells.join(number, "protein_id", "left")
+    gathered = F.collect_list(F.when(F.col("i").isNotNull() & F.col("npx").isNotNull(), F.struct("i", "npx")))
+    rows = cut(listed.groupBy("sample_id").agg(gathered.alias("c")).select("sample_id", F.col("c.i").alias("i"), F.col("c.npx").alias("x")))
+    sums = rows.select(F.inline(F.arrays_zip("i", "x"))).groupBy("i").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    medians = exact_median(listed.where("i is not null"), "i", "npx")
+    n_rows = rows.count()
+    gap, mean, spread = np.zeros(p), np.zeros(p), np.zeros(p)
+    for r in sums.join(medians, "i").collect():  # as many as proteins
+        missing = n_rows - r["n"]
+        m = (r["s"] + missing * r["m"]) / n_rows
+        gap[r["i"]], mean[r["i"]] = r["m"], m
+        spread[r["i"]] = math.sqrt(max(0.0, (r["q"] + missing * r["m"] ** 2) / n_rows - m * m))
+    scale = np.where(spread > 1e-12, 1.0 / np.where(spread > 1e-12, spread, 1.0), 0.0)
+    filler = (gap - mean) * scale
+
+    def grid(batch: pa.RecordBatch) -> np.ndarray:
+        z = np.tile(filler, (batch.num_rows, 1))
+        row = pa.compute.list_parent_indices(batch.column("i")).to_numpy(zero_copy_only=False)
+        at = batch.column("i").flatten().to_numpy(zero_copy_only=False)
+        z[row, at] = (batch.column("x").flatten().to_numpy(zero_copy_only=False) - mean[at]) * scale[at]
+        return z
 
     def gram(batches):
-        total = np.zeros((n, n))
-        for pdf in batches:
-            m = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, n))
-            total += m.T @ m
-        yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "s": total.ravel()})
-
-    sums = rows.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
-    matrix = np.zeros((n, n))
-    for r in sums:
-        matrix[r[0], r[1]] = r[2]
+        total = np.zeros((p, p))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                z = grid(batch.slice(a, 2000))
+                total += z.T @ z
+        i, j = np.triu_indices(p)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    got = rows.mapInArrow(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow()
+    matrix = np.zeros((p, p))
+    i, j, v = (got.column(c).to_numpy() for c in ("i", "j", "s"))
+    matrix[i, j] = matrix[j, i] = v
     values, vectors = np.linalg.eigh(matrix)
     best = vectors[:, np.argsort(values)[::-1][:k]].T
     best = best * np.sign(best[np.arange(len(best)), np.abs(best).argmax(axis=1)])[:, None]
-    dot = lambda v: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in v]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.select("sample_id", *[dot(v).alias(f"pc{i + 1}") for i, v in enumerate(best)])
+
+    def placed(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                y = grid(part) @ best.T
+                yield pa.RecordBatch.from_arrays([part.column("sample_id"), *[pa.array(y[:, c]) for c in range(len(best))]], names=["sample_id", *[f"pc{c + 1}" for c in range(len(best))]])
+
+    return rows.mapInArrow(placed, ", ".join([f"sample_id {dict(rows.dtypes)['sample_id']}", *[f"pc{c + 1} double" for c in range(len(best))]]))
 
 
 def effects(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id, canonical_id_sql
 from ..operators import fhir
+from ..session import cut
 from .common import Registry, table
 
 registry = Registry()
@@ -29,11 +30,13 @@ MORE_BODIES = [
 
 
 class Bundles:
-    def __init__(self, spark: SparkSession, root: str, more: bool = False):
+    def __init__(self, spark: SparkSession, root: str, more: bool = False, written: bool = False):
         records = table(spark, root, "fhir_records").select("record_id", "body")
         if more:
             records = records.unionByName(spark.createDataFrame([(-1 - i, b) for i, b in enumerate(MORE_BODIES)], "record_id long, body string"))
         self.found = fhir.resources(records)
+        if written:  # bodies are parsed once where a query looks at them several times
+            self.found = cut(self.found)
         self.people = fhir.demographics(self.found)
         # several records may hold one patient; the cohort has the one of the last record
         first = self.people.where("id is not null").groupBy("id").agg(F.max_by(F.struct("name", "gender", "birth_date"), F.struct("record_id", "pos")).alias("p"))
@@ -117,13 +120,13 @@ fact as (select {_CODED}, {_J}(r, '$.resourceType') as kind, try_cast({_J}(r, '$
 
 @on(f"with {_PEOPLE} select id from person where id in (select patient_id from fact where kind = 'Condition' and (lower(display) like '%stenosis%' or code = 'stenosis'))")
 def flt03_with_condition(spark: SparkSession, root: str) -> DataFrame:
-    b = Bundles(spark, root)
+    b = Bundles(spark, root, written=True)
     return fhir.with_fact(b.cohort, fhir.conditions(b.found), "Stenosis").select("id")
 
 
 @on(f"with {_PEOPLE.replace(FHIR_SQL, FHIR_MORE)} select id from person where id in (select patient_id from fact where kind = 'MedicationRequest')")
 def flt04_with_medication(spark: SparkSession, root: str) -> DataFrame:
-    b = Bundles(spark, root, True)
+    b = Bundles(spark, root, True, True)
     return fhir.with_fact(b.cohort, fhir.medications(b.found), "").select("id")
 
 
@@ -134,13 +137,13 @@ def flt05_with_gender(spark: SparkSession, root: str) -> DataFrame:
 
 @on(f"with {_PEOPLE} select id from person where id in (select patient_id from fact where kind in ('Condition', 'MedicationRequest') and lower(display) like '%hepatic%')")
 def flt06_search(spark: SparkSession, root: str) -> DataFrame:
-    b = Bundles(spark, root)
+    b = Bundles(spark, root, written=True)
     return fhir.search(b.cohort, fhir.conditions(b.found), fhir.medications(b.found), "hepatic").select("id")
 
 
 @on(f"with {_PEOPLE} select id from person where id in (select patient_id from fact where kind = 'Observation' and lower(display) like '%a%' and (value_num is null or value_num between 10 and 50))")
 def flt07_with_observation(spark: SparkSession, root: str) -> DataFrame:
-    b = Bundles(spark, root)
+    b = Bundles(spark, root, written=True)
     return fhir.with_observation(b.cohort, fhir.observations(b.found), display="A", low=10.0, high=50.0).select("id")
 
 
@@ -180,7 +183,7 @@ def fh12_dataset_summary(spark: SparkSession, root: str) -> DataFrame:
 @on(f"with {_PEOPLE} select id, g.gender as gender, (select count(*) from fact where patient_id = id and kind = 'Condition') as n_conditions, (select count(*) from fact where patient_id = id and kind = 'MedicationRequest') as n_medications from person")
 def fh11_patient_rows(spark: SparkSession, root: str) -> DataFrame:
     """Also FH13: the counts of one patient."""
-    b = Bundles(spark, root)
+    b = Bundles(spark, root, written=True)
     return fhir.dataset_rows(b.cohort, fhir.conditions(b.found), fhir.medications(b.found)).select("id", "gender", "n_conditions", "n_medications")
 
 
@@ -195,7 +198,7 @@ _NEEDLES = (("fibrosis", "fibrosis"), ("effusion", "effusion"), ("oedema", "effu
 @on(f"""with {_PEOPLE}, m(needle, flag) as (values {', '.join(str(n) for n in _NEEDLES)}), hit as (select distinct patient_id, flag from fact join m on contains(lower(display), needle) where kind = 'Condition')
 select id, coalesce((select string_agg(flag, ',' order by flag) from hit where patient_id = id), 'normal') as flags from person""")
 def fh15_imaging_conditions(spark: SparkSession, root: str) -> DataFrame:
-    b = Bundles(spark, root)
+    b = Bundles(spark, root, written=True)
     made = fhir.imaging_flags(b.cohort, fhir.conditions(b.found), spark.createDataFrame(list(_NEEDLES), "needle string, flag string"))
     return made.withColumn("flags", F.array_join("flags", ","))
 

@@ -97,8 +97,7 @@ def ag13_median_filled(spark: SparkSession, root: str) -> DataFrame:
 
 @on()
 def ag14_principal_components(spark: SparkSession, root: str) -> DataFrame:
-    proteins = _grid_proteins(spark, root)
-    return npx.principal_components(npx.median_filled(_cells(spark, root), proteins), proteins)
+    return npx.principal_components(_cells(spark, root), _grid_proteins(spark, root))
 
 
 @on(f"{_R} select round(avg(qc_warning::int) + 1e-9, 6) as qc_rate, count(*) as n_readings, count(distinct sample_id) as n_samples, count(distinct protein_id) as n_proteins from r")
