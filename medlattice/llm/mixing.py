@@ -217,8 +217,9 @@ def mix(
 def mix_check(documents: DataFrame, report: DataFrame, slack: float = 0.01) -> DataFrame:
     """Per source: documents it has, and whether the mixture keeps the plan, the repetitions and the budget.
 
-    ``as_planned``: the share is within ``slack`` of its weight, and the tokens are not above the plan; ``tempered``: the
-    exponent lies between 0 and 1.
+    ``as_planned``: the tokens are not above the plan and the share is within ``slack`` of its weight, and within one
+    part in as many as the source has documents beyond that, as it gives whole ones only; ``tempered``: the exponent lies
+    between 0 and 1.
     """
     there = documents.where(F.length("text") > 0).groupBy(plain_source(F.col("source")).alias("source")).agg(F.count("*").alias("n_documents"))
     return report.join(there, "source", "left").select(
@@ -226,6 +227,6 @@ def mix_check(documents: DataFrame, report: DataFrame, slack: float = 0.01) -> D
         "max_repeats",
         F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"),
         (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"),
-        ((F.abs(F.col("share") - F.col("weight")) <= slack) & (F.col("tokens") <= F.col("planned_tokens") + 1e-6 * F.abs("planned_tokens") + 1)).alias("as_planned"),
+        ((F.abs(F.col("share") - F.col("weight")) <= slack + F.coalesce(1 / F.col("n_documents"), F.lit(0.0))) & (F.col("tokens") <= F.col("planned_tokens") + 1e-6 * F.abs("planned_tokens") + 1)).alias("as_planned"),
         ((F.col("exponent") > 0) & (F.col("exponent") < 1)).alias("tempered"),
     )
