@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 OBJECT, ARRAY, STRING, SCALAR, NULL = range(5)
 _SCALARS = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity"
-_ALL_SCALARS = re.compile(rf"(?:(?:{_SCALARS})\n)*+".encode())
-_SCALAR = re.compile(_SCALARS.encode())
+_ALL_SCALARS = re.compile(rf"(?:(?:{_SCALARS})\n)*+\Z".encode())
+_SCALAR = re.compile(rf"(?:{_SCALARS})\Z".encode())
 _OUTER = "\ufeff \t\r\n\0"
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
@@ -215,9 +215,9 @@ def read(texts: pa.Array) -> Nodes:
         index = np.arange(at[-1]) - np.repeat(at[:-1] - s0, size)
         joined = data[np.minimum(index, n - 1)].copy()
         joined[at[1:] - 1] = 10
-        if not _ALL_SCALARS.fullmatch(joined.tobytes()):
+        if not _ALL_SCALARS.match(joined.tobytes()):
             whole = data.tobytes()
-            wrong = [a for a, b in zip(s0.tolist(), s1.tolist()) if not _SCALAR.fullmatch(whole, a, b)]
+            wrong = [a for a, b in zip(s0.tolist(), s1.tolist()) if not _SCALAR.match(whole, a, b)]
             good[text_of(np.array(wrong, np.int64))] = False
 
     # tokens in order: signs, strings (at their first quote) and scalars (at their first byte)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events, labels, splits, windows
-from ..operators.clean import CLEAN_SQL, PANEL_SQL
+from ..operators.clean import CLEAN_SQL, PANEL_SIZE, PANEL_SQL
 from .common import CUTOFFS, HORIZONS, SOURCE_END, History, Registry
 
 registry = Registry()
@@ -209,8 +209,8 @@ def lb01_record_labels(spark: SparkSession, root: str) -> DataFrame:
     return made.withColumn("evidence_event_ids", _LIST("evidence_event_ids"))
 
 
-@on(f"""with {EVENT_SQL}, hist as (select Id as patient_id from patient), fam(task, family_id, n) as (values ('multilabel', null, 6::bigint), ('differential', 'front', 3::bigint), ('evidence', null, 6::bigint))
-select p.patient_id, r.r as resolution, f.task, f.family_id, case when (select count(*) from panel) < 6 then null else f.n end as n_candidates from hist p, {_RES}, fam f""")
+@on(f"""with {EVENT_SQL}, hist as (select Id as patient_id from patient), fam(task, family_id, n) as (values ('multilabel', null, {PANEL_SIZE}::bigint), ('differential', 'front', 3::bigint), ('evidence', null, {PANEL_SIZE}::bigint))
+select p.patient_id, r.r as resolution, f.task, f.family_id, case when (select count(*) from panel) < {PANEL_SIZE} then null else f.n end as n_candidates from hist p, {_RES}, fam f""")
 def lb06_task_documents(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql import Window
 
