@@ -264,40 +264,55 @@ def _sliced(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int,
         yield a, b, texts[a:b]
 
 
-def _counted(pages: DataFrame, count, schema: str) -> DataFrame:
-    """Sums per batch as rows of whole numbers; added up by the caller's groupBy."""
-    names = [c.split()[0] for c in schema.split(", ")]
+#: Counts of different words that a task holds before it hands them on.
+HELD = 1 << 20
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counts (key, n, ...) of several parts with each key once."""
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, *[np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(keys)).astype(np.int64) for k in range(1, len(parts[0]))]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in count(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return pages.mapInArrow(work, schema)
+def _word_counts(texts: list[str | None], rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, pages that hold it, pages of prose among them) of some texts; word 0 stands for any page."""
+    w = lex(texts)
+    zero = np.zeros(1, np.int64)
+    if not len(w):
+        return zero, zero + len(texts), zero
+    r = read(w, rule)
+    within = _per(w.text, r.plain & r.sentence[w.passage], len(texts))
+    good = within >= rule.prose_page * np.maximum(_per(w.text, r.plain, len(texts)), 1)
+    told = r.plain & ((w.upper == 0) | ((w.before == BOUND) & w.first_upper & (w.upper == 1)))
+    told &= since_last(np.where(told, w.text, -1), w.hash) == 1 << 30  # each word once a page
+    every, at = np.unique(w.hash[told], return_inverse=True)
+    prose = np.bincount(at, weights=good[w.text[told]], minlength=len(every)).astype(np.int64)
+    return np.append(every, 0), np.append(np.bincount(at, minlength=len(every)), len(texts)), np.append(prose, 0)
 
 
 def known_words(pages: DataFrame, rule: Rule) -> np.ndarray:
     """Sorted hashes of the words that enough pages of prose hold, and few pages without it in comparison.
 
-    Counted over all pages.  A page holds so many different words on average, and each known one is on ``known_pages``
-    of all pages, so there are at most average / ``known_pages`` of them, however large the corpus is.
+    Counted over all pages, and combined within a task before they are handed on.  A page holds so many different words
+    on average, and each known one is on ``known_pages`` of all pages, so there are at most average / ``known_pages`` of
+    them, however large the corpus is.
     """
 
-    def count(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for a, b, texts in _sliced(batch):
-            w = lex(texts)
-            every, n, prose = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(w):
-                r = read(w, rule)
-                within = _per(w.text, r.plain & r.sentence[w.passage], len(texts))
-                good = within >= rule.prose_page * np.maximum(_per(w.text, r.plain, len(texts)), 1)
-                told = r.plain & ((w.upper == 0) | ((w.before == BOUND) & w.first_upper & (w.upper == 1)))
-                told &= since_last(np.where(told, w.text, -1), w.hash) == 1 << 30  # each word once a page
-                every, at = np.unique(w.hash[told], return_inverse=True)
-                n, prose = np.bincount(at, minlength=len(every)), np.bincount(at, weights=good[w.text[told]], minlength=len(every)).astype(np.int64)
-            yield np.append(every, 0), np.append(n, len(texts)), np.append(prose, 0)
-
-    sums = cut(_counted(pages, count, "word long, n_pages long, n_prose long").groupBy("word").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_prose").alias("n_prose")))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda part: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], names=["word", "n_pages", "n_prose"])
+        held: list[tuple] = []
+        for batch in batches:
+            for _, _, texts in _sliced(batch):
+                held.append(_word_counts(texts, rule))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield rows(held[0])
+                        held = []
+        if held:
+            yield rows(_merged(held))
+
+    sums = cut(pages.mapInArrow(count, "word long, n_pages long, n_prose long").groupBy("word").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_prose").alias("n_prose")))
     whole = sums.where("word = 0").agg(F.max("n_pages")).first()[0] or 0
     least = max(3, rule.known_pages * whole)
     kept = sums.where((F.col("word") != 0) & (F.col("n_prose") >= least) & (F.col("n_prose") >= rule.known_purity * F.col("n_pages"))).select("word")
@@ -306,25 +321,31 @@ def known_words(pages: DataFrame, rule: Rule) -> np.ndarray:
     return words
 
 
+GRAMS = WORD_MARKS**3 + FORM_MARKS**3
+
+
 def train(pages: DataFrame, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray]:
     """Known words, and the trigram counts of the corpus' prose in each half of its pages.
 
-    Both are counted over all pages, combined within batches and tasks.  There are WORD_MARKS^3 + FORM_MARKS^3
-    different trigrams whatever the corpus, so the counts that reach the driver are bounded by construction.
+    Both are counted over all pages.  There are GRAMS different trigrams whatever the corpus, so what a task holds and
+    hands on, and what reaches the driver, is bounded by construction.
     """
     known = known_words(pages, rule)
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
-    def count(batch: pa.RecordBatch) -> Iterator[tuple]:
-        half = batch.column("half").to_numpy(zero_copy_only=False)
-        for a, b, texts in _sliced(batch):
-            for h in (0, 1):
-                own = [t for t, x in zip(texts, half[a:b]) if x == h]
-                codes, n = np.unique(grams(read(lex(own), rule), shared.value, rule), return_counts=True)
-                yield np.full(len(codes), h), codes, n
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros((2, GRAMS), np.int64)
+        for batch in batches:
+            half = batch.column("half").to_numpy(zero_copy_only=False)
+            for a, b, texts in _sliced(batch):
+                for h in (0, 1):
+                    own = [t for t, x in zip(texts, half[a:b]) if x == h]
+                    made[h] += np.bincount(grams(read(lex(own), rule), shared.value, rule), minlength=GRAMS)
+        at, gram = np.nonzero(made)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(gram), pa.array(made[at, gram])], names=["half", "gram", "n"])
 
-    rows = _counted(pages, count, "half long, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n")).toArrow()
-    made = np.zeros((2, WORD_MARKS**3 + FORM_MARKS**3), np.int64)
+    rows = pages.mapInArrow(count, "half long, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n")).toArrow()
+    made = np.zeros((2, GRAMS), np.int64)
     made[rows.column("half").to_numpy(), rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
     shared.unpersist()
     return known, made
