@@ -61,10 +61,24 @@ def format_size(size: Column) -> Column:
     return made
 
 
+#: What an answer begins with after thoughts that were never closed, in the order in which it is looked for.
+ANSWER_MARKS = (r"\n#\s", r"\n\*\*[A-Z]", r"\nSUBJECTIVE", r"\nOBJECTIVE", r"\nASSESSMENT", r"\nPLAN", r"\nPATIENT STORY")
+
+
+def _past_open_thought(value: Column) -> Column:
+    """Where thoughts were begun and not closed: the answer from its first mark on, or all but the opening token."""
+    rest = F.regexp_replace(value, r"(?i)^\s*<unused\d+>thought\s*", "")
+    for mark in reversed(ANSWER_MARKS):
+        rest = F.when(F.regexp_like(value, F.lit(f"(?i){mark}")), F.regexp_extract(value, f"(?is)({mark}.*)", 1)).otherwise(rest)
+    return F.when(F.regexp_like(value, F.lit(r"(?i)^\s*<unused\d+>.{0,40}?thought")), rest).otherwise(value)
+
+
 def clean_response(value: Column) -> Column:
-    """A model's answer without its thinking blocks and control tokens."""
+    """A model's answer without its thinking blocks, closed or not, and control tokens."""
     without = F.regexp_replace(value, r"(?is)<(think|thinking|unused94)>.*?</?(think|thinking|unused95)>", "")
-    return F.trim(F.regexp_replace(without, r"<\|?[a-z_]+(?:of_text|_start|_end|start_of_turn|end_of_turn)[a-z_]*\|?>|<unused\d+>", ""))
+    without = _past_open_thought(without)
+    bare = F.regexp_replace(without, r"<\|?[a-z_]+(?:of_text|_start|_end|start_of_turn|end_of_turn)[a-z_]*\|?>|<unused\d+>", "")
+    return F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
 
 
 def limit_line_runs(value: Column, most: int = 2) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id
-from ..session import cut, drop_cut, state_folder
+from ..session import cut, drop_cut, file_system, state_folder
 from .pivot import attribute_list, block_pivot
 
 #: Days outside these are typing errors, not history.
@@ -146,8 +146,8 @@ def update_store(path: str, conditions: DataFrame, rows_a_file: int = 2_000_000)
     a hot bucket is one task's.
     """
     spark = conditions.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/partials")
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    fs, folder = file_system(spark, f"{path}/partials")
+    there = fs.exists(folder)
     parts = max(1, conditions.count() // rows_a_file)
 
     def placed(df: DataFrame) -> DataFrame:

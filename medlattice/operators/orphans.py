@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import as_column, canonical_id, not_blank
-from ..session import cut, drop_cut, state_folder
+from ..session import cut, drop_cut, file_system, put, state_folder
 
 FOREVER = "9999-12-31 00:00:00"
 
@@ -294,17 +294,20 @@ def clinical_replay(spark: SparkSession, root: str, periods: int = 2) -> OrphanS
 
 
 def save_state(state: OrphanState) -> None:
-    """Write where the tables of a state lie, last of all, so that a period without it has not been taken in."""
+    """Write where the tables of a state lie, last of all and at one stroke, so that a period without it has not been taken in."""
     told = json.dumps({"number": state.number, "until": None if state.until is None else state.until.isoformat(), "parts": state.parts, "row_id": state.row_id})
-    state.spark.createDataFrame([(told,)], "state string").coalesce(1).write.mode("overwrite").text(f"{state.folder}/state-{state.number:08d}")
+    name = f"{state.folder}/state-{state.number:08d}"
+    put(state.spark, f"{name}.tmp", [told.encode()])
+    fs, done = file_system(state.spark, f"{name}.json")
+    fs.delete(done, False)
+    fs.rename(file_system(state.spark, f"{name}.tmp")[1], done)
 
 
 def load_state(spark: SparkSession, folder: str) -> OrphanState | None:
     """The last complete state of a folder; None where there is none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/state-*/_SUCCESS")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    names = sorted(f.getPath().getParent().getName() for f in files) if files else []
+    fs, path = file_system(spark, f"{folder}/state-*.json")
+    files = fs.globStatus(path)
+    names = sorted(f.getPath().getName() for f in files) if files else []
     if not names:
         return None
     told = json.loads(spark.read.text(f"{folder}/{names[-1]}").first()[0])

@@ -23,27 +23,39 @@ CLINICAL_OFFSETS = (0, 7, 180)
 LONG_OFFSETS = (0, 3, 7, 21, 60, 180, 300, 500, 700, 900, 1050)
 VARIANTS = ("sufficient", "clue_deleted", "no_information")
 
-#: A small panel of invented teaching conditions: name, concept, aliases, complaints, findings, treatments.
+#: A panel of teaching conditions in our own words: name, concept, aliases, complaints, findings, treatments, and mimics,
+#: which are what a control may show that looks alike and is not it.  Another panel of the same columns can be given.
 PANEL = (
-    ("Asthma", "C:101", ["asthma", "reactive airway disease"], ["wheeze at night", "cough after running"], ["prolonged expiration", "reversible obstruction"], ["inhaled steroid", "rescue inhaler"]),
-    ("Diabetes", "C:102", ["diabetes", "type 2 diabetes"], ["thirst all day", "frequent urination"], ["raised fasting glucose", "glycated haemoglobin above range"], ["metformin", "basal insulin"]),
-    ("Migraine", "C:103", ["migraine", "migraine with aura"], ["one-sided throbbing headache", "zigzag lines before headache"], ["normal neurological examination", "light sensitivity"], ["a triptan", "propranolol"]),
-    ("Hypothyroidism", "C:104", ["hypothyroidism", "underactive thyroid"], ["feeling cold", "slow weight gain"], ["raised thyrotropin", "dry skin"], ["levothyroxine"]),
-    ("Gout", "C:105", ["gout", "gouty arthritis"], ["sudden toe pain", "swollen big toe"], ["urate crystals", "red hot joint"], ["allopurinol", "colchicine"]),
-    ("Anaemia", "C:106", ["anaemia", "iron deficiency anaemia"], ["tired on stairs", "pale look"], ["low ferritin", "small red cells"], ["oral iron"]),
+    ("Asthma", "C:101", ["asthma", "reactive airway disease"], ["wheeze at night", "cough after running"], ["prolonged expiration", "reversible obstruction"], ["inhaled steroid", "rescue inhaler"], ["cough from a cold, airflow normal"]),
+    ("Diabetes", "C:102", ["diabetes", "type 2 diabetes"], ["thirst all day", "frequent urination"], ["raised fasting glucose", "glycated haemoglobin above range"], ["metformin", "basal insulin"], ["thirst in hot weather, glucose normal"]),
+    ("Migraine", "C:103", ["migraine", "migraine with aura"], ["one-sided throbbing headache", "zigzag lines before headache"], ["normal neurological examination", "light sensitivity"], ["a triptan", "propranolol"], ["pressing headache after screen work"]),
+    ("Hypothyroidism", "C:104", ["hypothyroidism", "underactive thyroid"], ["feeling cold", "slow weight gain"], ["raised thyrotropin", "dry skin"], ["levothyroxine"], ["tired in winter, thyrotropin in range"]),
+    ("Gout", "C:105", ["gout", "gouty arthritis"], ["sudden toe pain", "swollen big toe"], ["urate crystals", "red hot joint"], ["allopurinol", "colchicine"], ["bruised toe after a knock"]),
+    ("Anaemia", "C:106", ["anaemia", "iron deficiency anaemia"], ["tired on stairs", "pale look"], ["low ferritin", "small red cells"], ["oral iron"], ["tired after night shifts, blood count normal"]),
+    ("Psoriasis", "C:107", ["psoriasis", "plaque psoriasis"], ["scaly elbows", "itching scalp"], ["silvery plaques", "pitted nails"], ["calcipotriol", "light therapy"], ["dry elbows from washing"]),
+    ("Glaucoma", "C:108", ["glaucoma", "open-angle glaucoma"], ["bumping into door frames", "dim side vision"], ["raised eye pressure", "cupped optic disc"], ["latanoprost drops"], ["strained eyes, pressure normal"]),
+    ("Osteoporosis", "C:109", ["osteoporosis", "brittle bones"], ["lost height", "back pain after a light fall"], ["low bone density", "wedge fracture"], ["a bisphosphonate", "calcium"], ["back pain after lifting, density normal"]),
+    ("Gallstones", "C:110", ["gallstones", "cholelithiasis"], ["pain under the right ribs after meals", "nausea in the evening"], ["stones on ultrasound", "tender upper abdomen"], ["planned gallbladder surgery"], ["heartburn after coffee, ultrasound clear"]),
+    ("Sleep apnoea", "C:111", ["sleep apnoea", "obstructive sleep apnoea"], ["loud snoring", "drowsy at the wheel"], ["repeated pauses on sleep study", "crowded throat"], ["a breathing mask at night"], ["short nights with a newborn"]),
+    ("Atrial fibrillation", "C:112", ["atrial fibrillation", "irregular heart rhythm"], ["fluttering in the chest", "short of breath on the stairs"], ["irregular pulse", "no P waves on the tracing"], ["apixaban", "bisoprolol"], ["skipped beats after coffee, tracing normal"]),
+    ("Coeliac disease", "C:113", ["coeliac disease", "gluten enteropathy"], ["bloating after bread", "loose stools"], ["raised transglutaminase antibodies", "flat villi"], ["a gluten-free diet"], ["bloating after beans, antibodies negative"]),
+    ("Carpal tunnel syndrome", "C:114", ["carpal tunnel syndrome", "median nerve compression"], ["numb fingers at night", "dropping cups"], ["slow median nerve conduction", "positive wrist flexion test"], ["a wrist splint"], ["stiff fingers after gardening"]),
+    ("Kidney stones", "C:115", ["kidney stones", "renal colic"], ["waves of flank pain", "red urine"], ["stone on scan", "blood in urine"], ["tamsulosin", "plenty of fluids"], ["flank muscle strain, scan clear"]),
+    ("Vertigo", "C:116", ["positional vertigo", "benign positional vertigo"], ["spinning when turning in bed", "unsteady on rising"], ["typical eye jerks on tilting", "normal hearing"], ["a repositioning manoeuvre"], ["light-headed before breakfast"]),
 )
+PANEL_COLUMNS = "condition string, concept_id string, aliases array<string>, complaints array<string>, findings array<string>, treatments array<string>, mimics array<string>"
 COMMON_COMPLAINTS = ["no particular complaint", "a mild cold", "a routine question"]
 COMMON_FINDINGS = ["no persistent abnormality", "a normal examination"]
 COMMON_TREATMENTS = ["no new treatment", "advice only"]
 BACKGROUND = ["Repeat prescription collected.", "Telephone call about an appointment.", "Vaccination record checked."]
 
 
-def panel(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PANEL), "condition string, concept_id string, aliases array<string>, complaints array<string>, findings array<string>, treatments array<string>")
+def panel(spark: SparkSession, rows=PANEL) -> DataFrame:
+    return spark.createDataFrame(list(rows), PANEL_COLUMNS)
 
 
-def all_aliases() -> list[str]:
-    return sorted({a for row in PANEL for a in [row[0], *row[2]]})
+def all_aliases(rows=PANEL) -> list[str]:
+    return sorted({a for row in rows for a in [row[0], *row[2]]})
 
 
 def _pick(options: Column, *key: Column | str | int) -> Column:
@@ -54,14 +66,18 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def patients(spark: SparkSession, per_condition: int, seed: int = 42) -> DataFrame:
-    """Cases and controls of every condition: (patient_id, condition, ..., positive, split, age, anchor)."""
+def patients(spark: SparkSession, per_condition: int, seed: int = 42, conditions=PANEL) -> DataFrame:
+    """Cases and controls of every condition: (patient_id, condition, ..., positive, negative_type, split, age, anchor).
+
+    Every second control is a ``mimic`` of its condition, the others are ``unrelated``.
+    """
     if per_condition < 12 or per_condition % 2:
         raise ValueError("an even number of at least 12 patients per condition is needed")
     half = per_condition // 2
-    rows = panel(spark).withColumn("arm", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(half - 1))))
+    rows = panel(spark, conditions).withColumn("arm", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(half - 1))))
     ident = F.concat(F.regexp_replace("concept_id", ":", ""), F.lit("-"), F.col("arm").cast("string"), F.lit("-"), F.lpad(F.col("i").cast("string"), 4, "0"))
     rows = rows.withColumn("patient_id", ident).withColumn("positive", F.col("arm") == 1)
+    rows = rows.withColumn("negative_type", F.when(F.col("positive"), "case").when(F.col("i") % 2 == 0, "mimic").otherwise("unrelated"))
     split = stratified_split(rows.withColumn("stratum", F.concat_ws("/", "concept_id", "arm")), "stratum", "patient_id", seed)
     placed = rows.join(split.select("patient_id", "split"), "patient_id")
     age = F.floor(20 + 60 * rng.uniform(seed, "age", F.col("patient_id"))).cast("int")
@@ -70,14 +86,15 @@ def patients(spark: SparkSession, per_condition: int, seed: int = 42) -> DataFra
 
 
 def visits(people: DataFrame, offsets: tuple[int, ...] = OFFSETS, clinical: tuple[int, ...] = CLINICAL_OFFSETS, seed: int = 42) -> DataFrame:
-    """Dated events of each patient: clinical visits tell of the condition (or, for controls, of nothing), others are background."""
+    """Dated events of each patient: clinical visits tell of the condition (for controls of what mimics it, or of nothing), others are background."""
     rows = people.withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
     key = (F.col("patient_id"), F.col("offset"))
     of = lambda own, other, name: F.when(F.col("positive"), _pick(F.col(own), seed, name, *key)).otherwise(_pick(_texts(other), seed, name, *key))
-    told = F.concat(F.lit("Symptoms: "), of("complaints", COMMON_COMPLAINTS, "c"), F.lit("; Findings: "), of("findings", COMMON_FINDINGS, "f"), F.lit("; Treatment reviewed: "), of("treatments", COMMON_TREATMENTS, "t"), F.lit("."))
+    said = F.when(F.col("negative_type") == "mimic", _pick(F.col("mimics"), seed, "m", *key)).otherwise(of("complaints", COMMON_COMPLAINTS, "c"))
+    told = F.concat(F.lit("Symptoms: "), said, F.lit("; Findings: "), of("findings", COMMON_FINDINGS, "f"), F.lit("; Treatment reviewed: "), of("treatments", COMMON_TREATMENTS, "t"), F.lit("."))
     visit = F.col("offset").isin(*clinical)
     return rows.select(
-        "patient_id", "condition", "concept_id", "positive", "split", "age", "anchor", "offset",
+        "patient_id", "condition", "concept_id", "positive", "negative_type", "split", "age", "anchor", "offset",
         F.date_sub("anchor", F.col("offset")).alias("date"),
         F.when(visit, told).otherwise(_pick(_texts(BACKGROUND), seed, "b", *key)).alias("text"),
         F.when(visit & F.col("positive"), F.concat(F.lit("Recorded diagnosis: "), "condition", F.lit("."))).otherwise("").alias("diagnosis"),
@@ -92,11 +109,11 @@ def documents(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("explicitness", F.explode(_texts(["explicit", "implicit"])))
     said = F.when(F.col("explicitness") == "explicit", F.trim(F.concat("text", F.lit(" "), "diagnosis"))).otherwise(F.trim(mask(F.col("text"), all_aliases(), "the condition")))
     line = F.struct("date", F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(": "), said).alias("l"))
-    made = rows.groupBy("patient_id", "condition", "concept_id", "positive", "split", "age", "anchor", "resolution", "window_start", "explicitness").agg(F.array_sort(F.collect_list(line)).alias("x"), F.bool_or("event_positive").alias("support"))
+    made = rows.groupBy("patient_id", "condition", "concept_id", "positive", "negative_type", "split", "age", "anchor", "resolution", "window_start", "explicitness").agg(F.array_sort(F.collect_list(line)).alias("x"), F.bool_or("event_positive").alias("support"))
     head = F.concat(F.lit("Adult aged "), F.col("age").cast("string"), F.lit(". Clinical record through "), F.date_format("anchor", "yyyy-MM-dd"), F.lit("."))
     return made.select(
         F.concat_ws("-", "patient_id", "resolution", "explicitness").alias("document_id"), "patient_id", "condition", "concept_id", "positive",
-        F.when(F.col("positive"), F.lit("case")).otherwise("control").alias("negative_type"), "split", "resolution", "explicitness", "window_start", F.col("anchor").alias("window_end"),
+        "negative_type", "split", "resolution", "explicitness", "window_start", F.col("anchor").alias("window_end"),
         F.size("x").alias("n_events"), F.concat(head, F.lit("\n"), F.array_join(F.transform("x", lambda v: v["l"]), "\n")).alias("text"), "support",
     )
 

@@ -147,7 +147,8 @@ def ag20_gene_findings(spark: SparkSession, root: str) -> DataFrame:
     return genetics.gene_findings(variants).select("patient_id", "rsid", "significance", "priority")
 
 
-@on()
+@on("""select * from (values ('a', 'a', 89), ('a', 'b', 19), ('a', 'c', -55), ('a', 'd', -53), ('b', 'a', 19), ('b', 'b', 85), ('b', 'c', -53), ('b', 'd', -51),
+  ('c', 'a', -55), ('c', 'b', -53), ('c', 'c', 89), ('c', 'd', 19), ('d', 'a', -53), ('d', 'b', -51), ('d', 'c', 19), ('d', 'd', 85)) t(person_a, person_b, k)""".replace("select *", "select person_a, person_b, k / 87.0::double as covariance"))
 def sm16_branch_covariance(spark: SparkSession, root: str) -> DataFrame:
     """The eight-tip tree of the fixtures."""
     rows = [(0, p, c) for p, c in ((8, 0), (8, 1), (9, 2), (9, 3), (12, 4), (12, 5), (13, 6), (13, 7))]

@@ -76,6 +76,19 @@ def ag22_gaps(spark: SparkSession, root: str) -> DataFrame:
     return linking.gaps(_mentions(spark, root), _named(spark, root).where("rank > 1")).select("term", "kind", "n")
 
 
+@on(r"""with m as (select distinct lower(trim(DESCRIPTION)) as mention from conditions where trim(DESCRIPTION) <> ''), n as (select distinct lower(trim(concept_name)) as name from concepts where trim(concept_name) <> '')
+select mention, name as concept_name from m join n on m.mention = n.name""")
+def vl01_encoded_links(spark: SparkSession, root: str) -> DataFrame:
+    """Encode, index and link in one path: what the conditions say that is a concept's name finds that concept."""
+    encode = linking.hashed_encoding(256)
+    plain = lambda c: F.lower(F.trim(c))
+    names = table(spark, root, "concepts").select(plain("concept_name").alias("concept_id")).where("concept_id <> ''").distinct()
+    said = table(spark, root, "conditions").select(plain("DESCRIPTION").alias("query_id")).where("query_id <> ''").distinct()
+    index = names.withColumn("vector", encode(F.col("concept_id")))
+    found = linking.top_k(said.withColumn("vector", encode(F.col("query_id"))), index, 1)
+    return found.where("query_id = concept_id").select(F.col("query_id").alias("mention"), F.col("concept_id").alias("concept_name"))
+
+
 _ACRONYMS = {"HD": "heart disease", "MS": "multiple sclerosis", "PT2": "protein two"}
 
 
@@ -233,7 +246,9 @@ def ag24_graph_summary(spark: SparkSession, root: str) -> DataFrame:
     return causal.summary(_edges(spark, root))
 
 
-@on()
+@on(f"""{_RAW}, x as (select doc_id, line_no, step, op, target, unnest(string_split(s, '|')) as source, unnest(range(len(string_split(s, '|')))) as k from edge)
+select doc_id, 'flowchart LR' || chr(10) || string_agg('    ' || regexp_replace(source, '[^A-Za-z0-9]', '_', 'g') || '["' || source || '"] -->|' || op || '| ' || regexp_replace(target, '[^A-Za-z0-9]', '_', 'g') || '["' || target || '"]', chr(10) order by line_no, step, k) as mermaid
+from x group by 1""")
 def cg08_mermaid(spark: SparkSession, root: str) -> DataFrame:
     return causal.mermaid(_edges(spark, root))
 

@@ -178,6 +178,10 @@ ORACLES = {
         {', '.join(f"json_extract_string(m, '$.{t}') as {t}" for t in flatten.TEXTS if t != 'text')},
         json_extract_string(m, '$.period.start') as period_start, json_extract_string(m, '$.period.end') as period_end
       from plain p join res using (record_id, pos)""",
+    "p3_leaves": f"""with {FHIR_SQL}
+      select record_id, cast(pos as int) as entry_no, json_extract_string(r, '$.id') as resource_id, regexp_replace(substr(t.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') as path,
+        array_to_string(regexp_extract_all(t.fullkey, '\\[([0-9]+)\\]', 1), '.') as places, json_extract_string(t.atom, '$') as value
+      from res, json_tree(res.r) t where json_type(r) = 'OBJECT' and t.type not in ('OBJECT', 'ARRAY')""",
     "p3_parts": f"""with {_HOLDERS},
       part as ({' union all '.join(f"select *, '{k}' as part, unnest(v) as value, unnest(range(len(v))) as part_no from (select *, {_plain('m', k)} as v from member where json_type(m) = 'OBJECT')" for k in flatten.LISTS)})
       select p.record_id, cast(p.pos as int) as entry_no, json_extract_string(res.r, '$.id') as resource_id, owner, cast(owner_no as int) as owner_no, kind, cast(item_no as int) as item_no,

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,25 @@ def ship(spark: SparkSession) -> None:
     context._medlattice_shipped = True
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def put(spark: SparkSession, path: str, chunks: Iterable[bytes], replace: bool = True, flush: bool = False) -> None:
+    """Write bytes to a file of any file system that the session knows; with ``flush`` each chunk is readable at once."""
+    fs, where = file_system(spark, path)
+    out = fs.create(where, replace)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+            if flush:
+                out.hflush()
+    finally:
+        out.close()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
@@ -90,12 +110,10 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut`, once nothing will read it again."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {re.sub(r"(/cut-[0-9a-f]{32})/.*", r"\1", name) for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs, path = file_system(df.sparkSession, folder)
         if path.getName().startswith("cut-"):
-            path.getFileSystem(conf).delete(path, True)
+            fs.delete(path, True)
 
 
 def dimension(df: DataFrame, limit: int = MAX_DIMENSION_ROWS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.events import TABLE_ORDER
 from ..operators.npx import NPX_SCHEMA, require
+from ..session import file_system, put
 
 #: Columns of headerless files.
 GP_COLUMNS = ("EID", "data_provider", "event_date", "read2", "read3", "value1", "value2", "value3")
@@ -20,19 +21,14 @@ GENETIC_DICTIONARY_COLUMNS = ("affy_id", "chromosome", "index", "variant0", "var
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
-def _fs(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
+    fs, where = file_system(spark, path)
     return fs.exists(where)
 
 
 def listing(spark: SparkSession, folder: str) -> list[str]:
     """Names of the files of a folder, sorted; names only, never contents."""
-    fs, where = _fs(spark, folder)
+    fs, where = file_system(spark, folder)
     if not fs.exists(where):
         raise FileNotFoundError(folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isFile())
@@ -46,7 +42,7 @@ def strings(spark: SparkSession, path: str | list[str], sep: str = ",", header:
 def read_archive(spark: SparkSession, path: str, into: str) -> dict[str, DataFrame]:
     """``csv/<table>.csv`` of a zip archive: patients and the clinical tables, unpacked into the shared folder ``into``.
 
-    A missing table is an error.
+    The archive is read where the driver runs and written through the session's file system.  A missing table is an error.
     """
     wanted = ["patients", *TABLE_ORDER]
     with zipfile.ZipFile(path) as z:
@@ -55,7 +51,8 @@ def read_archive(spark: SparkSession, path: str, into: str) -> dict[str, DataFra
         if missing:
             raise FileNotFoundError(f"the archive lacks {', '.join(missing)}")
         for t in wanted:
-            z.extract(names[f"{t}.csv"], into)
+            with z.open(names[f"{t}.csv"]) as source:
+                put(spark, f"{into}/csv/{t}.csv", iter(lambda: source.read(1 << 20), b""))  # noqa: B023
     return {t: strings(spark, f"{into}/csv/{t}.csv") for t in wanted}
 
 
@@ -266,6 +263,15 @@ def vocabulary_omop(spark: SparkSession, path: str, vocabulary: str = "SNOMED",
     return made if most is None else made.orderBy("concept_id").limit(most)
 
 
+def vocabulary_acronyms(spark: SparkSession, path: str, acronym: str = "acronym", expansion: str = "expansion", most: int = 50_000) -> dict[str, str]:
+    """The acronyms of a delimited file and what they stand for, as linking.expand_acronyms takes them; of repeats the first in order."""
+    df = require(strings(spark, path), [acronym, expansion]).where(F.col(acronym).isNotNull() & F.col(expansion).isNotNull())
+    rows = df.groupBy(F.upper(F.trim(acronym)).alias("a")).agg(F.min(F.trim(expansion)).alias("e")).where("a <> ''").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} acronyms")
+    return {r["a"]: r["e"] for r in rows}
+
+
 def sample_vocabulary(spark: SparkSession) -> DataFrame:
     """A few invented concepts to try the linker with."""
     from ..operators.vignettes import PANEL

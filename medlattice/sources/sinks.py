@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import put
 from .files import exists
 
 #: Keys of a JSON row that are left out when NULL; all others are written as null.
@@ -124,21 +125,32 @@ def write_association_bundle(arrays: Mapping[str, DataFrame], folder: str, prove
         raise
 
 
-def run_batch(recipes: Iterable[tuple[int, Any]], run: Callable[[Any], Any], journal: str) -> int:
-    """One closing line per recipe in the journal, with counts at its end; the number of failures."""
-    good = bad = 0
-    with Path(journal).open("x") as f:
+def run_batch(recipes: Iterable[tuple[int, Any]], run: Callable[[Any], Any], journal: str, spark: SparkSession | None = None) -> int:
+    """One closing line per recipe in the journal, with counts at its end; the number of failures.
+
+    With a session the journal lies in its file system, else on the driver's disk; a journal that is there is not touched.
+    """
+    counts = {"done": 0, "failed": 0}
+
+    def lines() -> Iterator[bytes]:
         for number, recipe in recipes:
             said = {"line": number, "input_sha256": hashlib.sha256(json.dumps(recipe, sort_keys=True, default=str).encode()).hexdigest()}
             try:
                 if isinstance(recipe, Exception):
                     raise recipe
                 said |= {"status": "done", "result": run(recipe)}
-                good += 1
+                counts["done"] += 1
             except Exception as e:  # noqa: BLE001 - reported per recipe
                 said |= {"status": "failed", "error": str(e)}
-                bad += 1
-            f.write(json.dumps(said, sort_keys=True, default=str) + "\n")
+                counts["failed"] += 1
+            yield (json.dumps(said, sort_keys=True, default=str) + "\n").encode()
+        yield (json.dumps(counts) + "\n").encode()
+
+    if spark is not None:
+        put(spark, journal, lines(), replace=False, flush=True)
+        return counts["failed"]
+    with Path(journal).open("xb") as f:
+        for line in lines():
+            f.write(line)
             f.flush()
-        f.write(json.dumps({"done": good, "failed": bad}) + "\n")
-    return bad
+    return counts["failed"]

@@ -282,6 +282,8 @@ def test_sinks(spark, tmp_path):
     assert not (tmp_path / "big").exists()
     recipes = [(1, {"a": 1}), (2, ValueError("bad")), (3, {"a": 0})]
     assert sinks.run_batch(recipes, lambda r: 1 / r["a"], str(tmp_path / "journal")) == 2
+    assert sinks.run_batch(recipes, lambda r: 1 / r["a"], str(tmp_path / "shared"), spark) == 2
+    assert (tmp_path / "shared").read_text() == (tmp_path / "journal").read_text()
     assert json.loads((tmp_path / "journal").read_text().splitlines()[-1]) == {"done": 1, "failed": 2}
     g = genetics.random_genotypes(spark, 5, 3)
     v = spark.createDataFrame([("1", 5, "V0", "A", "C"), ("1", 6, "V1", "A", "C"), ("1", 7, "V2", "A", "C")], "chrom string, pos int, variant_id string, ref string, alt string")
