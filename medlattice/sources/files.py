@@ -232,12 +232,14 @@ def read_series(spark: SparkSession, folder: str, decode, schema: str, most: int
 def vocabulary_umls(spark: SparkSession, path: str) -> DataFrame:
     """(concept_id, term, synonyms) of the English SNOMED rows of a concept file.
 
-    The term is the last preferred string, else the first of all; every other string is a synonym, and so is the first
-    one if it was not preferred.
+    The term is the last preferred string in the order of the file, else the first of all; every other string is a
+    synonym, and so is the first one if it was not preferred.  Blocks are ordered by where they begin, rows within a block
+    by how they are read, so it does not matter how the file is dealt out.
     """
     raw = spark.read.options(sep="|", quote="", header=False).csv(path)
     code, text = F.col("_c13"), F.col("_c14")
-    rows = raw.where("_c11 = 'SNOMEDCT_US' and _c1 = 'ENG'").select(code.alias("concept_id"), text.alias("t"), (F.col("_c6") == "Y").alias("p"), F.monotonically_increasing_id().alias("n"))
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = raw.withColumn("n", place).where("_c11 = 'SNOMEDCT_US' and _c1 = 'ENG'").select(code.alias("concept_id"), text.alias("t"), (F.col("_c6") == "Y").alias("p"), "n")
     made = rows.groupBy("concept_id").agg(
         F.max_by("t", F.when(F.col("p"), F.col("n"))).alias("preferred"), F.min_by("t", "n").alias("first"), F.min_by("p", "n").alias("first_preferred"), F.collect_set("t").alias("all")
     )
