@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
 from ..functions.npx import GROUPS
+from ..session import state_folder
 from . import leaks, mixing, quantiles, splits, stuffing
 
 #: The stated relative error of the percentile queries.
 ERROR = 0.005
+#: When the second delivery of readings begins.
+SECOND_DELIVERY = date(2023, 1, 1)
 #: How far a source's share may be from its planned weight in the check of mixtures.
 MIX_SLACK = 0.01
 #: Tokens of the tempered mixture as a multiple of those that its sources have.
@@ -42,12 +47,17 @@ def p1_split_check(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    days = quantiles.npx_days(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"), ERROR)
+    """From day sketches that are kept for later days to be added."""
+    days = quantiles.keep_days(state_folder(spark, "percentiles"), table(spark, root, "olink_npx"), table(spark, root, "olink_panels"), ERROR)
     return quantiles.npx_percentiles(days, error=ERROR)
 
 
 def p6_monthly_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    days = quantiles.npx_days(table(spark, root, "olink_npx"), table(spark, root, "olink_panels"), ERROR)
+    """From day sketches of two deliveries, kept one after the other."""
+    npx, panels, store = table(spark, root, "olink_npx"), table(spark, root, "olink_panels"), state_folder(spark, "percentiles")
+    early = F.coalesce(F.col("loaded_at") < F.lit(SECOND_DELIVERY).cast("timestamp_ntz"), F.lit(True))
+    quantiles.keep_days(store, npx.where(early), panels, ERROR, 0)
+    days = quantiles.keep_days(store, npx.where(~early), panels, ERROR, 1)
     return quantiles.npx_percentiles(days, F.date_format("day", "yyyy-MM"), error=ERROR)
 
 

@@ -87,6 +87,20 @@ def npx_days(npx: DataFrame, panels: DataFrame, error: float = 0.005) -> DataFra
     return sketch(rows.where("protein_id is not null"), ["protein_id", "arm", "day"], "npx", error)
 
 
+DAYS = "protein_id string, arm string, day date, bucket int, n long"
+
+
+def keep_days(path: str, npx: DataFrame, panels: DataFrame, error: float = 0.005, batch: int = 0) -> DataFrame:
+    """Take delivered readings into the kept day sketches of a path in the shared file system, and read all of them back.
+
+    Every delivery has a number and a folder; as counts add up, earlier deliveries are not read again, and a delivery that
+    failed or is repeated replaces its own folder.  The error is part of the path, as sketches of another one do not add up.
+    """
+    folder = f"{path}/error-{error:g}"
+    npx_days(npx, panels, error).select(*[c.split()[0] for c in DAYS.split(", ")]).write.mode("overwrite").parquet(f"{folder}/batch-{batch:08d}")
+    return npx.sparkSession.read.schema(DAYS).option("recursiveFileLookup", True).parquet(folder)
+
+
 def npx_percentiles(days: DataFrame, period: Column | None = None, points: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95), error: float = 0.005) -> DataFrame:
     """Percentiles per protein (scope ``protein``) and per protein and arm (scope ``protein_group``), over ``period``.
 

@@ -312,3 +312,15 @@ def test_day_sketches_merge_like_the_whole(spark):
     days = quantiles.npx_days(npx, panels)
     months = quantiles.npx_percentiles(days, F.date_format("day", "yyyy-MM"))
     assert months.where("scope = 'protein'").agg(F.sum("n_values")).first()[0] == 400
+
+
+def test_kept_days(spark, tmp_path):
+    data = [reading(i, "S", "X1A", float(i % 7), at=str((ts("2021-01-01") + timedelta(days=i % 9)).date())) for i in range(90)]
+    npx, panels = spark.createDataFrame(data, NPX), spark.createDataFrame(PANELS, PANEL)
+    path = str(tmp_path / "days")
+    quantiles.keep_days(path, npx.where("row_id < 50"), panels, 0.01, 0)
+    for _ in range(2):  # a delivery that comes again counts once
+        days = quantiles.keep_days(path, npx.where("row_id >= 50"), panels, 0.01, 1)
+    whole = quantiles.npx_percentiles(quantiles.npx_days(npx, panels, 0.01), error=0.01)
+    assert rows(quantiles.npx_percentiles(days, error=0.01)) == rows(whole)
+    assert quantiles.keep_days(path, npx.where("false"), panels, 0.02).count() == 0
