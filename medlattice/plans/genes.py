@@ -151,9 +151,9 @@ def ag20_gene_findings(spark: SparkSession, root: str) -> DataFrame:
   ('c', 'a', -55), ('c', 'b', -53), ('c', 'c', 89), ('c', 'd', 19), ('d', 'a', -53), ('d', 'b', -51), ('d', 'c', 19), ('d', 'd', 85)) t(person_a, person_b, k)""".replace("select *", "select person_a, person_b, k / 87.0::double as covariance"))
 def sm16_branch_covariance(spark: SparkSession, root: str) -> DataFrame:
     """The eight-tip tree of the fixtures."""
-    rows = [(0, p, c) for p, c in ((8, 0), (8, 1), (9, 2), (9, 3), (12, 4), (12, 5), (13, 6), (13, 7))]
-    edges = spark.createDataFrame([*rows, (0, 14, 8), (0, 14, 9), (0, 14, 12), (0, 14, 13)], "tree_id int, parent int, child int")
-    times = spark.createDataFrame([*[(i, 0.0) for i in range(8)], (8, 1.0), (9, 2.0), (12, 3.0), (13, 4.0), (14, 10.0)], "node int, time double")
+    pairs = ((8, 0), (8, 1), (9, 2), (9, 3), (10, 4), (10, 5), (11, 6), (11, 7), (12, 8), (12, 9), (13, 10), (13, 11), (14, 12), (14, 13))
+    edges = spark.createDataFrame([(0, p, c) for p, c in pairs], "tree_id int, parent int, child int")
+    times = spark.createDataFrame([*[(i, 0.0) for i in range(8)], *[(8 + i, t) for i, t in enumerate((1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 10.0))]], "node int, time double")
     owners = spark.createDataFrame([(p, n) for i, p in enumerate("abcd") for n in (2 * i, 2 * i + 1)], "person_id string, node int")
     features = genetics.branch_features(edges, times, spark.createDataFrame([(0, 10.0)], "tree_id int, span double"), owners)
     matrix = genetics.branch_covariance(features, list("abcd"))
