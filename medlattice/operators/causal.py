@@ -111,19 +111,23 @@ def interactions(edges: DataFrame, kind: str | None = None) -> DataFrame:
 def chains(edges: DataFrame, start: str, depth: int = 5, exact: bool = False) -> DataFrame:
     """(doc_id, path, length): every path of edges from a node that holds ``start``, prefixes too, no edge twice.
 
-    Each step is a join within a document - on the equal node if ``exact``, else by the text it holds - from the
-    frontier of paths, which a document's own edges bound.
+    Which edge may follow which is found once, by a join within a document - on the equal node if ``exact``, else by the
+    text it holds; every step is then an equi-join of the paths' last edges with these, bounded by a document's own edges.
     """
     after = F.lower(F.regexp_replace("target", r"\s*\([^)]*\)\s*$", ""))
     keyed = cut(edges.select("doc_id", "key", F.lower(F.array_join("sources", " ")).alias("source"), after.alias("target"), "sources"))
-    front = keyed.where(F.contains("source", F.lit(start.lower()))).select("doc_id", F.array("key").alias("path"), "target")
-    found = front
-    near = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "source", F.col("target").alias("t"), "sources")
+    ends = keyed.select("doc_id", F.col("key").alias("last"), "target")
     if exact:  # one row per source node, met by equality
-        near = near.select("d", "k", "t", F.explode(F.array_distinct(F.transform("sources", lambda s: F.lower(s)))).alias("source"))
+        begins = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("next"), F.explode(F.array_distinct(F.transform("sources", lambda s: F.lower(s)))).alias("source"))
+        meets = F.col("source") == F.col("target")
+    else:
+        begins = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("next"), "source")
+        meets = F.contains("source", F.col("target"))
+    follows = cut(ends.join(begins, (F.col("doc_id") == F.col("d")) & meets).select("doc_id", "last", "next"))
+    front = keyed.where(F.contains("source", F.lit(start.lower()))).select("doc_id", F.array("key").alias("path"), F.col("key").alias("last"))
+    found = front
     for _ in range(depth - 1):
-        follows = F.col("source") == F.col("target") if exact else F.contains("source", F.col("target"))
-        front = front.join(near, (F.col("doc_id") == F.col("d")) & follows & ~F.array_contains("path", F.col("k"))).select("doc_id", F.concat("path", F.array("k")).alias("path"), F.col("t").alias("target"))
+        front = front.join(follows, ["doc_id", "last"]).where(~F.array_contains("path", F.col("next"))).select("doc_id", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"))
         found = found.unionByName(front)
     return found.select("doc_id", "path", F.size("path").alias("length"))
 
