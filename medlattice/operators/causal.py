@@ -132,6 +132,64 @@ def chains(edges: DataFrame, start: str, depth: int = 5, exact: bool = False) ->
     return found.select("doc_id", "path", F.size("path").alias("length"))
 
 
+def chain_counts(edges: DataFrame, start: str, depth: int = 5, exact: bool = False) -> DataFrame:
+    """(doc_id, length, n): how many paths :func:`chains` finds of each length, counted without making them all.
+
+    Edges that say the same sources and target are one row with their number, which may follow which is found between
+    distinct texts, and paths are made up to ``depth - 2`` edges, with the number of ways to deal out equal edges.  The
+    ways to go on by one edge are the edges that follow the last one, less those already on the path; by two, the sum of
+    that over the edges that follow, less those on the path, each also less itself where it may follow itself.
+    """
+    met = (lambda source, target: F.array_contains(source, target)) if exact else (lambda source, target: F.contains(source, target))
+    said = F.lower(F.array_join("sources", " "))
+    source = F.array_distinct(F.transform("sources", lambda s: F.lower(s))) if exact else said
+    target = F.lower(F.regexp_replace("target", r"\s*\([^)]*\)\s*$", ""))
+    same = edges.select("doc_id", source.alias("source"), target.alias("target"), F.contains(said, F.lit(start.lower())).alias("starts"))
+    same = cut(same.groupBy("doc_id", "source", "target", "starts").agg(F.count("*").alias("m")).withColumn("no", F.monotonically_increasing_id()))
+    counted = same.where("starts").groupBy("doc_id").agg(F.sum("m").alias("n")).select("doc_id", F.lit(1).alias("length"), "n")
+    if depth < 2:
+        return counted
+    begins = same.select(F.col("doc_id").alias("d"), "source").distinct()
+    if exact:  # one row per source node, met by equality
+        begins, meets = begins.withColumn("node", F.explode("source")), F.col("node") == F.col("at")
+    else:
+        meets = F.contains("source", F.col("at"))
+    meets = cut(same.select("doc_id", F.col("target").alias("at")).distinct().join(begins, (F.col("doc_id") == F.col("d")) & meets).select("doc_id", "at", "source"))
+    onward = meets.join(same, ["doc_id", "source"]).groupBy("doc_id", "at").agg(F.sum("m").alias("onward")).withColumnRenamed("at", "target")
+    live = same.join(onward, ["doc_id", "target"]).withColumn("after", F.col("onward") - met(F.col("source"), F.col("target")).cast("long"))
+    steps = cut(meets.join(live, ["doc_id", "source"]))  # edges that nothing follows end a path and are in ``onward`` only
+    beyond = steps.groupBy("doc_id", "at").agg(F.sum(F.col("m") * F.col("after")).alias("beyond"))
+
+    path = lambda k: [f"{c}{i}" for i in range(1, k + 1) for c in ("no", "source", "target", "after")]
+    named = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("no", "source", "target", "after")]
+    front = cut(live.where("starts").select("doc_id", "onward", F.col("m").alias("ways"), *named(1)))
+    parts, last = [counted], max(1, depth - 2)
+    for k in range(1, last + 1):
+        if k > 1:
+            again = sum(((F.col(f"no{i}") == F.col("no")).cast("long") for i in range(1, k)), F.lit(0))
+            grown = front.drop("onward").join(steps.withColumnRenamed("at", f"target{k - 1}"), ["doc_id", f"target{k - 1}"])
+            front = cut(grown.select("doc_id", "onward", (F.col("ways") * (F.col("m") - again)).alias("ways"), *path(k - 1), *named(k)).where("ways > 0"))
+        follows = lambda a, b: met(F.col(f"source{b}"), F.col(f"target{a}")).cast("long")
+        on = [follows(k, i) for i in range(1, k + 1)]
+        parts.append(front.groupBy("doc_id").agg(F.sum(F.col("ways") * (F.col("onward") - sum(on))).alias("n")).select("doc_id", F.lit(k + 1).alias("length"), "n"))
+    if depth > 2:
+        k = last
+        back = sum(on[p - 1] * (sum(follows(p, i) for i in range(1, k + 1)) - F.col(f"after{p}")) for p in range(1, k + 1))
+        parts.append(front.groupBy("doc_id").agg(F.sum(F.col("ways") * back).alias("n")).select("doc_id", F.lit(depth).alias("length"), "n"))
+        ends = front.groupBy("doc_id", F.col(f"target{k}").alias("at")).agg(F.sum("ways").alias("ways"))
+        parts.append(ends.join(beyond, ["doc_id", "at"]).groupBy("doc_id").agg(F.sum(F.col("ways") * F.col("beyond")).alias("n")).select("doc_id", F.lit(depth).alias("length"), "n"))
+        # two edges on, but the second is one of the path
+        between = steps.groupBy("doc_id", "at", F.col("target").alias("by")).agg(F.sum("m").alias("m"))
+        through = between.join(meets.select("doc_id", F.col("at").alias("by"), "source"), ["doc_id", "by"]).groupBy("doc_id", "at", "source").agg(F.sum("m").alias("m"))
+        held = front.select("doc_id", F.col(f"target{k}").alias("at"), "ways", F.explode(F.array(*[f"source{i}" for i in range(1, k + 1)])).alias("source"))
+        held = held.groupBy("doc_id", "at", "source").agg(F.sum("ways").alias("ways"))
+        parts.append(held.join(through, ["doc_id", "at", "source"]).groupBy("doc_id").agg((-F.sum(F.col("ways") * F.col("m"))).alias("n")).select("doc_id", F.lit(depth).alias("length"), "n"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.groupBy("doc_id", "length").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def summary(edges: DataFrame) -> DataFrame:
     """Per text: nodes, edges, interactions and edges by direction."""
     n = nodes(edges).groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
