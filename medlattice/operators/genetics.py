@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..session import dimension
 
 GENOTYPE = "person_id string, variant_id string, homologue int, allele_index int"
 
@@ -28,15 +29,24 @@ def random_genotypes(spark: SparkSession, people: int, variants: int, maf: tuple
     return grid.withColumn("maf", f).select(F.concat(F.lit("P"), "p").alias("person_id"), F.concat(F.lit("V"), "v").alias("variant_id"), "maf", dosage.alias("dosage"))
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A table with rows for every person: sorted and merged in a join unless the other side is broadcast.
+
+    The planner takes a table that explodes for as small as what it explodes and rows from the driver for endless, so it
+    would send everybody's genotypes or exposures to the driver; what is broadcast is counted (``dimension``) instead.
+    """
+    return df.hint("merge")
+
+
 def dosages(genotypes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(person_id, variant_id, allele_index, dosage, on_first): copies of the wanted alleles, zeros kept.
 
     ``wanted`` (variant_id, allele_index) is the small side; a person without the allele counts 0.
     """
-    keys = wanted.select("variant_id", F.col("allele_index").alias("allele")).distinct()
+    keys = dimension(wanted.select("variant_id", F.col("allele_index").alias("allele")).distinct())
     hit = F.col("allele_index") == F.col("allele")
     return (
-        genotypes.join(keys, "variant_id")
+        _large(genotypes).join(keys, "variant_id")
         .groupBy("person_id", "variant_id", F.col("allele").alias("allele_index"))
         .agg(F.count_if(hit).cast("int").alias("dosage"), F.bool_or(hit & (F.col("homologue") == 0)).alias("on_first"))
     )
@@ -46,6 +56,10 @@ def _sum_of(made: DataFrame, effect: Column) -> DataFrame:
     return made.groupBy("person_id", "trait_id").agg(F.sum(effect).alias("value"))
 
 
+def _effects_of(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
+    return _large(dosages(genotypes, effects)).join(dimension(effects), ["variant_id", "allele_index"])
+
+
 def additive(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
     """Copies of the allele times beta; effects are (variant_id, allele_index, trait_id, beta)."""
     return _sum_of(dosages(genotypes, effects).join(effects, ["variant_id", "allele_index"]), F.col("dosage") * F.col("beta"))
@@ -53,7 +67,7 @@ def additive(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
 
 def dominance(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
     """Beta where there is exactly one copy."""
-    return _sum_of(dosages(genotypes, effects).join(effects, ["variant_id", "allele_index"]), (F.col("dosage") == 1).cast("int") * F.col("beta"))
+    return _sum_of(_effects_of(genotypes, effects), (F.col("dosage") == 1).cast("int") * F.col("beta"))
 
 
 def context(genotypes: DataFrame, effects: DataFrame, exposures: DataFrame) -> DataFrame:
