@@ -72,7 +72,7 @@ def dominance(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
 
 def context(genotypes: DataFrame, effects: DataFrame, exposures: DataFrame) -> DataFrame:
     """Copies times the centred exposure; effects have also (context_id, centre), exposures (person_id, context_id, z)."""
-    joined = dosages(genotypes, effects).join(effects, ["variant_id", "allele_index"]).join(exposures, ["person_id", "context_id"])
+    joined = _large(_effects_of(genotypes, effects)).join(_large(exposures), ["person_id", "context_id"])
     return _sum_of(joined, F.col("dosage") * (F.col("z") - F.col("centre")) * F.col("beta"))
 
 
