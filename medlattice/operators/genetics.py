@@ -106,14 +106,14 @@ def phenotypes(people: DataFrame, traits: DataFrame, parts: Mapping[str, DataFra
         if df is None:
             made = made.withColumn(name, F.lit(0.0))
         else:
-            made = made.join(df.withColumnRenamed("value", name), ["person_id", "trait_id"], "left").withColumn(name, F.coalesce(F.col(name).cast("double"), F.lit(0.0)))
+            made = _large(made).join(_large(df.withColumnRenamed("value", name)), ["person_id", "trait_id"], "left").withColumn(name, F.coalesce(F.col(name).cast("double"), F.lit(0.0)))
     genetic = sum((F.col(n) for n in parts), F.lit(0.0))
     return made.withColumn("genetic", genetic).withColumn("complete", F.col("genetic") + F.col("fixed") + F.col("residual"))
 
 
 def fixed_effects(covariates: DataFrame, effects: DataFrame) -> DataFrame:
     """X B in long form: covariates (person_id, covariate_id, x), effects (covariate_id, trait_id, beta)."""
-    return _sum_of(covariates.join(effects, "covariate_id"), F.col("x") * F.col("beta"))
+    return _sum_of(_large(covariates).join(dimension(effects), "covariate_id"), F.col("x") * F.col("beta"))
 
 
 def covariance_factor(covariance: np.ndarray, tolerance: float = 64 * np.finfo(float).eps) -> np.ndarray:
