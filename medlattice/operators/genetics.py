@@ -62,7 +62,7 @@ def _effects_of(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
 
 def additive(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
     """Copies of the allele times beta; effects are (variant_id, allele_index, trait_id, beta)."""
-    return _sum_of(dosages(genotypes, effects).join(effects, ["variant_id", "allele_index"]), F.col("dosage") * F.col("beta"))
+    return _sum_of(_effects_of(genotypes, effects), F.col("dosage") * F.col("beta"))
 
 
 def dominance(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
