@@ -82,10 +82,10 @@ def _pairs(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
     ends = e.select("effect_no", F.col("variant_1").alias("variant_id"), F.col("allele_1").alias("allele_index"), F.lit(1).alias("end")).unionByName(
         e.select("effect_no", F.col("variant_2").alias("variant_id"), F.col("allele_2").alias("allele_index"), F.lit(2).alias("end"))
     )
-    found = dosages(genotypes, ends).join(ends, ["variant_id", "allele_index"])
+    found = _effects_of(genotypes, ends)
     of = lambda c, k: F.max(F.when(F.col("end") == k, F.col(c)))
     sides = found.groupBy("person_id", "effect_no").agg(of("dosage", 1).alias("d1"), of("dosage", 2).alias("d2"), of("on_first", 1).alias("f1"), of("on_first", 2).alias("f2"))
-    return sides.join(e, "effect_no")
+    return _large(sides).join(dimension(e), "effect_no")
 
 
 def interaction(genotypes: DataFrame, effects: DataFrame) -> DataFrame:
