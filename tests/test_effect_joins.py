@@ -13,7 +13,7 @@ def built(node):
         yield from built(node.children().apply(i))
 
 
-@pytest.mark.parametrize("name", ["sm06_dominance", "sm08_context", "sm10_phenotypes", "sm05_additive", "sm07_interaction"])
+@pytest.mark.parametrize("name", ["sm06_dominance", "sm08_context", "sm10_phenotypes", "sm05_additive", "sm07_interaction", "sm09_compound_het"])
 def test_only_effects_are_broadcast(spark, root, name):
     sides = list(built(genes.QUERIES[name](spark, root)._jdf.queryExecution().sparkPlan()))
     assert sides and not any("customer" in side for side in sides)
